@@ -22,7 +22,9 @@ Take linked x and y, x's prefix ending first: what x's prefix shares with y lies
 y's prefix too, hence they share an indexed combination. Sets of fewer than
 100 / (100 - percent) - 1 tokens link to equal sets only and index nothing.
 
-Candidates are verified by exact intersection. Where a combination has many nodes, they
+Candidates pass two exact filters, by size and by parity bitmap (a bit for each hash
+class of tokens, set where the set holds an odd number: sets differ in at least as many
+tokens as their bitmaps in bits), then are verified by exact intersection. Where a combination has many nodes, they
 are first compared with one of them (a star, another centre for each combination);
 whatever that links is one class and needs no more comparison. Only nodes of different
 classes under one combination are then compared in pairs. So groups of near copies cost
@@ -36,13 +38,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, shingle_hashes, word_hashes
 
 #: A rare token lies in the regions of at most RARE nodes, a frequent one in VERY at most.
-RARE, VERY = 32, 1024
+RARE, VERY = 6, 256
+#: Turns of stars at most, before what is left is compared in pairs.
+STARS = 2
 FITS = 1 << 19  # rows of four longs that may be broadcast: 16 MB
 
 
@@ -62,6 +66,13 @@ def set_hash(tokens: np.ndarray) -> tuple[int, int]:
         return int(np.sum(a, dtype=np.uint64).astype(np.int64)), int((np.sum(b, dtype=np.uint64) ^ np.uint64(len(tokens))).astype(np.int64))
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bitmap of the parities of token counts by low hash bits: about two bits a token, in 64-bit words, a power of two of them."""
+    words = 1 << max(0, (2 * len(tokens) - 1 >> 6).bit_length())
+    odd = np.bincount((tokens & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def region(n: int, percent: int) -> int:
     """Lowest hashes of n tokens among which frequent ones are looked for."""
     e, _ = bounds(n, percent)
@@ -69,24 +80,24 @@ def region(n: int, percent: int) -> int:
 
 
 def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, tx (hash of the text), n (size of the set), s1, s2 (its hash), low (its lowest tokens)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tx", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("low", pa.list_(pa.int64()))])
+    """doc_id, tx (hash of the text), n (size of the set), s1, s2 (its hash), low (its lowest tokens), bits (its parity bitmap)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tx", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("low", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
     least = 100 // (100 - percent) - 1
 
     def run(batches):
         for batch in batches:
-            cols = [[], [], [], []]
+            cols = [[], [], [], [], []]
             for text in batch.column(2):
                 tokens = token_set(text.as_py(), width)
                 s1, s2 = set_hash(tokens)
                 low = tokens[: region(len(tokens), percent)] if len(tokens) >= least else tokens[:0]
-                for c, x in zip(cols, (len(tokens), s1, s2, low.view(np.int64)), strict=True):
+                for c, x in zip(cols, (len(tokens), s1, s2, low.view(np.int64), parity(tokens) if len(tokens) >= least else tokens[:0].view(np.int64)), strict=True):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:], strict=True))], schema=schema)
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tx"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tx long, n long, s1 long, s2 long, low array<long>")
+    return rows.mapInArrow(run, "doc_id long, tx long, n long, s1 long, s2 long, low array<long>, bits array<long>")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -101,10 +112,9 @@ class Join:
         self.docs, self.width, self.percent = docs, width, percent
         self.spark = docs.sparkSession
         self.all = materialize(described(docs, width, percent), "jaccard-docs")
-        first = self.all.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"))
+        first = self.all.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
         self.nodes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-nodes")
         self.multi = self._shared(self._indexed())
-        self.sets = self._sets(self.multi.select("node").distinct())
         self.classes = self._classes()
 
     # ------------------------------------------------------------ prefixes
@@ -145,10 +155,10 @@ class Join:
         return rows.mapInArrow(run, "sig long, node long, n long")
 
     def _shared(self, sigs: DataFrame) -> DataFrame:
-        """Combinations of two nodes or more, with the centre of their star."""
+        """Combinations of two nodes or more; each node is its own class yet."""
         sigs = materialize(sigs, "jaccard-index")
-        held = sigs.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("sig", "node").alias("h"), "node", "n")).alias("c")).where("m > 1")
-        return materialize(sigs.join(held.select("sig", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "sig"), "jaccard-shared")
+        held = sigs.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")
+        return materialize(sigs.join(held, "sig").withColumn("root", F.col("node")), "jaccard-shared")
 
     def _sets(self, nodes: DataFrame) -> DataFrame:
         """node, n, tokens (sorted by unsigned value) of some nodes, from their texts."""
@@ -173,30 +183,57 @@ class Join:
 
     # ------------------------------------------------------------ links
 
-    def _near(self, a: str, b: str):
-        return (F.least(a, b) * 100 >= F.greatest(a, b) * self.percent)
+    def _near(self, a: str, b: str) -> Column:
+        """Sizes that can link."""
+        return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
+
+    def _alike(self, x: str, y: str, n: str, m: str) -> Column:
+        """Bitmaps that can link: they differ in no more bits than linked sets of n and m tokens in tokens."""
+        # bits of a longer bitmap that fall together in a shorter one are added, so lengths can differ
+        fold = lambda long, short: F.expr(f"transform({short}, (w, i) -> aggregate(sequence(i, size({long}) - 1, size({short})), w, (s, j) -> s ^ {long}[j]))")
+        bits = F.when(F.size(x) >= F.size(y), fold(x, y)).otherwise(fold(y, x))
+        return F.aggregate(bits, F.lit(0), lambda s, w: s + F.bit_count(w)) * (100 + self.percent) <= (F.col(n) + F.col(m)) * (100 - self.percent)
+
+    def _passing(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose bitmaps can link."""
+        side = lambda c, k: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+        return pairs.join(side("a", 1), "a").join(side("b", 2), "b").where(self._alike("bits1", "bits2", "n1", "n2")).select("a", "b")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose sets link."""
-        s = self.sets
+        s = self._sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = pairs.join(s.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(s.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
         same = F.size(F.array_intersect("ta", "tb"))
         return both.where(same * 100 >= (F.size("ta") + F.size("tb") - same) * self.percent).select("a", "b")
 
+    def _linked(self, pairs: DataFrame) -> DataFrame:
+        return materialize(self._verified(materialize(self._passing(pairs.distinct()), "jaccard-pairs")), "jaccard-links")
+
     def _classes(self) -> DataFrame:
         """node, root: of all nodes that have a link."""
-        multi, pair = self.multi, lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-        star = materialize(multi.where("node <> centre").where(self._near("n", "centre_n")).select(*pair("node", "centre")).distinct(), "jaccard-star")
-        links = materialize(self._verified(star), "jaccard-links")
-        roots = components(links)
-        # combinations that still join different classes
-        named = multi.select("sig", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = named.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-        left = materialize(named.join(split, "sig"), "jaccard-left")
-        x, y = left.alias("x"), left.alias("y")
-        near = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & self._near("x.n", "y.n")
-        more = x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        found = materialize(self._verified(more), "jaccard-more")
+        both = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+        left, links, roots, turn = self.multi, None, None, 0
+        while True:
+            # stars: every node under a combination against one of them, another in each turn
+            centre = left.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "sig", "node").alias("h"), "node", "n", "root")).alias("c"))
+            star = left.join(centre, "sig").where((F.col("root") != F.col("c.root")) & self._near("n", "c.n")).select(*both("node", "c.node"))
+            found = self._linked(star)
+            grown = bool(found.head(1))
+            if grown or roots is None:
+                links = found if links is None else links.unionByName(found)
+                roots = components(links)
+            # combinations that still join different classes
+            named = self.multi.select("sig", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            split = named.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+            left, turn = named.join(split, "sig"), turn + 1
+            left = materialize(left, "jaccard-left")
+            if not grown or turn == STARS:
+                break
+        brief = F.expr("if(size(bits) > 8, transform(slice(bits, 1, 8), (w, i) -> aggregate(sequence(i + 8, size(bits) - 1, 8), w, (s, j) -> s ^ bits[j])), bits)")
+        left = materialize(left.join(self.nodes.select("node", brief.alias("bits")), "node"), "jaccard-brief")
+        x, y = left.select(*[F.col(c).alias(f"x_{c}") for c in left.columns]), left.select(*[F.col(c).alias(f"y_{c}") for c in left.columns])
+        near = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & self._near("x_n", "y_n") & self._alike("x_bits", "y_bits", "x_n", "y_n")
+        found = self._linked(x.join(y, near).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
         return components(links.unionByName(found)) if found.head(1) else roots
 
     def result(self) -> DataFrame:
