@@ -21,6 +21,8 @@ names a file, so half-written shards are never read. An empty table gives no sha
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -47,42 +49,86 @@ def id_of(key: bytes) -> int | None:
     return int.from_bytes(key, "big") - (1 << 63) if key else None
 
 
+#: Letters whose lower case and normal form are one letter each, then marks that stand alone.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]{1,48})([.,;:!?|]{0,4})")
+
+
 class WordEncoder:
-    """Whole texts through the tokenizers library, word by word with a bounded cache.
+    """Whole texts through the tokenizers library, each distinct word once.
 
     The vocabulary drops white space and never joins across it, so the ids of a text
-    are those of its blank-separated words in order; each distinct word is encoded by
-    the library once.
+    are those of its blank-separated words in order. Words of plain letters, with marks
+    behind or not, are encoded by their lower-case stem: stems are handed to the library
+    together, and each ends with its only token that ends a word. Both caches are
+    bounded and live as long as the worker process.
     """
 
-    def __init__(self, path: str, words: int = 300_000):
-        import os
-
+    def __init__(self, path: str, words: int = 400_000, stems: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lib, self.words = Tokenizer.from_file(path), words
+        self.lib, self.words, self.stems = Tokenizer.from_file(path), words, stems
+        self.ends = np.zeros(self.lib.get_vocab_size(), bool)
+        for token, i in self.lib.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.cache: dict[str, bytes] = {"": b""}
-        self.width = 4
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
         if not text:
             return b""
         words = text.replace("\n", " ").split(" ")
-        cache = self.cache
         try:
-            return b"".join(map(cache.__getitem__, words))
+            return b"".join(map(self.cache.__getitem__, words))
         except KeyError:
             pass
-        if len(cache) > self.words:
-            cache.clear()
-            cache[""] = b""
-        new = [w for w in set(words) if w not in cache]
-        once = {}
-        for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (cache if len(w) <= 64 else once)[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([once[w] if len(w) > 64 and w in once else cache[w] for w in words])
+        if len(self.cache) > self.words:
+            self.cache = {"": b""}
+        if len(self.known) > self.stems:
+            self.known = {}
+        once = self._learn({w for w in words if w not in self.cache})
+        return b"".join([once[w] if w in once else self.cache[w] for w in words] if once else map(self.cache.__getitem__, words))
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Fill the cache; the ids of words too long for it come back."""
+        plain, odd, once = [], [], {}
+        for w in new:
+            if m := PLAIN.fullmatch(w):
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                odd.append(w)
+        stems = list({x for _, x, _ in plain} - self.known.keys())
+        if stems:
+            ids = np.asarray(self.lib.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(stems) and ends[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for stem, end in zip(stems, (ends * 4).tolist(), strict=True):
+                    self.known[stem] = raw[at:end]
+                    at = end
+            else:  # not a vocabulary with word ends
+                self.known |= zip(stems, self._each(stems), strict=True)
+        marks = list({x for *_, x in plain if x} - self.known.keys())
+        self.known |= zip(marks, self._each(marks), strict=True)
+        for w, stem, mark in plain:
+            self.cache[w] = self.known[stem] + self.known[mark] if mark else self.known[stem]
+        for w, ids in zip(odd, self._each(odd), strict=True):
+            (self.cache if len(w) <= 64 else once)[w] = ids
+        return once
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The process's encoder for a tokenizer file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _varint(n: int) -> bytes:
@@ -233,12 +279,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, docs_per_shar
     out = scratch(docs.sparkSession, "sst")
 
     def write(batches):
-        encoder, writer = WordEncoder(tokenizer), None
+        own, writer = encoder(tokenizer), None
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
                     writer = ShardWriter(f"{out}/{uuid.uuid4().hex}.sst", vocab)
-                ids = np.frombuffer(encoder.encode(text.as_py()), "<u4")
+                ids = np.frombuffer(own.encode(text.as_py()), "<u4")
                 writer.add(key_of(doc_id), np.append(ids, np.uint32(end_id)))
         if writer is not None:
             row = {"shard": TaskContext.get().partitionId()} | writer.close()
