@@ -47,9 +47,10 @@ def external_shuffle(docs: DataFrame, seed: int = 2024, bucket_bytes: int = 16 <
     dealt = keyed.withColumn("bucket", home)
 
     def shuffle(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         h, at, bucket = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("h", "at", "bucket"))
         for b in np.unique(bucket):
             mine = np.flatnonzero(bucket == b)

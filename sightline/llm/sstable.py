@@ -98,7 +98,7 @@ class WordEncoder:
                 plain.append((w, m[1].lower(), m[2]))
             else:
                 odd.append(w)
-        stems = list({x for _, x, _ in plain} - self.known.keys())
+        stems = [x for x in {x for _, x, _ in plain} if x not in self.known]
         if stems:
             ids = np.asarray(self.lib.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
@@ -109,7 +109,7 @@ class WordEncoder:
                     at = end
             else:  # not a vocabulary with word ends
                 self.known |= zip(stems, self._each(stems), strict=True)
-        marks = list({x for *_, x in plain if x} - self.known.keys())
+        marks = [x for x in {x for *_, x in plain if x} if x not in self.known]
         self.known |= zip(marks, self._each(marks), strict=True)
         for w, stem, mark in plain:
             self.cache[w] = self.known[stem] + self.known[mark] if mark else self.known[stem]
