@@ -54,7 +54,7 @@ def targets(sizes: list[int], weights: list[float], repeats: int = 3) -> list[fl
 class Mix:
     """``pieces``: a row of ``docs`` (uid) in a block: source number s, epoch, block, words."""
 
-    def __init__(self, docs: DataFrame, repeats: int = 3, seed: int = 11, bucket_rows: int = 50_000):
+    def __init__(self, docs: DataFrame, repeats: int = 3, seed: int = 11, bucket_rows: int = 2_000):
         spark = docs.sparkSession
         light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
         self.light = light = materialize(light.withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
