@@ -144,8 +144,9 @@ class Join:
         def run(batches):
             for batch in batches:
                 sigs, owners, sizes = [], [], []
-                for node, n, tokens, often in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    own = combinations(np.array(tokens, np.int64).view(np.uint64), {r["token"]: r["class"] for r in often or []}, p)
+                for node, n, tokens, often in zip(*(batch.column(i) for i in range(4)), strict=True):
+                    node, n, tokens = node.as_py(), n.as_py(), tokens.values.to_numpy()
+                    own = combinations(tokens.view(np.uint64), {r["token"]: r["class"] for r in often.as_py() or []}, p)
                     sigs.append(own)
                     owners.append(np.full(len(own), node))
                     sizes.append(np.full(len(own), n))
