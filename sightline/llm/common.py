@@ -57,6 +57,14 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
+#: What a worker process keeps between tasks; tasks of other kinds let it go, as workers are used again.
+KEPT: dict = {}
+
+
+def release() -> None:
+    KEPT.clear()
+
+
 # ---------------------------------------------------------------- word hashing
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, word_hashes
+from .common import release, shingle_hashes, word_hashes
 
 WORD = re.compile(r"[^\W_]+")
 BLOCK_WORDS = 1 << 20
@@ -157,6 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float =
         shared = spark.sparkContext.broadcast(block)  # at most BLOCK_WORDS words and one item
 
         def run(batches):
+            release()
             for batch in batches:
                 got = [(doc_id, *leak) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for leak in shared.value.leaks(words(text.as_py()), least, share)]
                 if got:
@@ -180,6 +181,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float =
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches):
+            release()
             for batch in batches:
                 yield batch.filter(pa.array([next(shared.value.leaks(words(t.as_py()), least, share), None) is None for t in batch.column(0)], pa.bool_()))
 

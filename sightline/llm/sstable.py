@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, open_fs, scratch
+from .common import KEPT, materialize, mix64, open_fs, release, scratch
 
 MAGIC = b"SSTTOK01"
 FOOTER = struct.Struct("<QQQQQQIIB7x8s")  # index off/len, bloom off/len, docs, tokens, blocks, bloom hashes, id width, magic
@@ -63,7 +63,7 @@ class WordEncoder:
     bounded and live as long as the worker process.
     """
 
-    def __init__(self, path: str, words: int = 400_000, stems: int = 800_000):
+    def __init__(self, path: str, words: int = 250_000, stems: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -121,14 +121,12 @@ class WordEncoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The process's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if path not in KEPT:
+        release()
+        KEPT[path] = WordEncoder(path)
+    return KEPT[path]
 
 
 def _varint(n: int) -> bytes:
