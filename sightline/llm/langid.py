@@ -162,11 +162,12 @@ def train(docs: DataFrame, per_lang: int = 1500, seed: int = 17) -> Model:
         release()
         for batch in batches:
             rows = [(gram_counts(t), lang, h) for t, lang, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0][0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[0][1] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["f", "n", "lang", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0][0].astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([r[0][1].astype("<f4").tobytes() for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["f", "n", "lang", "h"])
 
-    sample = learn.where(spread < share).select("text", "lang", spread.alias("h")).mapInArrow(featurise, "f array<int>, n array<long>, lang string, h long").collect()
+    sample = learn.where(spread < share).select("text", "lang", spread.alias("h")).mapInArrow(featurise, "f binary, n binary, lang string, h long").collect()  # packed: about 6 KB a row
     model = Model(names, idf.astype(np.float64), np.zeros((DIMS, len(names))), np.zeros(len(names)))
-    rows = [(np.array(r.f), model.vector(np.array(r.f), np.array(r.n)), names.index(r.lang), r.h) for r in sorted(sample, key=lambda r: (r.h, r.lang, r.n))]
+    unpacked = ((np.frombuffer(r.f, "<i4"), np.frombuffer(r.n, "<f4"), r) for r in sorted(sample, key=lambda r: (r.h, r.lang, bytes(r.n))))
+    rows = [(f, model.vector(f, n).astype(np.float32), names.index(r.lang), r.h) for f, n, r in unpacked]
     fit, held = [r[:3] for r in rows if r[3] % 5], [r for r in rows if r[3] % 5 == 0]
     if fit:
         model.weights, model.bias = fit_ftrl(fit, len(names))
