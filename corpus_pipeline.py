@@ -22,9 +22,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letter in them, or none that is likely."""
     columns = docs.columns
     model = langid.train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    told = langid.predict(rows, model, "row")
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*[F.col(f"row.`{c}`") for c in columns])
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row"))
+    told = langid.predict(rows, model, "text", "row")
+    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

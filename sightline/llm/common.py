@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -62,7 +64,13 @@ KEPT: dict = {}
 
 
 def release() -> None:
-    KEPT.clear()
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # else the process keeps what it has freed
+        except (OSError, AttributeError):
+            pass
 
 
 # ---------------------------------------------------------------- word hashing

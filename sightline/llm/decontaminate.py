@@ -175,7 +175,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float =
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
     """The rows of docs that leak no item."""
     spark, columns = docs.sparkSession, docs.columns
-    out = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    out = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row"))
 
     def keep(block: Block):
         shared = spark.sparkContext.broadcast(block)
@@ -189,4 +189,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float =
 
     for block in blocks(benchmark, least):
         out = out.mapInArrow(keep(block), out.schema)
-    return out.select(*[F.col(f"row.`{c}`") for c in columns])
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns])

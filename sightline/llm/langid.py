@@ -184,10 +184,12 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         release()
         for batch in batches:
             got = [shared.value.predict(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["kept", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.columns if with_text else batch.columns[1:]), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*(["text"] if with_text else []), "kept", "lang_pred", "score"])
 
-    rows = docs.select("text", F.struct(*keep).alias("kept"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])).select("kept.*", "lang_pred", "score")
+    with_text = "text" in keep  # it goes there and back once
+    rows = docs.select("text", F.struct(*[k for k in keep if k != "text"]).alias("kept"))
+    out = T.StructType([*(rows.schema.fields if with_text else rows.schema.fields[1:]), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, out).select(*(["text"] if with_text else []), "kept.*", "lang_pred", "score")
 
 
 def identify(docs: DataFrame, per_lang: int = 1500) -> DataFrame:

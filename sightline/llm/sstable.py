@@ -63,7 +63,7 @@ class WordEncoder:
     bounded and live as long as the worker process.
     """
 
-    def __init__(self, path: str, words: int = 250_000, stems: int = 600_000):
+    def __init__(self, path: str, words: int = 200_000, stems: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
