@@ -52,6 +52,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of whole texts go to Python few at a time: what a worker holds is bounded by these."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def open_fs(uri: str):
     """(filesystem, path) of a URI, usable in the executors' Python."""
     from pyarrow import fs

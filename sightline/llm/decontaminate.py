@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, shingle_hashes, word_hashes
+from .common import release, shingle_hashes, small_batches, word_hashes
 
 WORD = re.compile(r"[^\W_]+")
 BLOCK_WORDS = 1 << 20
@@ -151,6 +151,7 @@ def blocks(benchmark: DataFrame, least: int) -> list[Block]:
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
     """A row for each document and benchmark item of which it holds ``share`` or more."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def scan(block: Block) -> DataFrame:
@@ -175,6 +176,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float =
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
     """The rows of docs that leak no item."""
     spark, columns = docs.sparkSession, docs.columns
+    small_batches(spark)
     out = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row"))
 
     def keep(block: Block):

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, release, shingle_hashes, word_hashes
+from .common import materialize, mix64, release, shingle_hashes, small_batches, word_hashes
 
 #: A rare token lies in the regions of at most RARE nodes, a frequent one in VERY at most.
 RARE, VERY = 6, 256
@@ -112,6 +112,7 @@ class Join:
     def __init__(self, docs: DataFrame, width: int = 3, percent: int = 90):
         self.docs, self.width, self.percent = docs, width, percent
         self.spark = docs.sparkSession
+        small_batches(self.spark)
         self.all = materialize(described(docs, width, percent), "jaccard-docs")
         first = self.all.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
         self.nodes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-nodes")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, release
+from .common import mix64, release, small_batches
 
 DIMS = 1 << 15
 PIECE = 1 << 19
@@ -134,6 +134,7 @@ def fold(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, per_lang: int = 1500, seed: int = 17) -> Model:
     """``docs``: doc_id, text, lang. Document frequencies come from all learnable rows, the fit from about per_lang rows a language."""
+    small_batches(docs.sparkSession)
     learn = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2))
     spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
     langs = {r[0]: r[1] for r in learn.groupBy("lang").count().collect()}
@@ -178,6 +179,7 @@ def train(docs: DataFrame, per_lang: int = 1500, seed: int = 17) -> Model:
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns ``keep`` of docs with lang_pred and score of their text."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(Model(model.langs, model.idf.astype(np.float32), model.weights.astype(np.float32), model.bias, model.temperature))  # DIMS x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

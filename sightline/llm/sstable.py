@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEPT, materialize, mix64, open_fs, release, scratch
+from .common import KEPT, materialize, mix64, open_fs, release, scratch, small_batches
 
 MAGIC = b"SSTTOK01"
 FOOTER = struct.Struct("<QQQQQQIIB7x8s")  # index off/len, bloom off/len, docs, tokens, blocks, bloom hashes, id width, magic
@@ -275,6 +275,7 @@ class Shard:
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, docs_per_shard: int = 8192, vocab: int = 49_408) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards; the manifest, a row a shard in key order, with the tokens before it in ``start``."""
     out = scratch(docs.sparkSession, "sst")
+    small_batches(docs.sparkSession)
 
     def write(batches):
         own, writer = encoder(tokenizer), None
