@@ -49,7 +49,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialized frame that nothing unwritten needs any more, and let Spark drop shuffles that nothing refers to."""
+    _remove(df.sparkSession, df._scratch)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, release, shingle_hashes, small_batches, word_hashes
+from .common import discard, materialize, mix64, release, shingle_hashes, small_batches, word_hashes
 
 #: A rare token lies in the regions of at most RARE nodes, a frequent one in VERY at most.
 RARE, VERY = 6, 256
@@ -113,9 +113,11 @@ class Join:
         self.docs, self.width, self.percent = docs, width, percent
         self.spark = docs.sparkSession
         small_batches(self.spark)
-        self.all = materialize(described(docs, width, percent), "jaccard-docs")
-        first = self.all.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
+        full = materialize(described(docs, width, percent), "jaccard-docs")
+        first = full.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
         self.nodes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-nodes")
+        self.all = materialize(full.select("doc_id", "tx", "n", "s1", "s2"), "jaccard-slim")
+        discard(full)
         self.multi = self._shared(self._indexed())
         self.classes = self._classes()
 
@@ -132,6 +134,7 @@ class Join:
         rare = lows.join(hit, "node", "left").withColumn("rare", F.when(F.col("often").isNull(), F.col("low")).otherwise(F.array_except("low", "often")))
         e = F.expr(f"n - (({p} * n + 99) div 100)")
         rare = materialize(rare.select("node", "n", F.when(F.size("rare") > e, F.slice("rare", F.lit(1), (e + 1).cast("int"))).alias("prefix")), "jaccard-prefix")
+        self.prefix = rare
         plain = rare.where("prefix is not null").select(F.explode("prefix").alias("sig"), "node", "n")
         return plain.unionByName(self._combined(rare.where("prefix is null").select("node"), often, n_often))
 
@@ -161,8 +164,11 @@ class Join:
     def _shared(self, sigs: DataFrame) -> DataFrame:
         """Combinations of two nodes or more; each node is its own class yet."""
         sigs = materialize(sigs, "jaccard-index")
+        discard(self.prefix)
         held = sigs.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")
-        return materialize(sigs.join(held, "sig").withColumn("root", F.col("node")), "jaccard-shared")
+        shared = materialize(sigs.join(held, "sig").withColumn("root", F.col("node")), "jaccard-shared")
+        discard(sigs)
+        return shared
 
     def _sets(self, nodes: DataFrame) -> DataFrame:
         """node, n, tokens (sorted by unsigned value) of some nodes, from their texts."""
@@ -297,7 +303,8 @@ def components(links: DataFrame) -> DataFrame:
 def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without near copies: of each class the smallest doc_id stays; rows alike in id and text, once."""
     columns = docs.columns
-    stay = Join(docs, width, percent).result().where("stays").select("doc_id", "tx").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("tx"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    out = rows.join(stay, rows.id.eqNullSafe(stay.doc_id) & (rows.tx == stay.tx), "left_semi").dropDuplicates(["id", "tx"])
+    key = lambda c: [F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias("k"), F.col(c).isNull().alias("z")]
+    stay = Join(docs, width, percent).result().where("stays").select(*key("doc_id"), "tx")
+    rows = docs.select(*key("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tx"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    out = rows.join(stay, ["k", "z", "tx"], "left_semi").dropDuplicates(["k", "z", "tx"])  # one shuffle serves both
     return out.select(*[F.col(f"row.`{c}`") for c in columns])
