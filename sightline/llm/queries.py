@@ -20,7 +20,7 @@ def tokenizer_path() -> str:
 
 
 def op1_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sstable.read_shards(sstable.write_shards(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1))
+    return sstable.read_shards(sstable.write_shards(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, words=400_000, stems=800_000))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

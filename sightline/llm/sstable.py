@@ -121,11 +121,11 @@ class WordEncoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, words: int, stems: int) -> WordEncoder:
     """The process's encoder for a tokenizer file."""
     if path not in KEPT:
         release()
-        KEPT[path] = WordEncoder(path)
+        KEPT[path] = WordEncoder(path, words, stems)
     return KEPT[path]
 
 
@@ -272,13 +272,13 @@ class Shard:
         return found
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, docs_per_shard: int = 8192, vocab: int = 49_408) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, docs_per_shard: int = 8192, vocab: int = 49_408, words: int = 200_000, stems: int = 450_000) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards; the manifest, a row a shard in key order, with the tokens before it in ``start``."""
     out = scratch(docs.sparkSession, "sst")
     small_batches(docs.sparkSession)
 
     def write(batches):
-        own, writer = encoder(tokenizer), None
+        own, writer = encoder(tokenizer, words, stems), None
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
