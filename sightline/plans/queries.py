@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions import jsonx, text
+from ..functions import jsonx, requests, text
 from ..operators import cleanup, relations, retrieve
 from ..sources import scenes
 from ..streaming import sessions
@@ -352,3 +352,110 @@ def renumbered(spark, sf):
 def prompt_echo(spark, sf):
     b = F.struct(F.col("box.x1").alias("x1"), F.col("box.y1").alias("y1"), F.lit(0.0).alias("x2"), F.lit(0.0).alias("y2"))
     return objs(spark, sf).where(~cleanup.is_echo(b, [(37, 53, 0, 0)])).select("scene", "ord")
+
+
+NAMED, NEXT = ["laptop", "bottle", "wallet", "umbrella", "backpack"], ["mug", "tablet", "book", "phone", "glasses"]
+SAID, MEANT = ["next to", "on top of", "behind", "to the left of", "inside"], ["beside", "on", "near", "left_of", "inside"]
+PLACES = {"7f_tearoom": ["7층 탕비실"], "6f_meetingroom": [], "lobby": []}
+HEARD, MEETS = ["the tea room", "meeting-room", "7층 탕비실", "Lobby"], ["7f_tearoom", "6f_meetingroom", "7f_tearoom", "lobby"]
+
+
+def chosen(values, key):
+    """The value at a number's place, going round."""
+    return F.get(F.array(*map(F.lit, values)), (F.col(key) % len(values)).cast("int"))
+
+
+def chosen_sql(values, key):
+    listed = ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    return f"([{listed}])[{key} % {len(values)} + 1]"
+
+
+FORM = "o_orderkey % 4"
+
+
+@query(f"""SELECT o_orderkey, {chosen_sql(NAMED, "o_custkey")} AS target_type, CASE WHEN {FORM} IN (0, 2) THEN {chosen_sql(text.COLORS, "o_custkey")} END AS color,
+  CASE WHEN {FORM} = 0 THEN {chosen_sql(MEANT, "o_orderkey")} END AS predicate, CASE WHEN {FORM} = 0 THEN {chosen_sql(NEXT, "o_orderkey")} END AS anchor_type, CASE WHEN {FORM} = 2 THEN {chosen_sql(MEETS, "o_custkey")} END AS location FROM orders""")
+def request_parse(spark, sf):
+    what, color, other, said, place = (chosen(v, k) for v, k in ((NAMED, "o_custkey"), (text.COLORS, "o_custkey"), (NEXT, "o_orderkey"), (SAID, "o_orderkey"), (HEARD, "o_custkey")))
+    form = F.col("o_orderkey") % 4
+    related = F.concat(F.lit("Where is my "), color, F.lit(" "), what, F.lit(" "), said, F.lit(" the "), other, F.lit("?"))
+    denied = F.concat(F.lit("find a "), what, F.lit(", not "), other)
+    placed = F.concat(F.lit("I lost my "), color, F.lit(" "), what, F.lit(", maybe in "), place)
+    typo = F.concat(F.lit("show me "), what, F.right(what, F.lit(1)))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(form == 0, related).when(form == 1, denied).when(form == 2, placed).otherwise(typo).alias("text"))
+    return requests.parse(rows, "text", PLACES).drop("text")
+
+
+@query("SELECT conv_id, turn, regexp_matches(text || CASE WHEN turn % 3 = 0 THEN ' List, bitte' ELSE '' END, '(?i)(^|[^\\p{L}\\p{N}_])(all|every|each|everything|list|show me the)([^\\p{L}\\p{N}_]|$)') AS every FROM conversations")
+def list_mode(spark, sf):
+    said = F.concat("text", F.when(F.col("turn") % 3 == 0, " List, bitte").otherwise(""))
+    return table(spark, sf, "conversations").select("conv_id", "turn", requests.wants_all(said).alias("every"))
+
+
+POINTED, POINTS = ["the second one", "2", "number 3", "오른쪽 거", "the last", "nothing"], [1, 1, 2, -1, -1, None]
+
+
+@query(f"SELECT event_id, CASE WHEN i >= 0 AND i < n THEN i END AS place FROM (SELECT event_id, n, CASE WHEN p < 0 THEN n + p ELSE p END AS i FROM (SELECT event_id, event_id % 5 AS n, CAST({chosen_sql(POINTS, 'event_id')} AS BIGINT) AS p FROM events))")
+def answer_position(spark, sf):
+    return table(spark, sf, "events").select("event_id", requests.position(chosen(POINTED, "event_id"), F.col("event_id") % 5).alias("place"))
+
+
+PICKED, PICKS = ["2", "the third one", "None of them", "4 please", "hm"], [1, 2, -1, 3, None]
+
+
+@query(f"SELECT event_id, CASE WHEN p < n THEN p END AS pick FROM (SELECT event_id, event_id % 7 AS n, CAST({chosen_sql(PICKS, 'event_id')} AS BIGINT) AS p FROM events)")
+def shortlist_pick(spark, sf):
+    return table(spark, sf, "events").select("event_id", requests.shortlist_pick(chosen(PICKED, "event_id"), F.col("event_id") % 7).alias("pick"))
+
+
+ANSWERED, OPTIONS = ["금속이야", "플라스틱 것", "검은", "모르겠어"], ["metal", "plastic", "black", None]
+
+
+@query(f"SELECT event_id, {chosen_sql(OPTIONS, 'event_id')} AS option FROM events")
+def answer_option(spark, sf):
+    offered = F.array(*[F.struct(F.lit(o).alias("option"), F.lit(n).alias("name")) for o, n in (("metal", "금속"), ("plastic", "플라스틱"), ("black", "검은색"))])
+    return table(spark, sf, "events").select("event_id", requests.option_answered(chosen(ANSWERED, "event_id"), offered).alias("option"))
+
+
+LINE = "SELECT conv_id, turn, trim(split_part(trim(text), chr(10), 1)) AS line, substring(trim(split_part(trim(text), chr(10), 1)), 1, 200) AS cut FROM conversations"
+ENDS = "CASE " + " ".join(f"WHEN strpos(reverse(cut), '{m[::-1]}') > 0 AND {200 - len(m) + 1} - strpos(reverse(cut), '{m[::-1]}') > 100 THEN trim(substring(cut, 1, 201 - strpos(reverse(cut), '{m[::-1]}')))" for m in (". ", "? ", "! ", "。", "？")) + " ELSE rtrim(cut) || '...' END"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN length(line) <= 200 THEN line ELSE {ENDS} END AS spoken FROM ({LINE})")
+def spoken_form(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", requests.spoken_form(F.col("text")).alias("spoken"))
+
+
+CALLED = ["Hey, Lopa! where is my bag", "헤이 로파, 내 가방", "hello there", "they left it", "Hi"]
+CALLS = [True, True, True, False, True]
+RESTS = ["where is my bag", "내 가방", "there", "", ""]
+
+
+@query(f"SELECT event_id, {chosen_sql(CALLS, 'event_id')} AS heard, {chosen_sql(RESTS, 'event_id')} AS rest FROM events")
+def wake_words(spark, sf):
+    return table(spark, sf, "events").select("event_id", requests.wake_word(chosen(CALLED, "event_id"), ["heylopa", "lopa", "헤이로파", "로파"]).alias("w")).select("event_id", "w.heard", "w.rest")
+
+
+@query(f"WITH {EDGES}, best AS (SELECT scene, a, predicate, b_type FROM (SELECT *, row_number() OVER (PARTITION BY scene, a ORDER BY CASE predicate WHEN 'left_of' THEN 1 WHEN 'on' THEN 2 ELSE 3 END, rank, p) AS n FROM edges WHERE predicate IN ('left_of', 'on', 'beside') AND a_type <> b_type) WHERE n = 1) SELECT scene, a, 'in the hall, ' || CASE predicate WHEN 'on' THEN 'on top of' WHEN 'left_of' THEN 'left of' ELSE predicate END || ' the ' || b_type || CASE predicate WHEN 'left_of' THEN ' in this photo' ELSE '' END AS place FROM best")
+def place_texts(spark, sf):
+    best = relations.best_anchor(relations.edges(objs(spark, sf)), ["left_of", "on", "beside"])
+    return best.select("scene", "a", requests.place_text(F.lit("hall"), F.col("predicate"), F.col("anchor")).alias("place"))
+
+
+@query(f"WITH {OBJS}, parts AS (SELECT scene, ord, [color, lower(material), size, type] AS p FROM objs) SELECT scene, ord, array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), ', ') AS told FROM parts")
+def candidate_texts(spark, sf):
+    return objs(spark, sf).select("scene", "ord", requests.summary(F.col("color"), F.lower("material"), F.col("size"), F.col("type")).alias("told"))
+
+
+SPOKEN, ENDED = ["마우스", "책", "laptop", "pen", "703", "컵!"], ["가", "이", "가", "이", "이", "이"]
+
+
+@query(f"SELECT event_id, {chosen_sql(ENDED, 'event_id')} AS particle FROM events")
+def particles(spark, sf):
+    return table(spark, sf, "events").select("event_id", requests.particle(chosen(SPOKEN, "event_id"), "이", "가").alias("particle"))
+
+
+@query("WITH t AS (SELECT user_id, count(*) AS n, list_sort(list(DISTINCT event_type)) AS kinds FROM events GROUP BY user_id) SELECT user_id, 'I found ' || n || ' possible matches. ' || CASE WHEN len(kinds) = 1 THEN 'Was it the one with ' || kinds[1] || '?' ELSE 'Which kind? (' || array_to_string(kinds, ' or ') || ')' END AS asked FROM t")
+def question_texts(spark, sf):
+    t = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("event_type")).alias("kinds"))
+    return t.select("user_id", requests.question(F.lit("Which kind?"), F.col("kinds"), F.col("n")).alias("asked"))
