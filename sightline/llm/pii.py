@@ -16,8 +16,6 @@ summed where it is read.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,16 +109,15 @@ def places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return each.select("doc_id", "tx", "p.*").join(patterns, "h")
 
 
-def bootstrap(docs: DataFrame, finds: DataFrame, rounds: int = 3, support: int = 3, share: float = 1e-3, hope: float = 0.2, trust: float = 0.8, accept: float = 0.8) -> DataFrame | None:
+def bootstrap(docs: DataFrame, finds: DataFrame, rounds: int = 3, support: int = 3, hope: float = 0.2, trust: float = 0.8, accept: float = 0.8) -> DataFrame | None:
     """doc_id, tx, extra (array of kind, a, b): identifiers that trusted patterns reach; None where there are none.
 
-    A pattern needs ``support`` different seed values, so copies of one text make none,
-    and at least ``share`` of all seeds, so there are 1 / share patterns at most.
+    A pattern needs ``support`` different seed values, so copies of one text make none;
+    how large the corpus is makes no difference.
     """
     seeds = finds.select("doc_id", "tx", F.explode("finds").alias("f")).select("doc_id", "f.value", F.regexp_extract("f.before", rf"({WORD})[\x20\x09-\x0D]+({WORD})[\x20\x09-\x0D]+$", 1).alias("x"), F.regexp_extract("f.before", rf"({WORD})[\x20\x09-\x0D]+({WORD})[\x20\x09-\x0D]+$", 2).alias("y"))
     known = materialize(seeds.where("x <> ''").select("doc_id", "value", F.xxhash64(F.lower("x"), F.lower("y")).alias("h")), "pii-seeds")
-    least = math.ceil(share * known.count())
-    patterns = materialize(known.groupBy("h").agg(F.count_distinct("value").alias("values"), F.count("*").alias("seeds")).where((F.col("values") >= support) & (F.col("seeds") >= least)).select("h", "seeds"), "pii-patterns")
+    patterns = materialize(known.groupBy("h").agg(F.count_distinct("value").alias("values"), F.count("*").alias("seeds")).where(F.col("values") >= support).select("h", "seeds"), "pii-patterns")
     n = patterns.count()
     if not n:
         return None

@@ -287,6 +287,14 @@ def test_pii_bootstrap(spark, none):
     assert new == {50: f"id:{at}:{at + 10}"}
 
 
+def test_pii_support_is_absolute(spark, none):
+    """A hot text with thousands of finds takes no pattern of five values away."""
+    rows = [(i, f"Member contact user{i}@mail.example.com", None, None, None, None) for i in range(5)]
+    rows += [(10, "member contact AB-99812/7", None, None, None, None), (11, "sent from q@w.ee " * 6000, None, None, None, None)]
+    got = {x.doc_id: x.spans for x in pii.detect(spark.createDataFrame(rows, none.schema)).collect()}
+    assert got[10] == "id:15:25"
+
+
 # ---------------------------------------------------------------- 7 WARC
 
 
