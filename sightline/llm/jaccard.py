@@ -28,7 +28,9 @@ tokens as their bitmaps in bits), then are verified by exact intersection. Where
 are first compared with one of them (a star, another centre for each combination);
 whatever that links is one class and needs no more comparison. Only nodes of different
 classes under one combination are then compared in pairs. So groups of near copies cost
-in proportion to their members, and no link between classes is lost.
+in proportion to their members, and no link between classes is lost. The links themselves
+(``pairs``, ``links``) take every candidate pair, also inside a class: their number grows
+with the square of a group of differing near copies, as the links do.
 
 Null and empty texts have the empty set, link with nothing and are their own class; a
 repeated row is another document with an equal set. A null doc_id ranks after all others.
@@ -47,6 +49,8 @@ from .common import discard, materialize, mix64, release, shingle_hashes, small_
 RARE, VERY = 6, 256
 #: Turns of stars at most, before what is left is compared in pairs.
 STARS = 2
+#: Nodes of one combination that meet in one place when all pairs are asked for.
+CHUNK = 256
 FITS = 1 << 19  # rows of four longs that may be broadcast: 16 MB
 
 
@@ -247,6 +251,28 @@ class Join:
         found = self._linked(x.join(y, near).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
         return components(links.unionByName(found)) if found.head(1) else roots
 
+    def pairs(self) -> DataFrame:
+        """a, b: all pairs of nodes that link, those of one class too.
+
+        Under a combination of many nodes these are dealt into chunks, and every two
+        chunks meet in a place of their own, so no task has one combination's square.
+        """
+        many = materialize(self.multi.groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK).select("sig", F.ceil(F.col("m") / CHUNK).cast("int").alias("k")), "jaccard-many")
+        held = self.multi.join(small(many, many.count()), "sig", "left").select("sig", "node", "n", F.coalesce("k", F.lit(1)).alias("k")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+        x = held.select("sig", F.col("c").alias("cx"), F.explode(F.sequence("c", F.col("k") - 1)).alias("cy"), F.col("node").alias("a"), F.col("n").alias("n1"))
+        y = held.select("sig", F.explode(F.sequence(F.lit(0), "c")).alias("cx"), F.col("c").alias("cy"), F.col("node").alias("b"), F.col("n").alias("n2"))
+        met = x.join(y, ["sig", "cx", "cy"]).where(((F.col("cx") < F.col("cy")) | (F.col("a") < F.col("b"))) & self._near("n1", "n2"))
+        return self._linked(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+    def links(self) -> DataFrame:
+        """doc_id, links: the number of other documents that each document links with."""
+        pairs = self.pairs()
+        sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = sides.join(self.nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("near"))
+        of = self.nodes.select(F.col("node").alias("a"), "s1", "s2", "copies").join(near, "a", "left").select("s1", "s2", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        full = self.all.where("n > 0").join(of, ["s1", "s2"]).select("doc_id", "links")
+        return full.unionByName(self.all.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("links")))
+
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id (smallest doc_id of its class), copies (documents with an equal set), tx, stays (its text is that of the class's first document)."""
         names = self.nodes.select("node", "s1", "s2", "doc_id", "copies").join(self.classes, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -27,6 +27,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.Join(_table(spark, sf_dir, "documents"), width=3, percent=90).result().select("doc_id", "n_shingles", "component_id", "copies")
 
 
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.Join(_table(spark, sf_dir, "documents"), width=3, percent=90).links()
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_sstable, op2_jaccard_join, op3_language_id, op4_external_shuffle, op5_source_mixing, op6_pii_bootstrap, op7_warc_normaliser, op8_norm_bucket_topk, op9_line_dedup, op10_string_tiling)
+    f.__name__: f for f in (op1_token_sstable, op2_jaccard_join, op2_jaccard_links, op3_language_id, op4_external_shuffle, op5_source_mixing, op6_pii_bootstrap, op7_warc_normaliser, op8_norm_bucket_topk, op9_line_dedup, op10_string_tiling)
 }
 
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

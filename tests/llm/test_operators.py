@@ -125,6 +125,18 @@ def test_jaccard(spark, docs, none, monkeypatch, width, percent, limits):
     assert jaccard.Join(none, width, percent).result().count() == 0
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (1, 80)])
+def test_jaccard_links(spark, docs, monkeypatch, width, percent):
+    monkeypatch.setattr(jaccard, "RARE", 3)
+    monkeypatch.setattr(jaccard, "VERY", 12)
+    monkeypatch.setattr(jaccard, "CHUNK", 5)
+    rows = rows_of() + [(1000 + r[0], *r[1:]) for r in linked_rows(width * percent + 3)]
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if (w := re.findall(WS, low(r[1] or ""))) else set() for r in rows]
+    want = [(r[0], sum(bool(x and y) and i != j and 100 * len(x & y) >= percent * len(x | y) for j, y in enumerate(sets))) for i, (r, x) in enumerate(zip(rows, sets, strict=True))]
+    got = jaccard.Join(spark.createDataFrame(rows, docs.schema), width, percent).links().collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
 def test_prefixes_meet():
     """Linked sets share an indexed combination, whatever the classes are."""
     r = np.random.default_rng(1)
