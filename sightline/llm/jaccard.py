@@ -16,7 +16,10 @@ A node indexes, in that order,
 * else all its rare tokens alone, and combinations of neighbours in its frequent tokens -
   pairs in class 2, triples in class 3 - over a prefix extended until
   r + (f2 - 1) / 2 + (f3 - 2) / 3 > D. A differing token breaks at most k combinations
-  of k neighbours, so D of them can't break them all.
+  of k neighbours, so D of them can't break them all. A set of few tokens may end before
+  that sum is reached; where that can be (``short``), it and all sets that may link to one
+  so short also index their first e + 1 tokens in order of hash, each alone: of linked
+  sets' such tokens one is common to both, whatever the classes.
 
 Take linked x and y, x's prefix ending first: what x's prefix shares with y lies in
 y's prefix too, hence they share an indexed combination. Sets of fewer than
@@ -38,6 +41,8 @@ repeated row is another document with an equal set. A null doc_id ranks after al
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -59,6 +64,17 @@ def bounds(n: int, percent: int) -> tuple[int, int]:
     return n + (-percent * n) // 100, (100 - percent) * n // percent
 
 
+@functools.cache
+def short(n: int, percent: int) -> bool:
+    """Whether a set of n tokens, or one that it may link to, can have too few combinations for D."""
+
+    def fails(m: int) -> bool:
+        least = min(2 * max(0, m - 2), 3 * (m - 1), *(3 * (f2 - 1) + 2 * max(0, m - f2 - 2) for f2 in range(1, m)), 6 * m)
+        return least <= 6 * bounds(m, percent)[1]
+
+    return any(fails(m) for m in range(max(2, -(-percent * n // 100)), 100 * n // percent + 1))
+
+
 def token_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text), n))
 
@@ -297,7 +313,7 @@ def combinations(tokens: np.ndarray, classes: dict[int, int], percent: int) -> n
     f2 = min(len(two), max(0, (6 * d - 6 * r) // 3 + 2))
     missing = 6 * d - 6 * r - 3 * max(0, f2 - 1)
     f3 = min(len(three), missing // 2 + 3) if missing >= 0 else 0
-    parts = [one]
+    parts = [one, tokens[: e + 1]] if short(len(tokens), percent) else [one]
     with np.errstate(over="ignore"):
         for k, own in ((2, two[:f2]), (3, three[:f3])):
             if len(own) >= k:

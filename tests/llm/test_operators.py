@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on rows with every odd case."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -137,6 +138,20 @@ def test_jaccard_links(spark, docs, monkeypatch, width, percent):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def test_small_prefixes_meet():
+    """From the least size on: every class assignment, with a token of any class put in anywhere."""
+    for percent, sizes in ((80, (4, 5, 6)), (90, (9,))):
+        assert sizes[0] == 100 // (100 - percent) - 1
+        for n in sizes:
+            for kinds in itertools.product((1, 2, 3), repeat=n) if n < 9 else [(3,) * 9, (2,) + (3,) * 8, (2, 2) + (3,) * 7]:
+                x = np.arange(10, 10 * n + 10, 10).astype(np.uint64)
+                classes = dict(zip(x.tolist(), kinds, strict=True))
+                one = jaccard.combinations(x, classes, percent)
+                for at, kind in itertools.product(range(n + 1), (1, 2, 3)):
+                    y = np.sort(np.append(x, np.uint64(10 * at + 5)))
+                    assert np.intersect1d(one, jaccard.combinations(y, classes | {10 * at + 5: kind}, percent)).size
+
+
 def test_prefixes_meet():
     """Linked sets share an indexed combination, whatever the classes are."""
     r = np.random.default_rng(1)
