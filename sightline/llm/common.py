@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
+import contextlib
 import gc
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
 
@@ -28,9 +29,9 @@ def scratch(spark: SparkSession, name: str) -> str:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="sightline-")
-        if "://" not in base and not base.startswith("file:"):
-            base = "file://" + base
-        _ROOTS[app] = f"{base.rstrip('/')}/sightline-{uuid.uuid4().hex[:12]}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)  # a name without scheme is of the cluster's own file system
+        full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        _ROOTS[app] = f"{full.rstrip('/')}/sightline-{uuid.uuid4().hex[:12]}"
         atexit.register(_remove, spark, _ROOTS[app])
     return f"{_ROOTS[app]}/{name}-{uuid.uuid4().hex[:8]}"
 
@@ -61,10 +62,25 @@ def discard(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of whole texts go to Python few at a time: what a worker holds is bounded by these."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While it lasts, rows of whole texts go to Python few at a time: what a worker holds is bounded by these."""
+    before = spark.conf.get(BATCH, "10000")
+    if int(before) > rows or int(before) < 1:
+        spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def keep_batches_small(spark: SparkSession, rows: int = 1000) -> None:
+    """The same for a plan that is handed back unrun: the setting is read when it runs, so it must stay."""
+    if int(spark.conf.get(BATCH, "10000")) > rows:
+        spark.conf.set(BATCH, str(rows))
 
 
 def open_fs(uri: str):
@@ -74,38 +90,30 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
-#: What a worker process keeps between tasks; tasks of other kinds let it go, as workers are used again.
-KEPT: dict = {}
-
+def running_sums(rows: DataFrame, keys: list[str], at: str, value: str, out: str, group: int = 4096) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` in the rows before, by ``at`` (whole numbers from 0), within ``keys``.
 
-def release() -> None:
-    if KEPT:
-        KEPT.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)  # else the process keeps what it has freed
-        except (OSError, AttributeError):
-            pass
+    In two levels, so no task orders more than ``group`` rows or a row a group of them.
+    """
+    tall = rows.withColumn("_g", F.floor(F.col(at) / group))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = tall.groupBy(*keys, "_g").agg(F.sum(value).alias("_s"))
+    base = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_g").alias("_h"), F.coalesce(F.sum("_s").over(before(keys, "_g")), F.lit(0).cast("long")).alias("_base"))
+    same = F.col("_g") == F.col("_h")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
+    inner = tall.withColumn("_own", F.coalesce(F.sum(value).over(before([*keys, "_g"], at)), F.lit(0).cast("long")))
+    return inner.join(base, same).select(*rows.columns, (F.col("_base") + F.col("_own")).alias(out))
 
 
 # ---------------------------------------------------------------- word hashing
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CHUNK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_pow: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _pow or len(_pow[0]) < n:
-        size = max(n, 1 << 14)
-        with np.errstate(over="ignore"):
-            _pow[:] = [np.cumprod(np.full(size, b, dtype=np.uint64)) for b in (_BASE, _INV)]
-    return _pow[0], _pow[1]
+_NEAR = 64  # places in a word whose bytes have their number in a table
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -116,17 +124,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _numbers(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A number of its own for each byte at each place of a word."""
+    return mix64(mix64(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + byte.astype(np.uint64))
+
+
+_TABLE = np.ascontiguousarray(_numbers(np.arange(_NEAR)[:, None], np.arange(256)[None, :]))
+_TABLE[:, _SPACE] = 0
+
+
 def _hash_piece(raw: np.ndarray) -> np.ndarray:
+    """Words' hashes: the sum of their bytes' numbers, and the length, mixed. No algebra of places lets words collide by construction."""
     space = _SPACE[raw]
     edge = np.diff(space.astype(np.int8), prepend=1, append=1)
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
         return np.empty(0, np.uint64)
-    up, down = _powers(len(raw) + 1)
+    low = _LOWER[raw[start[0] :]]
+    place = np.arange(len(low)) - np.repeat(start - start[0], np.diff(np.append(start, len(raw))))
+    each = _TABLE[np.minimum(place, _NEAR - 1), low]
+    far = np.flatnonzero((place >= _NEAR) & ~space[start[0] :])
+    each[far] = _numbers(place[far], low[far])
     with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-        return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        return mix64(np.add.reduceat(each, start - start[0]) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_hashes(text: str | None) -> np.ndarray:

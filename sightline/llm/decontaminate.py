@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, shingle_hashes, small_batches, word_hashes
+from .common import keep_batches_small, shingle_hashes, word_hashes
 
 WORD = re.compile(r"[^\W_]+")
 BLOCK_WORDS = 1 << 20
@@ -151,14 +151,13 @@ def blocks(benchmark: DataFrame, least: int) -> list[Block]:
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
     """A row for each document and benchmark item of which it holds ``share`` or more."""
     spark = docs.sparkSession
-    small_batches(spark)
+    keep_batches_small(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def scan(block: Block) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)  # at most BLOCK_WORDS words and one item
 
         def run(batches):
-            release()
             for batch in batches:
                 got = [(doc_id, *leak) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for leak in shared.value.leaks(words(text.as_py()), least, share)]
                 if got:
@@ -176,14 +175,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float =
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
     """The rows of docs that leak no item."""
     spark, columns = docs.sparkSession, docs.columns
-    small_batches(spark)
+    keep_batches_small(spark)
     out = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row"))
 
     def keep(block: Block):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches):
-            release()
             for batch in batches:
                 yield batch.filter(pa.array([next(shared.value.leaks(words(t.as_py()), least, share), None) is None for t in batch.column(0)], pa.bool_()))
 

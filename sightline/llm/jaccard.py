@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, release, shingle_hashes, small_batches, word_hashes
+from .common import discard, keep_batches_small, materialize, mix64, shingle_hashes, word_hashes
 
 #: A rare token lies in the regions of at most RARE nodes, a frequent one in VERY at most.
 RARE, VERY = 6, 256
@@ -105,7 +105,6 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
     least = 100 // (100 - percent) - 1
 
     def run(batches):
-        release()
         for batch in batches:
             cols = [[], [], [], [], []]
             for text in batch.column(2):
@@ -132,7 +131,7 @@ class Join:
     def __init__(self, docs: DataFrame, width: int = 3, percent: int = 90):
         self.docs, self.width, self.percent = docs, width, percent
         self.spark = docs.sparkSession
-        small_batches(self.spark)
+        keep_batches_small(self.spark)
         full = materialize(described(docs, width, percent), "jaccard-docs")
         first = full.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
         self.nodes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-nodes")
@@ -167,7 +166,6 @@ class Join:
         rows = full.join(known, "node", "left").select("node", "n", "tokens", "often")
 
         def run(batches):
-            release()
             for batch in batches:
                 sigs, owners, sizes = [], [], []
                 for node, n, tokens, often in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -200,7 +198,6 @@ class Join:
         found = found.where("copies = 1").unionByName(again).drop("copies")
 
         def run(batches):
-            release()
             for batch in batches:
                 out = ([], [], [])
                 for node, s1, s2, text in zip(*(batch.column(i) for i in range(4)), strict=True):

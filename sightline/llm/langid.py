@@ -10,7 +10,9 @@
 
 Rows may be learned from when lang isn't null, doc_id isn't null and crc32(doc_id as
 text) mod 4 isn't 2. A prediction sees the text alone. Null texts and texts without a
-letter are ``und`` with score 0. With nothing to learn from, every text is ``und``.
+letter are ``und`` with score 0. With nothing to learn from, every text is ``und``. An
+empty table gives no rows; columns beside doc_id, text and lang, whatever their names,
+play no part. Repeated rows have equal predictions; a very long text is read in pieces.
 A null doc_id has a null ``held_out``. The rows are only mapped: no shuffle, no skew.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, release, small_batches
+from .common import keep_batches_small, materialize, mix64, small_batches
 
 DIMS = 1 << 15
 PIECE = 1 << 19
@@ -44,21 +46,22 @@ _TABLE: list[np.ndarray] = []
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(features, counts) of a whole text; long texts piece by piece, n-grams across the cuts included."""
+    """(features, counts) of a whole text; a long text comes piece by piece, each with the last two characters kept before it, so cuts change nothing."""
     if not _TABLE:
         _TABLE.append(_letters())
-    total = np.zeros(DIMS, np.int64)
+    total, last = np.zeros(DIMS, np.int64), np.empty(0, np.uint64)
     for at in range(0, max(1, len(text)), PIECE):
-        piece = text[max(0, at - 2) : at + PIECE].lower().encode("utf-32-le", "surrogatepass")
-        c = _TABLE[0][np.frombuffer(piece, "<u4")].astype(np.uint64)
+        piece = text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass")
+        c = np.concatenate([last, _TABLE[0][np.frombuffer(piece, "<u4")].astype(np.uint64)])
         kept = np.ones(len(c), bool)
         kept[1:] = (c[1:] != _BLANK) | (c[:-1] != _BLANK)  # runs of blanks are one
-        c, back = c[kept], min(2, at)
+        c, back = c[kept], len(last)
         two, three = c[:-1] * np.uint64(0x110000) + c[1:] if len(c) > 1 else c[:0], c[:0]
         if len(c) > 2:
             three = (two[:-1] * np.uint64(0x110000) + c[2:]) ^ np.uint64(1 << 63)
         for grams, new in ((c, back), (two, max(0, back - 1)), (three, 0)):
             total += np.bincount((mix64(grams[new:]) >> np.uint64(49)).astype(np.int64), minlength=DIMS)
+        last = c[-2:]
     found = np.flatnonzero(total)
     return found, total[found]
 
@@ -134,14 +137,17 @@ def fold(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, per_lang: int = 1500, seed: int = 17) -> Model:
     """``docs``: doc_id, text, lang. Document frequencies come from all learnable rows, the fit from about per_lang rows a language."""
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _train(docs, per_lang, seed)
+
+
+def _train(docs: DataFrame, per_lang: int, seed: int) -> Model:
     learn = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2))
     spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
     langs = {r[0]: r[1] for r in learn.groupBy("lang").count().collect()}
     names = sorted(langs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         df, rows = np.zeros(DIMS, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
@@ -160,7 +166,6 @@ def train(docs: DataFrame, per_lang: int = 1500, seed: int = 17) -> Model:
         share = F.when(F.col("lang") == name, F.lit(min(1 << 30, -(-per_lang * (1 << 30) // n)))).otherwise(share)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             rows = [(gram_counts(t), lang, h) for t, lang, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0][0].astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([r[0][1].astype("<f4").tobytes() for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["f", "n", "lang", "h"])
@@ -179,11 +184,10 @@ def train(docs: DataFrame, per_lang: int = 1500, seed: int = 17) -> Model:
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns ``keep`` of docs with lang_pred and score of their text."""
     spark = docs.sparkSession
-    small_batches(spark)
+    keep_batches_small(spark)
     shared = spark.sparkContext.broadcast(Model(model.langs, model.idf.astype(np.float32), model.weights.astype(np.float32), model.bias, model.temperature))  # DIMS x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             got = [shared.value.predict(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*(batch.columns if with_text else batch.columns[1:]), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*(["text"] if with_text else []), "kept", "lang_pred", "score"])
@@ -197,5 +201,6 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 def identify(docs: DataFrame, per_lang: int = 1500) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    out = predict(rows, train(rows, per_lang), "doc_id")
+    with small_batches(docs.sparkSession):
+        out = materialize(predict(rows, train(rows, per_lang), "doc_id"), "languages")
     return out.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")

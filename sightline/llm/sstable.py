@@ -21,8 +21,8 @@ names a file, so half-written shards are never read. An empty table gives no sha
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEPT, materialize, mix64, open_fs, release, scratch, small_batches
+from .common import materialize, mix64, open_fs, scratch, small_batches
 
 MAGIC = b"SSTTOK01"
 FOOTER = struct.Struct("<QQQQQQIIB7x8s")  # index off/len, bloom off/len, docs, tokens, blocks, bloom hashes, id width, magic
@@ -49,84 +49,139 @@ def id_of(key: bytes) -> int | None:
     return int.from_bytes(key, "big") - (1 << 63) if key else None
 
 
-#: Letters whose lower case and normal form are one letter each, then marks that stand alone.
-PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]{1,48})([.,;:!?|]{0,4})")
+# ---------------------------------------------------------------- encoding
 
+#: Classes of bytes: white space, letters, digits, marks, and all that only the library may judge.
+BLANK, LETTER, DIGIT, MARK, ODD = range(5)
+_CLASS = np.full(256, ODD, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = BLANK
+_CLASS[0x21:0x7F] = MARK
+_CLASS[[0x27, 0x3C]] = ODD  # an apostrophe may begin an ending, an angle bracket a special token
+_CLASS[0x30:0x3A] = DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _CLASS[0xC3] = _CLASS[0x80:0xC0] = LETTER  # 0xC3 leads U+00C0 to U+00FF
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[0x41:0x5B] += 32
+#: Bytes of text that are encoded together.
+CHUNK = 8 << 20
 
-class WordEncoder:
-    """Whole texts through the tokenizers library, each distinct word once.
 
-    The vocabulary drops white space and never joins across it, so the ids of a text
-    are those of its blank-separated words in order. Words of plain letters, with marks
-    behind or not, are encoded by their lower-case stem: stems are handed to the library
-    together, and each ends with its only token that ends a word. Both caches are
-    bounded and live as long as the worker process.
+class WordEncoder:
+    """Whole texts through the tokenizers library, each distinct unit of a chunk once.
+
+    The vocabulary splits texts into runs of letters, single digits and runs of marks,
+    drops white space, and never joins across these. Such units are cut, lower-cased and
+    made distinct on whole byte arrays, and the library gets the distinct ones in one call;
+    each unit's ids end with its only token that ends a word. Words with anything but
+    ASCII and the letters U+00C0 to U+00FF go to the library as they are. Nothing is kept
+    from chunk to chunk, so memory is bounded by CHUNK and the longest text.
     """
 
-    def __init__(self, path: str, words: int = 200_000, stems: int = 450_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lib, self.words, self.stems = Tokenizer.from_file(path), words, stems
+        self.lib = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            plain = json.load(f)
+        # the same model for units that are normal already
+        plain |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}}
+        self.units = Tokenizer.from_str(json.dumps(plain))
         self.ends = np.zeros(self.lib.get_vocab_size(), bool)
         for token, i in self.lib.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.cache: dict[str, bytes] = {"": b""}
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.cache) > self.words:
-            self.cache = {"": b""}
-        if len(self.known) > self.stems:
-            self.known = {}
-        once = self._learn({w for w in words if w not in self.cache})
-        return b"".join([once[w] if w in once else self.cache[w] for w in words] if once else map(self.cache.__getitem__, words))
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Fill the cache; the ids of words too long for it come back."""
-        plain, odd, once = [], [], {}
-        for w in new:
-            if m := PLAIN.fullmatch(w):
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                odd.append(w)
-        stems = [x for x in {x for _, x, _ in plain} if x not in self.known]
-        if stems:
-            ids = np.asarray(self.lib.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(stems) and ends[-1] == len(ids):
-                raw, at = ids.tobytes(), 0
-                for stem, end in zip(stems, (ends * 4).tolist(), strict=True):
-                    self.known[stem] = raw[at:end]
-                    at = end
-            else:  # not a vocabulary with word ends
-                self.known |= zip(stems, self._each(stems), strict=True)
-        marks = [x for x in {x for *_, x in plain if x} if x not in self.known]
-        self.known |= zip(marks, self._each(marks), strict=True)
-        for w, stem, mark in plain:
-            self.cache[w] = self.known[stem] + self.known[mark] if mark else self.known[stem]
-        for w, ids in zip(odd, self._each(odd), strict=True):
-            (self.cache if len(w) <= 64 else once)[w] = ids
-        return once
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
-
-
-def encoder(path: str, words: int, stems: int) -> WordEncoder:
-    """The process's encoder for a tokenizer file."""
-    if path not in KEPT:
-        release()
-        KEPT[path] = WordEncoder(path, words, stems)
-    return KEPT[path]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return next(self.encode_all(pa.array([text], pa.string())))
+
+    def encode_all(self, texts: pa.StringArray, end_id: int | None = None):
+        """Ids of each text in turn, ``end_id`` behind them."""
+        texts = texts if texts.offset == 0 else pa.concat_arrays([texts])
+        for a, b in chunks(np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1] if len(texts) else np.zeros(1, np.int32)):
+            ids, bounds = self._chunk(pa.concat_arrays([texts.slice(a, b - a)]), end_id)
+            for k in range(b - a):
+                yield ids[bounds[k] : bounds[k + 1]]
+
+    def _chunk(self, texts: pa.StringArray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, and where each text's begin."""
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[: n + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+        codes, starts, names, odd = cut_units(raw, offsets)
+        ids, at = self._distinct(names, odd)
+        bounds = np.searchsorted(starts, offsets).astype(np.int64)
+        if end_id is not None:  # one more unit, at the end of every text
+            ids, at = np.append(ids, np.uint32(end_id)), np.append(at, at[-1] + 1)
+            codes = np.insert(codes, bounds[1:], len(names))
+            bounds = bounds + np.arange(n + 1)
+        size = np.diff(at)[codes]
+        to = np.concatenate([[0], np.cumsum(size)])
+        return ids[np.repeat(at[codes] - to[:-1], size) + np.arange(to[-1])], to[bounds]
+
+    def _distinct(self, names: list[str], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units, and where each unit's begin."""
+        plain = np.flatnonzero(~odd)
+        parts = [np.empty(0, np.uint32)] * len(names) if odd.any() else None
+        ids = np.asarray(self.units.encode_batch_fast([" ".join([names[i] for i in plain.tolist()] if odd.any() else names)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        if len(at) != len(plain) + 1 or at[-1] != len(ids):  # not a vocabulary with word ends
+            parts = self._each(names)
+        elif not odd.any():
+            return ids, at
+        else:
+            for i, part in zip(plain.tolist(), np.split(ids, at[1:-1]), strict=False):
+                parts[i] = part
+            left = np.flatnonzero(odd).tolist()
+            for i, part in zip(left, self._each([names[i] for i in left]), strict=True):
+                parts[i] = part
+        return np.concatenate([np.empty(0, np.uint32), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+    def _each(self, words: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def chunks(offsets: np.ndarray):
+    """(first, end) of runs of texts of CHUNK bytes at most, or of one text."""
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, int(offsets[a]) + CHUNK, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def cut_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Units of texts laid end to end: the number of each, where it begins, the distinct ones, and which of these are whole odd words."""
+    if not len(raw):
+        return np.empty(0, np.int64), np.empty(0, np.int64), [], np.empty(0, bool)
+    kind, low = _CLASS[raw], _LOW[raw]
+    lead = np.flatnonzero(raw == 0xC3)
+    second = raw[lead + 1]
+    kind[lead[(second == 0x97) | (second == 0xB7)]] = ODD  # the signs of multiplication and division
+    upper = lead[(second <= 0x9E) & (second != 0x97)] + 1
+    low[upper] += 32
+    fresh = np.zeros(len(raw) + 1, bool)
+    fresh[offsets] = True
+    fresh = fresh[:-1]
+    if (kind == ODD).any():
+        full = kind != BLANK
+        begin = np.flatnonzero(full & (fresh | np.concatenate([[True], ~full[:-1]])))
+        strange = np.logical_or.reduceat(kind == ODD, begin)
+        size = np.diff(np.append(begin, len(raw)))
+        whole = np.zeros(len(raw), bool)
+        whole[begin[0] :] = np.repeat(strange, size)
+        whole &= full
+        kind[whole], low[whole] = ODD, raw[whole]
+    first = kind != BLANK
+    first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) | fresh[1:]
+    starts = np.flatnonzero(first)
+    used = kind != BLANK
+    lengths = np.cumsum(used)
+    ends = np.append((lengths[starts] - 1)[0:], lengths[-1]).astype(np.int32)
+    units = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(low[used]))
+    told = units.dictionary_encode()
+    codes = told.indices.to_numpy()
+    odd = np.zeros(len(told.dictionary), bool)
+    odd[codes[kind[starts] == ODD]] = True
+    return codes, starts, told.dictionary.to_pylist(), odd
 
 
 def _varint(n: int) -> bytes:
@@ -272,28 +327,32 @@ class Shard:
         return found
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, docs_per_shard: int = 8192, vocab: int = 49_408, words: int = 200_000, stems: int = 450_000) -> DataFrame:
-    """Write ``docs`` (doc_id, text) as shards; the manifest, a row a shard in key order, with the tokens before it in ``start``."""
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, docs_per_shard: int = 8192, vocab: int = 49_408, most: int = 1 << 15) -> DataFrame:
+    """Write ``docs`` (doc_id, text) as shards; the manifest, a row a shard in key order, with the tokens before it in ``start``.
+
+    There are ``most`` shards at most: beyond docs_per_shard * most documents shards grow.
+    """
     out = scratch(docs.sparkSession, "sst")
-    small_batches(docs.sparkSession)
 
     def write(batches):
-        own, writer = encoder(tokenizer, words, stems), None
+        own, writer = WordEncoder(tokenizer), None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            texts = own.encode_all(batch.column(1), end_id)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
                 if writer is None:
                     writer = ShardWriter(f"{out}/{uuid.uuid4().hex}.sst", vocab)
-                ids = np.frombuffer(own.encode(text.as_py()), "<u4")
-                writer.add(key_of(doc_id), np.append(ids, np.uint32(end_id)))
+                writer.add(key_of(doc_id), ids)
         if writer is not None:
             row = {"shard": TaskContext.get().partitionId()} | writer.close()
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), *((k, pa.int64()) for k in list(row)[2:])]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = max(1, -(-rows.count() // docs_per_shard))
+    n = rows.count()
+    shards = max(1, -(-n // max(docs_per_shard, -(-n // most))))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    done = materialize(rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST), "sst-manifest")
-    # a row a shard: small, so one ordered running sum is enough
+    with small_batches(docs.sparkSession, 4000):
+        done = materialize(rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST), "sst-manifest")
+    # a row a shard, of which there are ``most``: one ordered running sum is enough
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return done.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
