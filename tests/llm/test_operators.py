@@ -315,15 +315,82 @@ def test_pii_base(spark, docs, none):
     assert pii.detect(docs).count() == len(rows_of()) and pii.detect(none).count() == 0
 
 
-def test_pii_bootstrap(spark, none):
-    rows = [(i, f"Some words here. Reach them: Member contact user{i}@mail.example.com and more text follows it", None, None, None, None) for i in range(20)]
-    rows += [(50, "é before it: member contact AB-99812/7, then", None, None, None, None), (51, "no pattern AB-99812/8 here", None, None, None, None), (50, "é before it: member contact AB-99812/7, then", None, None, None, None)]
-    rows += [(60 + i, "member of 42X-17 and " * 3, None, None, None, None) for i in range(5)]
-    got = pii.detect(spark.createDataFrame(rows, none.schema)).collect()
+def brute_ids(rows, support=3, trust=0.8, accept=0.8):
+    """The bootstrap in plain loops: (row number, start, end) of spans that only context tells."""
+    places, total, seeds = [], Counter(), set()
+    for at, r in enumerate(rows):
+        text = r[1] or ""
+        glued = re.sub(r"(?<=[0-9)])\x20(?=[0-9(])", pii.GLUE, text)
+        for span in brute_spans(text):
+            _, a, b = span.split(":")
+            seeds.add(text[int(a) : int(b)].lower().replace(" ", pii.GLUE))
+        found = list(re.finditer(WS, glued))
+        w = ["", "", *[m[0] for m in found], ""]
+        for k, m in enumerate(found):
+            x, p2, p1, n1 = m[0], *(v.lower() for v in (w[k], w[k + 1], w[k + 3]))
+            o, c = (x[0] if x[0] in pii.OPENING else ""), (x[-1] if x[-1] in pii.CLOSING else "")
+            hs = [("l2", p2, p1, o), ("l", p1, o), ("r", c, n1), ("b", p1, o, c, n1)]
+            total.update(hs)
+            clean = x.lstrip(pii.OPENING).rstrip(pii.CLOSING)
+            if re.search("[0-9@]", x) and len(clean) >= 5:
+                a = m.start() + len(x) - len(x.lstrip(pii.OPENING))
+                places.append((at, a, a + len(clean), clean, hs))
+    n, shaped, score = defaultdict(Counter), {}, {}
+    for *_, clean, hs in places:
+        key = clean.lower()
+        shaped[key] = shaped.get(key) or bool(re.fullmatch(pii.SHAPE, clean))
+        score[key] = 1.0 if key in seeds or re.fullmatch(pii.DIGEST, key) else 0.0
+        for h in hs:
+            n[h][key] += 1
+    while True:
+        conf = {}
+        for h, each in n.items():
+            c = sum(k * score[i] for i, k in each.items()) / total[h]
+            if sum(score[i] > 0 for i in each) >= support and c >= trust:
+                conf[h] = c
+        new = {}
+        for i in score:
+            mine = [conf[h] for h in conf if i in n[h]]
+            if not score[i] and shaped[i] and mine and (s := 1 - math.prod(1.0000001 - c for c in mine)) >= accept:
+                new[i] = s
+        if not new:
+            break
+        score |= new
+    own = [[tuple(map(int, s.split(":")[1:])) for s in brute_spans(r[1])] for r in rows]
+    return {(at, a, b) for at, a, b, clean, hs in places if score[clean.lower()] > 0 and any(h in conf for h in hs) and not any(x < b and a < y for x, y in own[at])}
+
+
+def check_ids(spark, none, rows):
+    got = pii.detect(spark.createDataFrame([(i, r[1], None, None, None, None) for i, r in enumerate(rows)], none.schema).repartition(3)).collect()
     assert len(got) == len(rows)
-    new = {x.doc_id: x.spans for x in got if "id:" in x.spans}
-    at = rows[20][1].index("AB-")
-    assert new == {50: f"id:{at}:{at + 10}"}
+    mine = {(x.doc_id, *map(int, s.split(":")[1:])) for x in got for s in x.spans.split(",") if s.startswith("id:")}
+    assert mine == brute_ids(rows)
+    assert all(x.n_spans == len([s for s in x.spans.split(",") if s]) and x.n_id == x.spans.count("id:") for x in got)
+    return {(rows[at][1] or "")[a:b] for at, a, b in mine}
+
+
+def test_pii_bootstrap(spark, none):
+    rows = [(i, f"Some words here. Reach them: Member contact user{i}@mail.example.com and more text follows it") for i in range(20)]
+    rows += [(50, "é before it: member contact AB-99812/7, then"), (51, "no pattern AB-99812/8 here"), (50, "é before it: member contact AB-99812/7, then")]
+    rows += [(60 + i, "member of 42X-17 and " * 3) for i in range(5)]
+    assert check_ids(spark, none, rows) == {"AB-99812/7"}
+
+
+def test_pii_second_round_and_secrets(spark, none):
+    """Digests seed a context; what it reaches induces another context, which reaches what no seed stands near."""
+    rows = [(i, f'x{i} token = "{hashlib.sha1(str(i).encode()).hexdigest()}" y{i}') for i in range(60)]
+    rows += [(i, f"z token = \"K{i}-77{i}-AB\" q") for i in range(8)] + [(i, f"badge number K{i}-77{i}-AB, of late") for i in range(8)]
+    rows += [(99, "badge number ZZ-1234 of late"), (98, "Token = \"9233A8ECF7C5B09FE5949719B6B82BC439E9329B\"!! and"), (97, "in year 12345 we had 12345"), (96, None), (95, "")]
+    told = check_ids(spark, none, rows)
+    assert {"ZZ-1234", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "K1-771-AB"} <= told and "12345" not in told
+
+
+def test_pii_bootstrap_at_random(spark, none):
+    r = np.random.default_rng(9)
+    bits = ["call", "me", "at", "the", '"', "a@b.com", "u@v.org", "c@d.net", "1.2.3.4", "9.8.7.6", "+1 (555) 123-4567", "AB-12345", "CD-67890,", '"EF-1111"', "(x9y8z7)", "id:", "4111 1111 1111 1111", "é"]
+    for _ in range(3):
+        rows = [(i, " ".join(r.choice(bits, int(r.integers(1, 12)))) if i % 9 else "call me " + str(r.choice(bits[5:15]))) for i in range(70)]
+        check_ids(spark, none, rows)
 
 
 def test_pii_support_is_absolute(spark, none):
@@ -397,7 +464,7 @@ def test_top_k(spark, spread):
 
 
 def test_top_k_of_huge_numbers(spark):
-    rows = [(100 * i, [1e15 * (i - 3), 3.0]) for i in range(8)]
+    rows = [(100 * i, [1e15 * (i - 3), 3.0]) for i in range(60)]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 300").collect()
     assert len(got) == 7
 
