@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import COLOR_ALIASES, COLORS, padded
+from .text import COLOR_ALIASES, COLORS, named_in_script, padded, simplified
+from .words import COLORS_CJK, GREETINGS_ZH, JOINERS, LANGUAGES, MATERIALS, MISSPELLED, NAMES, OBJECTS_CJK, RELATIONS_EN, SENTENCES, SIZES
 
 # fixed values: spellings that are put right first, in this order
 REWRITES = {"w/": " with ", "w/o": " without ", "next 2": " next to ", "nxt to": " next to ", "besids": " beside ", "besid": " beside ", "nearby": " near "}
@@ -53,6 +54,8 @@ NONE_OF = ["none", "neither", "no ", "없", "아니"]
 ENDINGS = ["색", "色", "的", "이야", "예요", "요", "인데", "거", "것", "이", "가", "은", "는"]
 # fixed values: greetings that wake by themselves as the first word
 GREETINGS = ["헤이", "해이", "혜이", "헤에이", "헤이요", "하이", "에이", "예이", "안녕", "여보세요", "hey", "heyy", "hei", "hay", "hi", "hiya", "hello", "yo"]
+#: Hangul and Han.
+CJK = r"[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7A3}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
 # fixed values: what English calls the objects
 OBJECTS = {
     "bottle": ["bottle", "water bottle", "flask", "thermos", "tumbler"],
@@ -164,9 +167,10 @@ def nearly(lookup: dict[str, str]):
         def one(word):
             if word not in seen:
                 best = difflib.get_close_matches(word, known, n=1, cutoff=0.84) if len(word) >= 5 else []
-                seen[word] = lookup[best[0]] if best and abs(len(best[0]) - len(word)) <= 1 else None
-                if len(seen) > 100_000:
-                    return seen.popitem()[1]
+                told = lookup[best[0]] if best and abs(len(best[0]) - len(word)) <= 1 else None
+                if len(seen) >= 100_000:
+                    return told
+                seen[word] = told
             return seen[word]
 
         return rows.map(lambda ws: None if ws is None else list(dict.fromkeys(v for v in map(one, ws) if v)))
@@ -178,24 +182,30 @@ def _tokens(rest: Column) -> Column:
     return F.filter(F.split(F.trim(rest), " "), lambda w: w != "")
 
 
-def with_types(df: DataFrame, text: str, out: str, synonyms: dict[str, list[str]]) -> DataFrame:
-    """``out``: the object types the text names - as words, else within one run-on word, else nearly spelled."""
-    lookup = {w: t for t, ws in synonyms.items() for w in ws}
+def with_types(df: DataFrame, text: str, out: str, synonyms: dict[str, list[str]], cjk: dict[str, list[str]] | None = None) -> DataFrame:
+    """``out``: the object types the text names - in Korean or Chinese, else as words, else within one run-on word, else nearly spelled."""
+    lookup = {w.lower(): t for t, ws in synonyms.items() for w in ws}
+    lookup |= {w: t for w, t in MISSPELLED.items() if t in synonyms}
     df = df.withColumn("_s", spoken_names(F.col(text), lookup))
     token = F.trim(F.col("_s.rest"))
     inside = F.filter(_words([w for w in _longest(lookup) if len(w) >= 5]), lambda w: F.contains(token, w))
     run_on = F.when((F.length(token) > 6) & ~F.contains(token, F.lit(" ")) & (F.size(inside) > 0), F.array(F.element_at(_table(lookup), F.get(inside, F.lit(0)))))
-    df = df.withColumn("_f", F.when(F.size("_s.found") > 0, F.col("_s.found")).otherwise(run_on))
+    found = F.when(F.size("_s.found") > 0, F.col("_s.found")).otherwise(run_on)
+    if cjk:
+        own = named_in_script(simplified(F.col(text)), {w: t for t, ws in cjk.items() for w in ws})
+        found = F.when(F.col(text).rlike(CJK) & (F.size(own) > 0), own).otherwise(found)
+    df = df.withColumn("_f", found)
     guess = nearly(lookup)(F.when(F.col("_f").isNull(), _tokens(F.col("_s.rest"))))
     return df.withColumn(out, F.coalesce("_f", guess, F.array().cast("array<string>"))).drop("_s", "_f")
 
 
 def with_colors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``out``: the colours the text names, then those it nearly spells."""
+    """``out``: the colours the text names in Korean or Chinese, else in English, then those it nearly spells."""
     lookup = {**COLOR_ALIASES, **{c: c for c in COLORS}}
-    df = df.withColumn("_s", spoken_names(F.col(text), lookup, plural=False))
-    guess = nearly({c: c for c in COLORS})(_tokens(F.col("_s.rest")))
-    return df.withColumn(out, F.array_distinct(F.concat("_s.found", guess))).drop("_s")
+    df = df.withColumn("_s", spoken_names(F.col(text), lookup, plural=False)).withColumn("_k", F.when(F.col(text).rlike(CJK), named_in_script(simplified(F.col(text)), COLORS_CJK)))
+    df = df.withColumn("_k", F.when(F.size("_k") > 0, F.col("_k")))
+    guess = nearly({c: c for c in COLORS})(F.when(F.col("_k").isNull(), _tokens(F.col("_s.rest"))))
+    return df.withColumn(out, F.coalesce("_k", F.array_distinct(F.concat("_s.found", guess)), F.array().cast("array<string>"))).drop("_s", "_k")
 
 
 def without_negated(text: Column, types: Column, synonyms: dict[str, list[str]]) -> Column:
@@ -213,13 +223,17 @@ def without_negated(text: Column, types: Column, synonyms: dict[str, list[str]])
     return F.when((F.size(types) < 2) | (F.size(kept) == 0), types).otherwise(kept)
 
 
+#: A number at the beginning with the word for floor or room behind it, in any of the languages.
+FLOOR = re.compile(r"^\s*\d+\s*(?:f|楼|층의|층|호실)?\s*", re.I)
+
+
 def place_names(name: str, spoken: list[str] = ()) -> list[str]:
     """Squashed forms under which people speak of a place: its name, its parts, its spoken names with the floor and without."""
     bare = lambda s: "".join(c for c in s.lower() if c.isalnum())
     parts = [bare(p) for p in re.split("[-_]", name)]
     forms = [bare(name), *[p for p in parts if len(p) >= 3 and not re.fullmatch(r"\d+f|b\d", p)]]
     for s in spoken:
-        rest = bare(re.sub(r"^\s*\d+\s*(층의|호실|층|楼|f)?\s*", "", s))
+        rest = bare(FLOOR.sub("", s))
         forms += [bare(s), *([rest] if len(rest) >= 3 else [])]
     return [f for f in dict.fromkeys(forms) if len(f) >= 2]
 
@@ -230,17 +244,18 @@ def place_in(text: Column, places: dict[str, list[str]]) -> Column:
     forms.sort(key=lambda p: -len(p[0]))
     if not forms:
         return F.lit(None).cast("string")
-    own = squashed(text)
+    own = squashed(simplified(text))
     return F.get(F.filter(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(n).alias("n")) for f, n in forms]), lambda p: F.contains(own, p["f"])), F.lit(0))["n"]
 
 
-def parse(df: DataFrame, text: str = "text", places: dict[str, list[str]] | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+def parse(df: DataFrame, text: str = "text", places: dict[str, list[str]] | None = None, synonyms: dict[str, list[str]] | None = None, cjk: dict[str, list[str]] | None = OBJECTS_CJK) -> DataFrame:
     """Adds target_type, color, predicate, anchor_type and location of the request in ``text`` (null: all null)."""
     synonyms, at = synonyms or OBJECTS, lambda c, i: F.get(F.col(c), F.lit(i))
+    spellings = {t: [*synonyms.get(t, []), *(cjk or {}).get(t, [])] for t in dict.fromkeys([*synonyms, *(cjk or {})])}
     df = df.withColumn("_n", normal(F.col(text))).withColumn("_p", relation_phrase(F.col("_n"))).withColumn("_cut", split_at(F.col("_n"), F.col("_p")))
     df = df.withColumns({"_l": without_filler(F.col("_cut.left")), "_r": without_filler(F.col("_cut.right"))})
     for side, out in (("_l", "_lt"), ("_r", "_rt"), ("_n", "_at")):
-        df = with_types(df, side, out, synonyms).withColumn(out, without_negated(F.col(side), F.col(out), synonyms))
+        df = with_types(df, side, out, synonyms, cjk).withColumn(out, without_negated(simplified(F.col(side)), F.col(out), spellings))
     df = df.withColumn("_c", F.when(F.col("_p").isNull(), F.col("_n")).otherwise(F.col("_l")))
     df = with_colors(df, "_c", "_cs")
     df = df.withColumn("target_type", F.coalesce(at("_lt", 0), at("_at", 0)))
@@ -255,7 +270,7 @@ def parse(df: DataFrame, text: str = "text", places: dict[str, list[str]] | None
 
 
 def wants_all(text: Column) -> Column:
-    own = F.coalesce(text, F.lit(""))
+    own = simplified(F.coalesce(text, F.lit("")))
     return own.rlike(ALL_WORDS) | _any(own, ALL_PARTS)
 
 
@@ -265,7 +280,7 @@ def position(text: Column, count: Column) -> Column:
     number = F.regexp_extract(raw, r"\d+", 0).try_cast("long") - 1
     letters = F.regexp_replace(raw, r"[^\p{L}]", "")
     counted = number.isNotNull() & ((letters == "") | letters.isin(COUNTERS)) & (number >= 0) & (number < count)
-    own = squashed(text)
+    own = squashed(simplified(text))
     word = F.get(F.filter(_words(_longest(POSITIONS)), lambda w: F.contains(own, w)), F.lit(0))
     told = F.element_at(_table(POSITIONS), word).cast("long")
     told = F.when(told < 0, count + told).otherwise(told)
@@ -289,7 +304,7 @@ def stem(word: Column) -> Column:
 
 def option_answered(text: Column, options: Column) -> Column:
     """Of options (array of struct(option, name)), that whose name, whole or as a stem, is the longest in the answer; the first of equals."""
-    own = squashed(text)
+    own = squashed(simplified(text))
     forms = F.flatten(F.transform(options, lambda o: F.array(F.struct(squashed(o["name"]).alias("f"), o["option"].alias("o")), F.struct(stem(o["name"]).alias("f"), o["option"].alias("o")))))
     held = F.filter(forms, lambda p: (p["f"] != "") & F.contains(own, p["f"]))
     longest = F.array_max(F.transform(held, lambda p: F.length(p["f"])))
@@ -311,15 +326,23 @@ def spoken_form(text: Column, limit: int = 200) -> Column:
 def wake_word(text: Column, names: list[str]) -> Column:
     """struct(heard, rest): whether a name is called, in any spacing, or a greeting opens the text; and what follows it."""
     clean = lambda c: F.regexp_replace(c, r"^[ ,.!?~\-·、，。！？]+|\s+$", "")
-    raw, own = F.coalesce(text, F.lit("")), squashed(text)
+    raw = simplified(F.coalesce(text, F.lit("")))
+    own = squashed(raw)
     name = F.get(F.filter(_words(_longest(["".join(c for c in n.lower() if c.isalnum()) for n in names])), lambda n: F.contains(own, n)), F.lit(0))
     spaced = F.array_join(F.filter(F.split(name, ""), lambda c: c != ""), r"[^\p{L}\p{N}]*")
     after = F.regexp_replace(raw, F.concat(F.lit("(?isu)^.*?"), spaced), F.lit(""))
     bare = F.regexp_replace(raw, "^[\\s\"'“”‘’(（]+", "")
     opening = F.regexp_extract(bare, r"^\S*", 0)
     greeted = F.btrim(F.lower(opening), F.lit(",.!?~-·，。！？")).isin(GREETINGS)
-    rest = F.when(name.isNotNull(), clean(after)).when(greeted, clean(F.substr(bare, F.length(opening) + 1))).otherwise("")
-    return F.struct((name.isNotNull() | greeted).alias("heard"), rest.alias("rest"))
+    short = F.substring(bare, 1, 1).isin(*GREETINGS_ZH)
+    rest = F.when(name.isNotNull(), clean(after)).when(short, clean(F.substr(bare, F.lit(2)))).when(greeted, clean(F.substr(bare, F.length(opening) + 1))).otherwise("")
+    return F.struct((name.isNotNull() | short | greeted).alias("heard"), rest.alias("rest"))
+
+
+def with_request(df: DataFrame, rest: str, out: str, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """``out``: whether what follows a wake word asks for something - it names a thing or a colour, or has four letters."""
+    df = with_colors(with_types(df, rest, "_t", synonyms or OBJECTS, OBJECTS_CJK), rest, "_c")
+    return df.withColumn(out, (F.size("_t") > 0) | (F.size("_c") > 0) | (F.length(F.trim(rest)) >= 4)).drop("_t", "_c")
 
 
 # ---------------------------------------------------------------- replies
@@ -354,3 +377,78 @@ def question(prompt: Column, options: Column, count: Column) -> Column:
     found = F.concat(F.lit("I found "), count.cast("string"), F.lit(" possible matches. "))
     one = F.concat(F.lit("Was it the one with "), F.get(options, F.lit(0)), F.lit("?"))
     return F.concat(found, F.when(F.size(options) == 1, one).otherwise(F.concat(prompt, F.lit(" ("), F.array_join(options, " or "), F.lit(")"))))
+
+
+# ---------------------------------------------------------------- replies in three languages
+
+
+def name_of(key: str, value: Column, lang: Column) -> Column:
+    """What a language calls a type, colour, material, size, location or relation; the value itself where it has no word."""
+    table = F.create_map(*[F.lit(x) for word, said in NAMES[key].items() for i, one in enumerate(said) for x in (f"{LANGUAGES[i + 1]}:{word}", one)])
+    own = F.element_at(table, F.concat(lang, F.lit(":"), F.lower(value)))
+    plain = F.coalesce(F.element_at(_table(RELATIONS_EN), value), F.replace(value, F.lit("_"), F.lit(" "))) if key == "relation" else value
+    return F.coalesce(own, plain)
+
+
+def sentence(key: str, lang: Column, **values: Column) -> Column:
+    """A reply's sentence with its values put in, Korean particles by the sound of ``what``."""
+    out = _by_language(lang, SENTENCES[key])
+    if "what" in values:
+        values = values | {"i": F.when(lang == "ko", particle(values["what"], "이", "가")).otherwise(""), "eul": F.when(lang == "ko", particle(values["what"], "을", "를")).otherwise("")}
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def _by_language(lang: Column, said: tuple[str, str, str]) -> Column:
+    return F.when(lang == "ko", said[1]).when(lang == "zh", said[2]).otherwise(said[0])
+
+
+def object_text(color: Column, kind: Column, lang: Column) -> Column:
+    """Colour and type in a language, without a blank in Chinese."""
+    parts = F.filter(F.array(name_of("color", color, lang), name_of("type", kind, lang)), lambda p: p.isNotNull() & (p != ""))
+    return F.when(lang == "zh", F.array_join(parts, "")).otherwise(F.array_join(parts, " "))
+
+
+def choices(key: str, values: Column, lang: Column) -> Column:
+    """Options of a question in a language, with its word for or."""
+    named = F.transform(values, lambda v: name_of("type" if key == "near" else key, v, lang))
+    return F.when(lang == "ko", F.array_join(named, JOINERS[1])).when(lang == "zh", F.array_join(named, JOINERS[2])).otherwise(F.array_join(values, JOINERS[0]))
+
+
+def place_said(location: Column, predicate: Column, anchor: Column, lang: Column) -> Column:
+    """Where something is, in a language; relations of the picture alone are said to be so."""
+    where, what, how = name_of("location", location, lang), name_of("type", anchor, lang), name_of("relation", predicate, lang)
+    shown = predicate.isin("left_of", "right_of", "above", "below")
+    note = lambda text: F.when(shown, text).otherwise("")
+    en = F.coalesce(F.concat(F.lit("in the "), where, F.lit(", "), how, F.lit(" the "), anchor, note(" in this photo")), F.concat(F.lit("in the "), where))
+    ko = F.coalesce(F.concat(where, F.lit("에서 "), what, F.lit(" "), how, note(" (이 사진 기준)")), F.concat(where, F.lit("에")))
+    zh = F.coalesce(F.concat(where, what, how, note("（以这张照片为准）")), where)
+    return F.when(lang == "ko", ko).when(lang == "zh", zh).otherwise(en)
+
+
+# ---------------------------------------------------------------- all that a turn may mean
+
+# fixed values: openings of a new question, answers without knowledge, yes and no
+OPENERS = ["where", "find", "is there", "show", "which", "what about", "어디", "찾아"]
+UNKNOWING = ["i don't know", "dont know", "no idea", "not sure", "idk", "몰라", "모르겠어", ""]
+YES_SINGLE, YES_SURE = ["y", "yeah", "yep", "그", "네", "응", "맞"], ["y", "yeah", "yep", "yes", "correct", "that's it", "그", "네", "응", "맞"]
+NO = ["n", "nope", "아니", "없"]
+
+
+def understood(df: DataFrame, text: str = "text", places: dict[str, list[str]] | None = None, synonyms: dict[str, list[str]] | None = None, cjk: dict[str, list[str]] | None = OBJECTS_CJK) -> DataFrame:
+    """Adds ``said``: a struct of everything a conversation may want to know of a turn."""
+    kept = df.columns
+    df = parse(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))), "_text", places, synonyms, cjk)
+    df = with_colors(with_types(df, "_text", "_types", synonyms or OBJECTS, cjk), "_text", "_colors")
+    low = F.lower(F.trim("_text"))
+    words = F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0))
+    one_of = lambda options: F.get(F.filter(_words(options), lambda w: F.array_contains(words, w)), F.lit(0))
+    begins = lambda options: F.exists(_words(options), lambda w: F.startswith(low, w))
+    phrase = relation_phrase(F.col("_text"))
+    said = F.struct(
+        low.alias("low"), "target_type", "color", "predicate", "anchor_type", "location", F.col("_types").alias("types"), F.col("_colors").alias("colors"), phrase.alias("phrase"), F.element_at(_table(PHRASES), phrase).alias("relation"),
+        one_of(SIZES).alias("size"), one_of([m for m in MATERIALS if m != "unknown"]).alias("material"), begins(OPENERS).alias("opens"), wants_all(F.col("_text")).alias("all"), low.isin(*UNKNOWING).alias("unknowing"),
+        begins(YES_SINGLE).alias("yes"), begins(YES_SURE).alias("sure"), begins(NO).alias("no"), begins(NONE_OF).alias("none"), F.regexp_extract(low, r"\d+", 0).try_cast("long").alias("number"), low.rlike(r"\d").alias("digits"),
+    )
+    return df.select(*kept, said.alias("said"))

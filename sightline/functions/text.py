@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
+import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .words import TRADITIONAL
+
 # fixed values: the controlled vocabulary
 COLORS = ["black", "white", "gray", "silver", "red", "orange", "yellow", "green", "blue", "purple", "pink", "brown", "beige", "gold", "transparent", "multicolor"]
 COLOR_ALIASES = {
@@ -49,24 +50,21 @@ def terms_in(text: Column, terms: list[str]) -> Column:
     return F.aggregate(F.array(*map(F.lit, order)), start, step, lambda s: s["found"])
 
 
-def leftmost_longest(text: Column, terms: list[str]) -> Column:
-    """Terms of a script without blanks, from left to right, the longest at each place."""
-    import re
-
-    order = sorted(dict.fromkeys(terms), key=lambda t: (-len(t), t))
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(" + "|".join(map(re.escape, order)) + ")"), F.lit(1)))
+def simplified(text: Column) -> Column:
+    """Traditional characters as simplified ones, a letter for a letter."""
+    return F.translate(text, "".join(TRADITIONAL), "".join(TRADITIONAL.values()))
 
 
-def close_terms(terms: list[str], ratio: float = 0.84):
-    """Pandas UDF: the first term that a word of five letters or more nearly is (difflib's ratio, lengths one apart)."""
+def named_in_script(text: Column, lookup: dict[str, str]) -> Column:
+    """What the words of a script without blanks stand for, left to right, the longest at each place."""
+    longest = "|".join(map(re.escape, sorted(lookup, key=len, reverse=True)))
+    found = F.regexp_extract_all(text, F.lit(f"({longest})"), F.lit(1))
+    values = F.create_map(*[F.lit(x) for kv in lookup.items() for x in kv])
+    return F.array_distinct(F.transform(found, lambda w: F.element_at(values, w)))
 
-    @F.pandas_udf("string")
-    def near(words: pd.Series) -> pd.Series:
-        def one(word):
-            if word is None or len(word) < 5:
-                return None
-            return next((t for t in terms if abs(len(t) - len(word)) <= 1 and difflib.SequenceMatcher(None, word, t).ratio() >= ratio), None)
 
-        return words.map(one)
-
-    return near
+def contained(value: Column, lookup: dict[str, str]) -> Column:
+    """The lookup's value for the trimmed, lower-case text itself, else for its longest word that the text contains, else the text."""
+    clean = F.lower(F.trim(value))
+    inside = F.get(F.filter(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(v).alias("v")) for w, v in sorted(lookup.items(), key=lambda kv: -len(kv[0]))]), lambda t: F.contains(clean, t["w"])), F.lit(0))["v"]
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in lookup.items() for x in kv]), clean), inside, clean)
