@@ -166,7 +166,7 @@ def merged_candidates(spark, sf):
     o = grouped(spark, sf)
     e = retrieve.merge_views(o).withColumn("n_views", F.size("views"))
     score = retrieve.candidate_score(F.col("votes"), F.col("n_views"), F.lit(False), 0, F.col("type") == F.lit("ring"))
-    return e.drop("seen", "first").withColumn("score", score).withColumn("band", retrieve.band(F.col("score")))
+    return e.drop("seen", "g0", "g1").withColumn("score", score).withColumn("band", retrieve.band(F.col("score")))
 
 
 @query(f"WITH {OBJS}, w AS (SELECT place, {GRP} AS grp, color, sum(CAST((x2 - x1) * (y2 - y1) AS BIGINT)) AS weight, min(scene * 100 + ord) AS seen FROM objs GROUP BY ALL) SELECT place, grp, color, CAST(weight AS BIGINT) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY place, grp ORDER BY weight DESC, seen) AS n FROM w) WHERE n = 1")
