@@ -65,7 +65,7 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def near(a: Column, b: Column, frame_w, frame_h) -> Column:
-    w, h = F.lit(frame_w).cast("double"), F.lit(frame_h).cast("double")
+    w, h = (F.lit(x).cast("double") if not isinstance(x, Column) else x.cast("double") for x in (frame_w, frame_h))
     return distance(a, b) < NEAR_DIAGONAL * F.sqrt(w * w + h * h)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import COLOR_ALIASES, COLORS, named_in_script, padded, simplified
-from .words import COLORS_CJK, GREETINGS_ZH, JOINERS, LANGUAGES, MATERIALS, MISSPELLED, NAMES, OBJECTS_CJK, RELATIONS_EN, SENTENCES, SIZES
+from .words import COLORS_CJK, GREETINGS_ZH, JOINERS, LANGUAGES, MATERIALS, MISSPELLED, NAMES, OBJECTS, OBJECTS_CJK, RELATIONS_EN, SENTENCES, SIZES
 
 # fixed values: spellings that are put right first, in this order
 REWRITES = {"w/": " with ", "w/o": " without ", "next 2": " next to ", "nxt to": " next to ", "besids": " beside ", "besid": " beside ", "nearby": " near "}
@@ -56,35 +56,6 @@ ENDINGS = ["색", "色", "的", "이야", "예요", "요", "인데", "거", "것
 GREETINGS = ["헤이", "해이", "혜이", "헤에이", "헤이요", "하이", "에이", "예이", "안녕", "여보세요", "hey", "heyy", "hei", "hay", "hi", "hiya", "hello", "yo"]
 #: Hangul and Han.
 CJK = r"[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7A3}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
-# fixed values: what English calls the objects
-OBJECTS = {
-    "bottle": ["bottle", "water bottle", "flask", "thermos", "tumbler"],
-    "backpack": ["backpack", "bag", "rucksack", "knapsack", "schoolbag"],
-    "laptop": ["laptop", "macbook", "computer", "notebook computer"],
-    "notebook": ["notebook", "notepad", "note book", "writing pad"],
-    "book": ["book", "textbook"],
-    "phone": ["phone", "smartphone", "mobile", "cellphone", "iphone"],
-    "charger": ["charger", "adapter", "power adapter", "charging brick"],
-    "cable": ["cable", "cord", "wire", "usb cable", "charging cable"],
-    "mug": ["mug", "cup", "coffee cup", "tea cup"],
-    "keys": ["keys", "key", "keychain", "keyring"],
-    "wallet": ["wallet", "purse", "billfold"],
-    "umbrella": ["umbrella"],
-    "headphones": ["headphones", "earphones", "earbuds", "headset", "airpods"],
-    "glasses": ["glasses", "eyeglasses", "spectacles", "sunglasses"],
-    "mouse": ["mouse", "computer mouse"],
-    "pen": ["pen", "pencil", "marker"],
-    "card": ["card", "id card", "student card", "badge", "lanyard"],
-    "tumbler": ["tumbler", "flask"],
-    "power bank": ["power bank", "powerbank", "battery", "portable charger", "external battery"],
-    "tablet": ["tablet", "ipad"],
-    "watch": ["watch", "smartwatch"],
-    "skateboard": ["skateboard", "board"],
-    "tissue": ["tissue", "napkin", "serviette", "paper towel", "kitchen roll", "toilet paper", "wet wipe", "kleenex", "loo roll", "baby wipe"],
-    "fan": ["fan", "hand fan", "handheld fan", "handled fan", "mini fan", "portable fan", "usb fan", "electric fan"],
-    "hair tie": ["hair tie", "hairtie", "scrunchie", "hair band", "hairband", "hair elastic", "bobble", "ponytail holder"],
-}
-
 
 def _words(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .words import TRADITIONAL
+from .words import OBJECTS, TRADITIONAL
 
 # fixed values: the controlled vocabulary
 COLORS = ["black", "white", "gray", "silver", "red", "orange", "yellow", "green", "blue", "purple", "pink", "brown", "beige", "gold", "transparent", "multicolor"]
@@ -17,6 +17,8 @@ COLOR_ALIASES = {
     "maroon": "red", "burgundy": "red", "crimson": "red", "clear": "transparent", "see-through": "transparent",
     "cream": "beige", "tan": "beige", "khaki": "beige", "golden": "gold", "yellowish": "yellow", "violet": "purple",
 }
+#: English words for objects, and the type of each; of two types with one word, the later.
+OBJECT_WORDS = {w: t for t, ws in OBJECTS.items() for w in ws}
 LOOK_ALIKE = [("bottle", "tumbler", "mug", "cup"), ("charger", "cable", "power bank"), ("backpack", "umbrella")]
 
 

@@ -73,27 +73,44 @@ def merge_passes(found: DataFrame, least: float = MERGE_IOU) -> DataFrame:
     return _fold(found, ["scene"], F.struct((-F.col("rel_size")).alias("s"), F.col("ord").alias("o")), ["ord", "type", "box", "rel_size"], step)
 
 
-def deduplicate(objs: DataFrame, least: float = g.SAME_BOX) -> DataFrame:
-    """Boxes that are one object keep the first one's place and id and the surest one's contents."""
+def deduplicate(objs: DataFrame, least: float = g.SAME_BOX, keys: tuple[str, ...] = ("scene",)) -> DataFrame:
+    """Boxes that are one object keep the first one's place (ord) and the surest one's other columns."""
+    rest = [c for c in objs.columns if c not in (*keys, "ord")]
 
     def step(kept: Column, x: Column) -> Column:
         same = F.filter(F.transform(kept, lambda y, i: F.struct(g.iou(y["box"], x["box"]).alias("u"), i.alias("i"))), lambda s: s["u"] >= least)
         at = same[0]["i"]
-        better = F.transform(kept, lambda y, i: F.when((i == at) & (x["conf"] > y["conf"]), F.struct(y["k"].alias("k"), y["ord"].alias("ord"), x["type"].alias("type"), x["box"].alias("box"), x["conf"].alias("conf"))).otherwise(y))
+        better = F.transform(kept, lambda y, i: F.when((i == at) & (x["conf"] > y["conf"]), F.struct(y["k"].alias("k"), y["ord"].alias("ord"), *[x[c].alias(c) for c in rest])).otherwise(y))
         return F.when(F.size(same) == 0, F.array_append(kept, x)).otherwise(better)
 
-    return _fold(objs, ["scene"], F.col("ord"), ["ord", "type", "box", "conf"], step)
+    return _fold(objs, list(keys), F.col("ord"), ["ord", *rest], step)
 
 
 def textures(objs: DataFrame, keys: list[str], least: int = 6, spread: float = 0.35, hull: float = 0.45, frame=(1000, 800)) -> DataFrame:
-    """Groups that look like a pattern, not objects: many of a type, alike in size, close together."""
+    """Groups that look like a pattern, not objects: many of a type, alike in size, close together. Sums alone; ``gathered`` adds what ``bands`` needs."""
     b = F.col("box")
     cv = lambda c: F.coalesce(F.try_divide(F.stddev_pop(c), F.nullif(F.avg(c), F.lit(0.0))), F.lit(1.0))
-    size = F.try_divide((F.max(b["x2"]) - F.min(b["x1"])) * (F.max(b["y2"]) - F.min(b["y1"])), F.lit(float(frame[0] * frame[1])))
-    stats = objs.groupBy(*keys).agg(F.count("*").alias("n"), cv(g.width(b)).alias("cv_w"), cv(g.height(b)).alias("cv_h"), size.alias("hull"), F.sort_array(F.collect_list((b["y1"] + b["y2"]) / 2)).alias("ys"), F.sort_array(F.collect_list(g.height(b))).alias("hs"))
+    area = frame[0] * frame[1] if isinstance(frame, tuple) else frame
+    area = F.max(area).cast("double") if isinstance(area, Column) else F.lit(float(area))
+    size = F.try_divide((F.max(b["x2"]) - F.min(b["x1"])) * (F.max(b["y2"]) - F.min(b["y1"])), F.nullif(area, F.lit(0.0)))
+    stats = objs.groupBy(*keys).agg(F.count("*").alias("n"), cv(g.width(b)).alias("cv_w"), cv(g.height(b)).alias("cv_h"), F.coalesce(size, F.lit(0.0)).alias("hull"))
     return stats.where((F.col("n") >= least) & (F.col("cv_w") <= spread) & (F.col("cv_h") <= spread) & (F.col("hull") <= hull))
 
 
+def gathered(groups: DataFrame, objs: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ys (sorted centres) and hs (sorted heights) of the objects of the groups that are left."""
+    b = F.col("box")
+    held = objs.join(groups.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list((b["y1"] + b["y2"]) / 2)).alias("ys"), F.sort_array(F.collect_list(g.height(b))).alias("hs"))
+    return groups.join(held, keys)
+
+
+def patterns(objs: DataFrame) -> DataFrame:
+    """scene, type of objects that are a texture: alike, together, and in rows (three to a row at least). Needs frame, the picture's area."""
+    keys = ["scene", "type"]
+    some = gathered(textures(objs, keys, frame=F.col("frame")), objs, keys)
+    return some.where(bands(F.col("ys"), F.col("hs")) * 3 <= F.col("n")).select(*keys)
+
+
 def bands(ys: Column, heights: Column) -> Column:
     """Rows of a grid: a sorted centre opens one when it's further from the last row's first centre than 0.6 of the upper median height."""
     room = F.greatest(F.lit(1.0), 0.6 * F.element_at(heights, (F.floor(F.size(heights) / 2) + 1).cast("int")))

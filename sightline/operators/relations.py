@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -23,7 +23,11 @@ def neighbours(objs: DataFrame, k: int = g.NEIGHBOURS) -> DataFrame:
 
 def edges(objs: DataFrame, frame=(1000, 800), k: int = g.NEIGHBOURS) -> DataFrame:
     """scene, a, predicate, b, types and rel_ord: the stored relations."""
-    found = neighbours(objs, k).select("scene", "a", "b", "a_type", "b_type", "rank", F.posexplode(g.relations(F.col("a_box"), F.col("b_box"), *frame)).alias("p", "predicate"))
+    near = neighbours(objs, k)
+    if isinstance(frame[0], Column):  # each scene has its own
+        sizes = objs.groupBy("scene").agg(F.max(frame[0]).alias("w"), F.max(frame[1]).alias("h"))
+        near, frame = near.join(sizes, "scene"), (F.col("w"), F.col("h"))
+    found = near.select("scene", "a", "b", "a_type", "b_type", "rank", F.posexplode(g.relations(F.col("a_box"), F.col("b_box"), *frame)).alias("p", "predicate"))
     return found.withColumn("rel_ord", F.row_number().over(Window.partitionBy("scene").orderBy("a", "rank", "p")))
 
 

@@ -210,7 +210,8 @@ def texture_candidates(spark, sf):
 
 @query()
 def grid_bands(spark, sf):
-    return cleanup.textures(objs(spark, sf), ["place", "type"], spread=9.0, hull=9.0).select("place", "type", "n", cleanup.bands(F.col("ys"), F.col("hs")).alias("bands"))
+    o, keys = objs(spark, sf), ["place", "type"]
+    return cleanup.gathered(cleanup.textures(o, keys, spread=9.0, hull=9.0), o, keys).select(*keys, "n", cleanup.bands(F.col("ys"), F.col("hs")).alias("bands"))
 
 
 @query()
@@ -221,7 +222,7 @@ def nms_dedup(spark, sf):
 
 @query()
 def greedy_dedup(spark, sf):
-    return cleanup.deduplicate(objs(spark, sf), 0.05).select("scene", "ord", "type", F.round("conf", 6).alias("conf"))
+    return cleanup.deduplicate(objs(spark, sf).select("scene", "ord", "type", "box", "conf"), 0.05).select("scene", "ord", "type", F.round("conf", 6).alias("conf"))
 
 
 @query("SELECT p_size, i AS n, CAST(round((i % 2) * ((400 + p_size * 10) / 1.7) * 0.7) AS INT) AS x0, CAST(round((i // 2) * ((300 + p_size * 10) / 1.7) * 0.7) AS INT) AS y0 FROM (SELECT DISTINCT p_size FROM part), (SELECT unnest([0, 1, 2, 3]) AS i)")
@@ -298,7 +299,7 @@ def json_props(spark, sf):
 @query()
 def answer_salvage(spark, sf):
     raw = F.concat(F.lit('Sure: ```json {"n_objects": 2, "objects": [{"type": "gear", "bbox": [1, 2, 3, '), F.col("event_id").cast("string"), F.lit(']}, {"type": "ro'))
-    return table(spark, sf, "events").select("event_id", jsonx.answers(raw).alias("a")).select("event_id", F.size("a.objects").alias("n"), "a.truncated", "a.n_objects")
+    return jsonx.with_answer(table(spark, sf, "events").select("event_id", raw.alias("raw")), "raw", "a").select("event_id", F.size("a.objects").alias("n"), "a.truncated", "a.n_objects")
 
 
 @query("WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, CAST(count(*) AS BIGINT) AS n, epoch_us(min(ts)) AS start_us FROM s GROUP BY user_id, k")
