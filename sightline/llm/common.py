@@ -99,7 +99,7 @@ def running_sums(rows: DataFrame, keys: list[str], at: str, value: str, out: str
     before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     sums = tall.groupBy(*keys, "_g").agg(F.sum(value).alias("_s"))
     base = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_g").alias("_h"), F.coalesce(F.sum("_s").over(before(keys, "_g")), F.lit(0).cast("long")).alias("_base"))
-    same = F.col("_g") == F.col("_h")
+    same = F.col("_g") == F.col("_h")  # a row a group on that side
     for k in keys:
         same = same & (F.col(k) == F.col(f"_k_{k}"))
     inner = tall.withColumn("_own", F.coalesce(F.sum(value).over(before([*keys, "_g"], at)), F.lit(0).cast("long")))

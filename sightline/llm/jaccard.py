@@ -7,9 +7,12 @@ copies cost nothing more. For a node of n tokens let
     e = n - ceil(percent * n / 100)          tokens that a linked set may lack of it
     D = floor((100 - percent) * n / percent)   tokens in which linked sets differ at most
 
-Tokens have a class: 1 is rare, 2 frequent, 3 very frequent (counted over the region
-where prefixes lie, on all nodes). The order (class, hash) is the same for all sets.
-A node indexes, in that order,
+Tokens have a class: 1 is rare, 2 frequent, 3 very frequent. It is counted over the
+region of lowest hashes of all nodes, where prefixes mostly lie. Nodes that find too few
+rare tokens there are indexed from their whole sets; where that puts more than HOT of
+them under one token alone, the tokens that over VERY of these nodes hold become very
+frequent too and indexing begins again, until no token alone is held by so many. The
+order (class, hash) is the same for all sets. A node indexes, in that order,
 
 * its first e + 1 rare tokens, each alone, if it has so many (it shares one of them
   with any linked set that doesn't end before);
@@ -22,21 +25,30 @@ A node indexes, in that order,
   sets' such tokens one is common to both, whatever the classes.
 
 Take linked x and y, x's prefix ending first: what x's prefix shares with y lies in
-y's prefix too, hence they share an indexed combination. Sets of fewer than
-100 / (100 - percent) - 1 tokens link to equal sets only and index nothing.
+y's prefix too, hence they share an indexed combination. If that is one of frequent
+tokens and no rare token is common to both, their r and r' rare tokens are all among
+those in which they differ: r + r' <= D of either (``_few``). So a node with 2 r > D
+meets, under combinations, only nodes with 2 r <= D, and pages that share a frequent
+template but hold many words of their own are never compared because of the template.
+Sets of fewer than 100 / (100 - percent) - 1 tokens link to equal sets only and index
+nothing.
 
 Candidates pass two exact filters, by size and by parity bitmap (a bit for each hash
 class of tokens, set where the set holds an odd number: sets differ in at least as many
 tokens as their bitmaps in bits), then are verified by exact intersection. Where a combination has many nodes, they
-are first compared with one of them (a star, another centre for each combination);
+are first compared with one of them (a star; its centre has the fewest rare tokens, so in
+a group of near copies it is the text they come from, in the next turn it is any other);
 whatever that links is one class and needs no more comparison. Only nodes of different
 classes under one combination are then compared in pairs. So groups of near copies cost
-in proportion to their members, and no link between classes is lost. The links themselves
-(``pairs``, ``links``) take every candidate pair, also inside a class: their number grows
-with the square of a group of differing near copies, as the links do.
+in proportion to their members, and no link between classes is lost. Nodes of a large
+combination are dealt into chunks, of which every two meet in a place of their own. The
+links themselves (``pairs``, ``links``) take every candidate pair, also inside a class:
+their number grows with the square of a group of differing near copies, as the links do.
 
 Null and empty texts have the empty set, link with nothing and are their own class; a
 repeated row is another document with an equal set. A null doc_id ranks after all others.
+An empty table gives no rows. A very long text is hashed in pieces and is one set. Columns
+other than doc_id and text may have any name: only ``distinct_documents`` carries them.
 """
 
 from __future__ import annotations
@@ -50,12 +62,14 @@ from pyspark.sql import functions as F
 
 from .common import discard, keep_batches_small, materialize, mix64, shingle_hashes, word_hashes
 
-#: A rare token lies in the regions of at most RARE nodes, a frequent one in VERY at most.
+#: A rare token lies in the regions of at most RARE nodes, a frequent one in those of VERY at most.
 RARE, VERY = 6, 256
+#: Nodes that may be under one token alone.
+HOT = 1 << 12
 #: Turns of stars at most, before what is left is compared in pairs.
 STARS = 2
-#: Nodes of one combination that meet in one place when all pairs are asked for.
-CHUNK = 256
+#: Nodes of one combination that meet in one place.
+CHUNK = 1 << 12
 FITS = 1 << 19  # rows of four longs that may be broadcast: 16 MB
 
 
@@ -143,48 +157,68 @@ class Join:
     # ------------------------------------------------------------ prefixes
 
     def _indexed(self) -> DataFrame:
-        """sig, node, n: every combination that a node indexes."""
-        p = self.percent
+        """sig, node, n, tied, r, q: every combination that a node indexes.
+
+        tied: it is of several tokens; r: then the node's number of rare tokens, else 0;
+        q: that number for all rows of nodes whose whole set was seen, else n.
+        """
+        e = F.expr(f"n - (({self.percent} * n + 99) div 100)")
         lows = self.nodes.where(F.size("low") > 0).select("node", "n", "low")
         flat = lows.select("node", F.explode("low").alias("token"))
         often = materialize(flat.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > RARE).select("token", F.when(F.col("n") > VERY, 3).otherwise(2).alias("class")), "jaccard-frequent")
-        n_often = often.count()
-        hit = flat.join(small(often.select("token"), n_often), "token").groupBy("node").agg(F.collect_list("token").alias("often"))  # within one node's region
-        rare = lows.join(hit, "node", "left").withColumn("rare", F.when(F.col("often").isNull(), F.col("low")).otherwise(F.array_except("low", "often")))
-        e = F.expr(f"n - (({p} * n + 99) div 100)")
-        rare = materialize(rare.select("node", "n", F.when(F.size("rare") > e, F.slice("rare", F.lit(1), (e + 1).cast("int"))).alias("prefix")), "jaccard-prefix")
-        self.prefix = rare
-        plain = rare.where("prefix is not null").select(F.explode("prefix").alias("sig"), "node", "n")
-        return plain.unionByName(self._combined(rare.where("prefix is null").select("node"), often, n_often))
-
-    def _combined(self, nodes: DataFrame, often: DataFrame, n_often: int) -> DataFrame:
-        """Nodes with too few rare tokens in their region: all tokens get their class."""
+        wide, some = None, 0
+        while True:
+            n_often = often.count()
+            hit = flat.join(small(often.select("token"), n_often), "token").groupBy("node").agg(F.collect_list("token").alias("often"))  # within one node's region
+            rare = lows.join(hit, "node", "left").withColumn("rare", F.when(F.col("often").isNull(), F.col("low")).otherwise(F.array_except("low", "often")))
+            prefix = materialize(rare.select("node", "n", F.when(F.size("rare") > e, F.slice("rare", F.lit(1), (e + 1).cast("int"))).alias("prefix")), "jaccard-prefix")
+            more = prefix.where("prefix is null").select("node")
+            more = more if wide is None else more.join(small(wide.select("node"), some), "node", "left_anti")
+            if not more.isEmpty():
+                new = self._sets(more)
+                wide = new if wide is None else wide.unionByName(new)
+                some = wide.count()
+            plain = prefix.where("prefix is not null").select(F.explode("prefix").alias("sig"), "node", "n", F.lit(False).alias("tied"), F.lit(0).cast("long").alias("r"), F.col("n").alias("q"))
+            index = materialize(plain if wide is None else plain.unionByName(self._combined(wide, often, n_often)), "jaccard-index")
+            discard(prefix)
+            if wide is None:
+                return index
+            held = index.where("not tied").groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select(F.col("sig").alias("token"))
+            hot = materialize(held.join(small(often, n_often), "token", "left_anti"), "jaccard-hot")  # sets of few tokens index frequent ones alone too
+            n_hot = hot.count()
+            if not n_hot:
+                return index
+            under = index.where("not tied").join(small(hot.select(F.col("token").alias("sig")), n_hot), "sig").select("node").distinct()
+            full = wide.join(under, "node").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > VERY).select("token")
+            fresh = full.unionByName(hot).distinct().join(small(often, n_often), "token", "left_anti")
+            often = materialize(often.unionByName(fresh.select("token", F.lit(3).alias("class"))), "jaccard-frequent")
+            discard(index)
+
+    def _combined(self, full: DataFrame, often: DataFrame, n_often: int) -> DataFrame:
+        """What nodes index whose whole sets are at hand (node, n, tokens)."""
         p = self.percent
-        full = self._sets(nodes)
         flat = full.select("node", F.explode("tokens").alias("token")).join(small(often, n_often), "token")
         known = flat.groupBy("node").agg(F.collect_list(F.struct("token", "class")).alias("often"))  # one node's tokens
         rows = full.join(known, "node", "left").select("node", "n", "tokens", "often")
 
         def run(batches):
             for batch in batches:
-                sigs, owners, sizes = [], [], []
+                cols = [[], [], [], [], [], []]
                 for node, n, tokens, often in zip(*(batch.column(i) for i in range(4)), strict=True):
                     node, n, tokens = node.as_py(), n.as_py(), tokens.values.to_numpy()
-                    own = combinations(tokens.view(np.uint64), {r["token"]: r["class"] for r in often.as_py() or []}, p)
-                    sigs.append(own)
-                    owners.append(np.full(len(own), node))
-                    sizes.append(np.full(len(own), n))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (sigs, owners, sizes)], names=["sig", "node", "n"])
+                    alone, tied, r, q = combinations(tokens.view(np.uint64), {x["token"]: x["class"] for x in often.as_py() or []}, p)
+                    k = len(alone) + len(tied)
+                    for c, x in zip(cols, (np.concatenate([alone, tied]), np.full(k, node), np.full(k, n), np.arange(k) >= len(alone), np.repeat([0, r], [len(alone), len(tied)]), np.full(k, q)), strict=True):
+                        c.append(x)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["sig", "node", "n", "tied", "r", "q"])
 
-        return rows.mapInArrow(run, "sig long, node long, n long")
+        return rows.mapInArrow(run, "sig long, node long, n long, tied boolean, r long, q long")
 
     def _shared(self, sigs: DataFrame) -> DataFrame:
         """Combinations of two nodes or more; each node is its own class yet."""
-        sigs = materialize(sigs, "jaccard-index")
-        discard(self.prefix)
         held = sigs.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")
-        shared = materialize(sigs.join(held, "sig").withColumn("root", F.col("node")), "jaccard-shared")
+        shared = materialize(sigs.drop("tied").join(held, "sig").withColumn("root", F.col("node")), "jaccard-shared")
         discard(sigs)
         return shared
 
@@ -211,10 +245,37 @@ class Join:
 
     # ------------------------------------------------------------ links
 
-    def _near(self, a: str, b: str) -> Column:
+    def _near(self, a, b) -> Column:
         """Sizes that can link."""
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
+    def _most(self, n) -> Column:
+        """D of the module's text."""
+        return F.floor((100 - self.percent) * F.col(n) / self.percent)
+
+    def _few(self, n: str, r: str, m: str, q: str) -> Column:
+        """Numbers of rare tokens that can link where none is common: r of n tokens, q of m."""
+        return F.col(r) + F.col(q) <= F.least(self._most(n), self._most(m))
+
+    def _met(self, rows: DataFrame, more: tuple[str, ...] = (), also: Column | None = None) -> DataFrame:
+        """Pairs of rows (sig, node, n, r and ``more``) under one combination, as x_ and y_ columns, that sizes, rare tokens and ``also`` allow.
+
+        x is light, with 2 r <= D; y is light too, then the two meet once, or heavy. The
+        light rows of a large combination are dealt into chunks by node, and so are all
+        its rows; each two chunks meet under a key of their own, so no task has one
+        combination's square.
+        """
+        rows = rows.withColumn("light", 2 * F.col("r") <= self._most("n"))
+        parts = [F.greatest(F.lit(1), F.ceil(F.col(c) / CHUNK)).cast("int").alias(k) for c, k in (("m", "k"), ("x", "kx"))]
+        many = materialize(rows.groupBy("sig").agg(F.count("*").alias("m"), F.count_if("light").alias("x")).where(F.col("m") > CHUNK).select("sig", *parts), "jaccard-many")
+        held = rows.join(small(many, many.count()), "sig", "left").withColumns({"h": F.xxhash64("node"), "k": F.coalesce("k", F.lit(1)), "kx": F.coalesce("kx", F.lit(1))})
+        name = lambda c: [F.col(k).alias(f"{c}_{k}") for k in ("sig", "node", "n", "r", "light", *more)]
+        x = held.where("light").select(F.pmod("h", F.col("kx")).cast("int").alias("x_x"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x_y"), *name("x"))
+        y = held.select(F.explode(F.sequence(F.lit(0), F.col("kx") - 1)).alias("y_x"), F.pmod("h", F.col("k")).cast("int").alias("y_y"), *name("y"))
+        here = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_x") == F.col("y_x")) & (F.col("x_y") == F.col("y_y"))
+        meet = here & (~F.col("y_light") | (F.col("x_node") < F.col("y_node"))) & self._near("x_n", "y_n") & self._few("x_n", "x_r", "y_n", "y_r")
+        return x.join(y, meet if also is None else meet & also)
+
     def _alike(self, x: str, y: str, n: str, m: str) -> Column:
         """Bitmaps that can link: they differ in no more bits than linked sets of n and m tokens in tokens."""
         # bits of a longer bitmap that fall together in a shorter one are added, so lengths can differ
@@ -242,16 +303,17 @@ class Join:
         both = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
         left, links, roots, turn = self.multi, None, None, 0
         while True:
-            # stars: every node under a combination against one of them, another in each turn
-            centre = left.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "sig", "node").alias("h"), "node", "n", "root")).alias("c"))
-            star = left.join(centre, "sig").where((F.col("root") != F.col("c.root")) & self._near("n", "c.n")).select(*both("node", "c.node"))
+            # stars: every node under a combination against one of them
+            first = [F.col("q"), -F.col("n")] if turn == 0 else [2 * F.col("r") > self._most("n"), F.lit(0)]
+            centre = left.groupBy("sig").agg(F.min(F.struct(first[0].alias("f"), first[1].alias("g"), F.xxhash64(F.lit(turn), "sig", "node").alias("h"), "node", "n", "r", "root")).alias("c"))
+            star = left.join(centre, "sig").where((F.col("root") != F.col("c.root")) & self._near("n", "c.n") & self._few("n", "r", "c.n", "c.r")).select(*both("node", "c.node"))
             found = self._linked(star)
             grown = bool(found.head(1))
             if grown or roots is None:
                 links = found if links is None else links.unionByName(found)
                 roots = components(links)
             # combinations that still join different classes
-            named = self.multi.select("sig", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            named = self.multi.select("sig", "node", "n", "r", "q").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             split = named.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
             left, turn = named.join(split, "sig"), turn + 1
             left = materialize(left, "jaccard-left")
@@ -259,23 +321,13 @@ class Join:
                 break
         brief = F.expr("if(size(bits) > 8, transform(slice(bits, 1, 8), (w, i) -> aggregate(sequence(i + 8, size(bits) - 1, 8), w, (s, j) -> s ^ bits[j])), bits)")
         left = materialize(left.join(self.nodes.select("node", brief.alias("bits")), "node"), "jaccard-brief")
-        x, y = left.select(*[F.col(c).alias(f"x_{c}") for c in left.columns]), left.select(*[F.col(c).alias(f"y_{c}") for c in left.columns])
-        near = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & self._near("x_n", "y_n") & self._alike("x_bits", "y_bits", "x_n", "y_n")
-        found = self._linked(x.join(y, near).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
+        met = self._met(left, ("root", "bits"), (F.col("x_root") != F.col("y_root")) & self._alike("x_bits", "y_bits", "x_n", "y_n"))
+        found = self._linked(met.select(*both("x_node", "y_node")))
         return components(links.unionByName(found)) if found.head(1) else roots
 
     def pairs(self) -> DataFrame:
-        """a, b: all pairs of nodes that link, those of one class too.
-
-        Under a combination of many nodes these are dealt into chunks, and every two
-        chunks meet in a place of their own, so no task has one combination's square.
-        """
-        many = materialize(self.multi.groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK).select("sig", F.ceil(F.col("m") / CHUNK).cast("int").alias("k")), "jaccard-many")
-        held = self.multi.join(small(many, many.count()), "sig", "left").select("sig", "node", "n", F.coalesce("k", F.lit(1)).alias("k")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-        x = held.select("sig", F.col("c").alias("cx"), F.explode(F.sequence("c", F.col("k") - 1)).alias("cy"), F.col("node").alias("a"), F.col("n").alias("n1"))
-        y = held.select("sig", F.explode(F.sequence(F.lit(0), "c")).alias("cx"), F.col("c").alias("cy"), F.col("node").alias("b"), F.col("n").alias("n2"))
-        met = x.join(y, ["sig", "cx", "cy"]).where(((F.col("cx") < F.col("cy")) | (F.col("a") < F.col("b"))) & self._near("n1", "n2"))
-        return self._linked(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        """a, b: all pairs of nodes that link, those of one class too."""
+        return self._linked(self._met(self.multi).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")))
 
     def links(self) -> DataFrame:
         """doc_id, links: the number of other documents that each document links with."""
@@ -298,27 +350,28 @@ class Join:
         return full.unionByName(none)
 
 
-def combinations(tokens: np.ndarray, classes: dict[int, int], percent: int) -> np.ndarray:
-    """Hashes of what a node with few rare tokens indexes (tokens sorted by hash)."""
+def combinations(tokens: np.ndarray, classes: dict[int, int], percent: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Of a node's tokens (sorted by hash): those indexed alone, hashes of those combined, the number of rare ones where there are combined ones, and in any case."""
     kind = np.array([classes.get(t, 1) for t in tokens.view(np.int64).tolist()], np.int64)
     e, d = bounds(len(tokens), percent)
     one, two, three = (tokens[kind == k] for k in (1, 2, 3))
     if len(one) > e:
-        return one[: e + 1].view(np.int64)
+        return one[: e + 1].view(np.int64), np.empty(0, np.int64), 0, len(one)
     r = len(one)
     # 6 r + 3 (f2 - 1) + 2 (f3 - 2) > 6 D, class 2 first
     f2 = min(len(two), max(0, (6 * d - 6 * r) // 3 + 2))
     missing = 6 * d - 6 * r - 3 * max(0, f2 - 1)
     f3 = min(len(three), missing // 2 + 3) if missing >= 0 else 0
-    parts = [one, tokens[: e + 1]] if short(len(tokens), percent) else [one]
+    alone = np.unique(np.concatenate([one, tokens[: e + 1]])) if short(len(tokens), percent) else one
+    tied = [np.empty(0, np.uint64)]
     with np.errstate(over="ignore"):
         for k, own in ((2, two[:f2]), (3, three[:f3])):
             if len(own) >= k:
                 h = np.full(len(own) - k + 1, np.uint64(k * 0x9E3779B9), np.uint64)
                 for j in range(k):
                     h = mix64(h * np.uint64(0x2545F4914F6CDD1D) + own[j : len(own) - k + 1 + j])
-                parts.append(h)
-    return np.unique(np.concatenate(parts)).view(np.int64)
+                tied.append(h)
+    return alone.view(np.int64), np.unique(np.concatenate(tied)).view(np.int64), r, r
 
 
 def components(links: DataFrame) -> DataFrame:
