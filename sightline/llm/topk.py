@@ -9,8 +9,13 @@ bounds the same coordinate of a unit vector at that cosine), a low one by length
 What is left is verified by exact integer products, and the best k of every bucket meet
 in one last ranking. Ties go to the smaller vec_id.
 
-Queries are rows of the table, in packed blocks; (block of queries, bucket) is the unit
-of work and returns at most k rows a query, however many vectors are equal. Vectors that
+Queries are rows of the table, in packed blocks that lie in files of the shared folder.
+The longest bucket, of bounded size, goes to every task that packs queries. Buckets are
+read once a group of GROUP blocks of queries, which come along as places in those files
+and are kept while a task needs them; what multiplies is these numbers, not vectors. A
+block of queries in a bucket returns at most k rows a query, however many vectors are
+equal. An empty table gives no rows, and columns other than vec_id and embedding play no
+part. Vectors that
 are null, or hold a null or a non-finite component, and rows without vec_id take no part.
 Missing components of a shorter vector count as 0. A row whose vec_id equals the query's
 is the query's own. Scores beyond 64 bits are clipped to them.
@@ -18,14 +23,19 @@ is the query's own. Scores beyond 64 bits are clipped to them.
 
 from __future__ import annotations
 
+import struct
+import uuid
+from collections import OrderedDict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, open_fs, scratch, small_batches
 
 PACKED = "block long, lo double, hi double, n int, dims int, ids binary, vecs binary"
+FITS = 1 << 19  # rows of four numbers that may be broadcast: 16 MB
 FOUND = "q_block long, i int, query_id long, vec_id long, score long"
 
 
@@ -103,33 +113,95 @@ def candidates(q: np.ndarray, qn: float, unit: np.ndarray, norms: np.ndarray, th
     return kept
 
 
-def _search(k: int, seeds: bool):
+HEAD = struct.Struct("<qqq")  # block, queries, dimensions; then ids, thresholds, vectors
+GROUP = 64
+
+
+def packed_queries(block: int, ids: np.ndarray, theta: np.ndarray, q: np.ndarray) -> bytes:
+    return HEAD.pack(block, *q.shape) + ids.tobytes() + theta.tobytes() + q.tobytes()
+
+
+def read_queries(path: str, at: int, size: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    fs, name = open_fs(path)
+    with fs.open_input_file(name) as file:
+        raw = file.read_at(size, at)
+    block, n, dims = HEAD.unpack_from(raw)
+    ids, theta = np.frombuffer(raw, "<i8", n, HEAD.size), np.frombuffer(raw, "<f8", n, HEAD.size + 8 * n)
+    return block, ids, theta, np.frombuffer(raw, "<f8", n * dims, HEAD.size + 16 * n).reshape(n, dims)
+
+
+def clipped(score) -> int:
+    return max(-(1 << 63), min((1 << 63) - 1, int(score)))
+
+
+def prepared(queries: DataFrame, longest: tuple[np.ndarray, np.ndarray], k: int) -> DataFrame:
+    """Blocks of queries, written with their thresholds: path, grp, at, size, hi, least (their lowest threshold); GROUP blocks a group at most."""
+    out, shared = scratch(queries.sparkSession, "topk-files"), queries.sparkSession.sparkContext.broadcast(longest)
+
     def run(batches):
+        ids, v = shared.value
+        sink, path, at, held = None, f"{out}/{uuid.uuid4().hex}", 0, 0
         for batch in batches:
+            rows = []
             for r in batch.to_pylist():
-                ids, q_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
-                v, q = np.frombuffer(r["vecs"]).reshape(r["n"], r["dims"]), np.frombuffer(r["q_vecs"]).reshape(r["q_n"], r["q_dims"])
-                norms, rows = np.sqrt((v * v).sum(1)), []
-                width = max(v.shape[1], q.shape[1])
-                unit = np.pad(v / np.maximum(norms, 1e-300)[:, None], ((0, 0), (0, width - v.shape[1])))
-                wide = np.pad(q, ((0, 0), (0, width - q.shape[1])))
-                theta = np.frombuffer(r["theta"]) if r.get("theta") else np.full(len(q_ids), -np.inf)
-                for i, x in enumerate(wide):
-                    some = candidates(x, float(np.sqrt(x @ x)), unit, norms, float(theta[i]))
-                    some = some[ids[some] != q_ids[i]]
-                    if not len(some):
-                        continue
-                    scores = products(q[i], v[some])
-                    top = best(ids[some], scores, k)
-                    if seeds and len(top) < k:
+                q_ids, q = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vecs"]).reshape(r["n"], r["dims"])
+                theta = np.full(len(q_ids), -np.inf)
+                for i, x in enumerate(q):
+                    others = np.flatnonzero(ids != q_ids[i])
+                    if len(others) >= k:
+                        scores = products(x, v[others])
+                        theta[i] = clipped(scores[best(ids[others], scores, k)[-1]])
+                raw = packed_queries(r["block"], q_ids, theta, q)
+                if sink is None:
+                    fs, name = open_fs(path)
+                    fs.create_dir(name.rpartition("/")[0], recursive=True)
+                    sink = fs.open_output_stream(name, compression=None)
+                sink.write(raw)
+                rows.append({"path": path, "grp": held // GROUP, "at": at, "size": len(raw), "hi": r["hi"], "least": float(theta.min())})
+                at, held = at + len(raw), held + 1
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("grp", pa.int32()), ("at", pa.int64()), ("size", pa.int64()), ("hi", pa.float64()), ("least", pa.float64())]))
+        if sink is not None:
+            sink.close()
+
+    return materialize(queries.mapInArrow(run, "path string, grp int, at long, size long, hi double, least double"), "topk-refs")
+
+
+def _search(k: int):
+    def run(batches):
+        kept: OrderedDict = OrderedDict()
+        last = None
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["block"] != last:
+                    ids, v = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vecs"]).reshape(r["n"], r["dims"])
+                    norms, last = np.sqrt((v * v).sum(1)), r["block"]
+                    unit = v / np.maximum(norms, 1e-300)[:, None]
+                for ref in r["refs"]:
+                    if r["hi"] * ref["hi"] * (1 + 1e-9) < ref["least"]:
                         continue
-                    for at in top[-1:] if seeds else top:
-                        score = max(-(1 << 63), min((1 << 63) - 1, int(scores[at])))
-                        if seeds or score >= theta[i]:
-                            rows.append((r["q_block"], i, int(q_ids[i]), int(ids[some][at]), score))
-                if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["q_block", "i", "query_id", "vec_id", "score"])
+                    place = r["path"], ref["at"]
+                    if place not in kept:
+                        kept[place] = read_queries(r["path"], ref["at"], ref["size"])
+                        if len(kept) > 2 * GROUP:
+                            kept.popitem(last=False)
+                    block, q_ids, theta, q = kept[place]
+                    width = max(v.shape[1], q.shape[1])
+                    one, wide = np.pad(unit, ((0, 0), (0, width - v.shape[1]))), np.pad(q, ((0, 0), (0, width - q.shape[1])))
+                    for i, x in enumerate(wide):
+                        some = candidates(x, float(np.sqrt(x @ x)), one, norms, float(theta[i]))
+                        some = some[ids[some] != q_ids[i]]
+                        if not len(some):
+                            continue
+                        scores = products(q[i], v[some])
+                        for at in best(ids[some], scores, k):
+                            score = clipped(scores[at])
+                            if score >= theta[i]:
+                                rows.append((block, i, int(q_ids[i]), int(ids[some][at]), score))
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["q_block", "i", "query_id", "vec_id", "score"])
 
     return run
 
@@ -141,30 +213,16 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, bucket: int = 2048,
     n = vectors.count()
     blocks = pack(rows, bucket, max(1, n // (4 * bucket)), "topk-buckets")
     queries = pack(rows.where(F.col("vec_id") % every == 0), query_block, max(1, n // every // (4 * query_block)), "topk-queries")
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    light = queries.select("block", "hi").collect()  # a row a block of queries
-    if not light:
+    first = blocks.orderBy(F.col("hi").desc(), "block").select("ids", "vecs", "n", "dims").head()  # one bucket
+    if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    longest = blocks.orderBy(F.col("hi").desc(), "block").limit(1)
-    dealt = lambda b: b.withColumn("q_block", F.explode(F.lit([r[0] for r in light])))
-    first = dealt(longest).join(q, "q_block").mapInArrow(_search(k, True), FOUND)
-    packed = first.groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("score").cast("double")))).alias("m"))  # query_block entries
-    known = materialize(q.join(packed, "q_block", "left").withColumn("least", F.when(F.size("m") == F.col("q_n"), F.array_min(F.map_values("m"))).otherwise(float("-inf"))), "topk-thresholds")
-
-    def thetas(batches):
-        for batch in batches:
-            got = []
-            for m, size in zip(batch.column("m").to_pylist(), batch.column("q_n").to_pylist(), strict=True):
-                m = dict(m or [])
-                got.append(np.array([m.get(i, -np.inf) for i in range(size)]).tobytes())
-            keep = [c for c in batch.schema.names if c != "m"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got, pa.binary())], names=[*keep, "theta"])
-
-    ready = known.mapInArrow(thetas, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.schema if f.name != "m") + ", theta binary")
-    reach = known.select("q_block", "q_hi", "least")
-    # which (block of queries, bucket) can matter at all, from lengths alone; then the payloads meet
-    pairs = dealt(blocks.select("block", "hi")).join(reach, "q_block").where(F.col("hi") * F.col("q_hi") * (1 + 1e-9) >= F.col("least")).select("block", "q_block")
-    work = pairs.join(blocks, "block").join(ready, "q_block").repartition(max(1, len(light) * (n // bucket + 1) // 4), "block", "q_block")
-    found = work.mapInArrow(_search(k, False), FOUND)
+    longest = np.frombuffer(bytes(first.ids), "<i8"), np.frombuffer(bytes(first.vecs)).reshape(first.n, first.dims)
+    with small_batches(spark, 16):  # rows of packed vectors
+        refs = prepared(queries, longest, k)
+        groups = refs.groupBy("path", "grp").agg(F.max("hi").alias("q_hi"), F.min("least").alias("least"), F.collect_list(F.struct("at", "size", "hi", "least")).alias("refs"))
+        # which buckets can matter at all to a group, from lengths alone
+        spread = blocks.repartition(max(1, n // bucket), "block")
+        work = spread.join(F.broadcast(groups) if refs.count() <= FITS else groups, F.col("hi") * F.col("q_hi") * (1 + 1e-9) >= F.col("least")).select("block", "ids", "vecs", "n", "dims", "hi", "path", "refs")
+        found = materialize(work.mapInArrow(_search(k), FOUND), "topk-found")
     rank = F.row_number().over(Window.partitionBy("q_block", "i").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
