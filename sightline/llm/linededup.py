@@ -11,7 +11,9 @@ word w: line 64 w + i stays), of which only words with a cleared bit are kept.
 Everything is DataFrame expressions. A null or empty text is one empty line. A null
 doc_id is a document that comes after all others (rows without an id are one document
 here), and rows that share a doc_id are one document in which each text has its own
-bitmap; lines of the first document stay however often it has them.
+bitmap; lines of the first document stay however often it has them. An empty table gives
+no rows, a very long text is one array of lines, and columns other than doc_id and text
+play no part.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST = (1 << 63) - 1
 COARSE = 1 << 16
 FITS = 1 << 19
+#: Ranges of hashes at most; beyond, ranges grow, and their sorts spill.
+MOST_PARTS = 1 << 15
 
 
 def line_key(line: Column) -> Column:
@@ -58,7 +62,7 @@ def keep_bitmaps(docs: DataFrame, least: int = 10, rows_each: int = 250_000, hot
         if n:
             cold = lines.join(heavy.select("h1", "h2"), ["h1", "h2"], "left_anti")
             dropped.append(lines.join(heavy, ["h1", "h2"]).where("d <> first").select("d", "tx", "pos"))
-    parts = max(1, -(-total // rows_each))
+    parts = max(1, min(MOST_PARTS, -(-total // rows_each)))
     part = F.least(F.lit(parts - 1), F.floor((F.col("h1").cast("double") / float(1 << 64) + 0.5) * parts)).cast("int")
     ranged = cold.withColumn("part", part).repartitionById(parts, "part")
     stream = Window.partitionBy("part", "h1", "h2").orderBy("d", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

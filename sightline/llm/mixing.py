@@ -10,8 +10,9 @@ source's words are its target rounded, and no document is taken more than ``repe
 times; slots that a source still lacks after the schedule come at its end.
 
 The hot source is never in one task: offsets are sums within (source, hash bucket)
-plus the sums of the buckets before; ranks likewise within (source, run of slots).
-A null text has no words, and a document without words takes no part. Repeated rows
+plus the sums of the buckets before, which are summed in two levels; ranks likewise
+within (source, run of slots). An empty table gives no rows; very long texts are counted
+whole; only ``mixed_documents`` carries other columns, under any names. A null text has no words, and a document without words takes no part. Repeated rows
 are documents of their own. Reruns agree: order and schedule depend on the seed and
 the rows alone (documents that are equal in id, size and source may change places).
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, running_sums
 
 WEIGHTS = (5, 2, 1)
 GOLDEN = (5**0.5 - 1) / 2
@@ -76,9 +77,7 @@ class Mix:
         """Each document's first word in its source's stream (``begin``)."""
         rows = light.where("size > 0").join(self.sources, light.source.eqNullSafe(self.sources.source)).select("uid", "s", "size", "h", "doc_id", "source_size", "words")
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
-        sums = rows.groupBy("s", "bucket").agg(F.sum("size").alias("held"))
-        before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select("s", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0).cast("long")).alias("base"))
+        sums = running_sums(rows.groupBy("s", "bucket").agg(F.sum("size").alias("held")), ["s"], "bucket", "held", "base").select("s", "bucket", "base")
         within = Window.partitionBy("s", "bucket").orderBy("h", "doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumn("off", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))).join(sums, ["s", "bucket"]).select("uid", "s", "size", "source_size", "words", (F.col("base") + F.col("off")).alias("begin"))
 
@@ -97,8 +96,7 @@ class Mix:
 
         drawn = spark.range(0, total, 1, max(1, total // (4 * RUN))).mapInArrow(draw, "slot long, s int").withColumn("run", F.expr(f"slot div {RUN}"))
         counts = drawn.groupBy("s", "run").agg(F.count("*").alias("n"))
-        before = Window.partitionBy("s").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-        base = counts.select("s", "run", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"))
+        base = running_sums(counts, ["s"], "run", "n", "base").select("s", "run", "base")
         rank = F.row_number().over(Window.partitionBy("s", "run").orderBy("slot")) - 1
         ranked = drawn.withColumn("rank", rank).join(base, ["s", "run"]).select("slot", "s", (F.col("base") + F.col("rank")).alias("block"))
         got = {r[0]: r[1] for r in counts.groupBy("s").agg(F.sum("n")).collect()}

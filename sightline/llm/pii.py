@@ -187,7 +187,7 @@ def bootstrap(docs: DataFrame, finds: DataFrame, support: int = 3, trust: float
     if reached.isEmpty():
         return None
     at = mentions.select("doc_id", "tx", "i", "lead", "len", "instance", F.explode("hs").alias("h")).join(fitting(reached), ["h", "instance"]).select("doc_id", "tx", "i", "lead", "len").distinct()
-    marks = at.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("i", "lead", "len")).alias("hits"))
+    marks = fitting(materialize(at.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("i", "lead", "len")).alias("hits")), "pii-marks"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tx"), text.alias("text"))
     both = rows.join(marks, rows.doc_id.eqNullSafe(marks.doc_id) & (rows.tx == marks.tx)).select(rows.doc_id, rows.tx, "text", "hits").dropDuplicates(["doc_id", "tx"])

@@ -9,18 +9,25 @@ of n is its s-th equal part, so shard sizes differ by one row at most (law ``row
 Nulls hash like any value; a null text has no bytes. Equal rows may land anywhere, as
 each row has a slot of its own. A bucket that is far over its size - only many equal
 (identifier, text) rows can make one - is dealt over more buckets by position in the
-input. An empty table gives no rows.
+input. Beyond FAN buckets the rows are dealt in two turns: into FAN groups of buckets,
+each written, then group by group into buckets, so no shuffle has more than FAN reducers.
+An empty table gives no rows; a very long text is one row; all columns are carried in a
+struct, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, running_sums, scratch
+
+
+#: Reducers of one shuffle at most.
+FAN = 1 << 13
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -61,17 +68,25 @@ def external_shuffle(docs: DataFrame, seed: int = 2024, bucket_bytes: int = 16 <
                 rows = table.column("row").take(pa.array(part)).combine_chunks()
                 yield pa.RecordBatch.from_arrays([rows if isinstance(rows, pa.Array) else rows.chunk(0), pa.array(np.full(len(part), b), pa.int32()), pa.array(np.arange(k, k + len(part)), pa.int64())], names=["row", "bucket", "place"])
 
-    out = dealt.repartitionById(buckets, "bucket").mapInArrow(shuffle, T.StructType([keyed.schema["row"], T.StructField("bucket", T.IntegerType()), T.StructField("place", T.LongType())]))
-    return materialize(out, "shuffled")
+    kind = T.StructType([keyed.schema["row"], T.StructField("bucket", T.IntegerType()), T.StructField("place", T.LongType())])
+    if buckets <= FAN:
+        return materialize(dealt.repartitionById(buckets, "bucket").mapInArrow(shuffle, kind), "shuffled")
+    spark, path, each = docs.sparkSession, scratch(docs.sparkSession, "scattered"), -(-buckets // FAN)
+    groups = -(-buckets // each)
+    dealt.withColumn("g", F.expr(f"bucket div {each}").cast("int")).repartitionById(groups, "g").write.partitionBy("g").parquet(path)
+    held, done = spark.read.schema(T.StructType([*dealt.schema, T.StructField("g", T.IntegerType())])).parquet(path), scratch(spark, "shuffled")
+    for g in range(groups):  # a job a group of buckets, not a row
+        part = held.where(F.col("g") == g).drop("g").withColumn("own", F.col("bucket") - g * each).repartitionById(each, "own").drop("own")
+        part.mapInArrow(shuffle, kind).write.mode("append").parquet(done)
+    return spark.read.schema(kind).parquet(done)
 
 
 def shard(docs: DataFrame, shards: int = 24, seed: int = 2024, bucket_bytes: int = 16 << 20) -> DataFrame:
     """``row`` with its ``shard`` and ``slot`` (gapless from 0 in the shard), by law ``rows``."""
     done = external_shuffle(docs, seed, bucket_bytes)
     held = done.groupBy("bucket").agg(F.count("*").alias("n"))  # a row a bucket
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    base = held.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"), F.sum("n").over(whole).alias("total"))
+    held = running_sums(held, [], "bucket", "n", "base")
+    base = held.join(held.agg(F.sum("n").alias("total")))
     out = done.join(base, "bucket").withColumn("shard", F.expr(f"cast((base + place) * {shards} div total as int)"))
     begin = F.expr(f"(shard * total + {shards - 1}) div {shards}")  # the first place whose shard is this one
     return out.select("row", "shard", (F.col("base") + F.col("place") - begin).alias("slot"))

@@ -9,6 +9,10 @@ that lets a reader take one record without the rest. Payloads never shuffle.
 
 Null html is an empty payload. Equal page_ids that are smallest all stay responses. A
 null page_id ranks after all others; where a group has only nulls, all are responses.
+Record ids are made of page_id, digest and, for rows alike in both but the first, their
+place; a revisit names its original's id and address (WARC-Refers-To). A very long page
+is one record, held whole once. An empty table gives no archives; columns other than
+page_id, url and html play no part.
 A rerun task writes under a new name, and only names in the manifests are read.
 """
 
@@ -40,18 +44,22 @@ def index_entries(raw: bytes) -> list[tuple[int, int]]:
     return [x[:2] for x in INDEX.iter_unpack(raw)]
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, length: int, refers: int | None = None) -> bytes:
+def record_id(page: int | None, digest: str, place: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{digest}/{place}')}>"
+
+
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, length: int, refers: int | None = None, place: str = "") -> bytes:
     """One WARC/1.1 record; a revisit has no block and names the page it repeats."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(length).encode() + b"\r\n\r\n"
     block = http + payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.UUID(int=zlib.crc32(digest.encode()) << 64 | ((page_id or 0) & (1 << 64) - 1))}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, place)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {length}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers, digest)}", f"X-Refers-To-Page: {refers}"]
     return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
@@ -130,14 +138,21 @@ def normalise(written: DataFrame, least: int = 100) -> DataFrame:
     out = scratch(written.sparkSession, "warc")
     firsts = written.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     same = written.join(firsts, "digest", "left").where("first is not null and not (page_id <=> first)").select("file", "k", "first")
-    revisits = same.groupBy("file").agg(F.collect_list(F.struct("k", "first")).alias("again"))  # at most one file's records
+    # of rows alike in id and payload one has the plain record id; the others' hold their place
+    twins = written.groupBy("page_id", "digest").agg(F.count("*").alias("m"), F.min(F.struct("file", "k")).alias("f")).where("m > 1")
+    alike = F.col("w.page_id").eqNullSafe(F.col("t.page_id")) & (F.col("w.digest") == F.col("t.digest"))
+    later = written.alias("w").join(twins.alias("t"), alike).where("w.file <> t.f.file or w.k <> t.f.k").select("w.file", "w.k")
+    notes = same.select("file", "k", "first", F.lit(False).alias("later")).unionByName(later.select("file", "k", F.lit(None).cast("long").alias("first"), F.lit(True).alias("later")))
+    revisits = notes.groupBy("file").agg(F.collect_list(F.struct("k", "first", "later")).alias("again"))  # at most one file's records
     files = written.groupBy("file").agg(F.count("*").alias("n"))
     work = files.join(revisits, "file", "left").select("file", "again")
 
     def rewrite(batches):
         for batch in batches:
             for file, again in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                refers = {r["k"]: r["first"] for r in again or []}
+                refers = {r["k"]: r["first"] for r in again or [] if not r["later"]}
+                later = {r["k"] for r in again or [] if r["later"]}
+                name = file.rpartition("/")[2]
                 uri = f"{out}/{uuid.uuid4().hex}.warc.gz"
                 (source, source_path), (fs, path) = open_fs(file), open_fs(uri)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
@@ -147,7 +162,7 @@ def normalise(written: DataFrame, least: int = 100) -> DataFrame:
                         page = int(fields["x-page-id"]) if "x-page-id" in fields else None
                         length = int(fields["x-payload-length"])
                         kind, payload = ("revisit", b"") if k in refers else ("response", block[block.index(b"\r\n\r\n") + 4 :])
-                        raw = record(kind, page, fields.get("warc-target-uri"), payload, fields["warc-payload-digest"].partition(":")[2], length, refers.get(k))
+                        raw = record(kind, page, fields.get("warc-target-uri"), payload, fields["warc-payload-digest"].partition(":")[2], length, refers.get(k), f"{name}/{k}" if k in later else "")
                         pack = zlib.compressobj(LEVEL, wbits=31)
                         member = pack.compress(raw) + pack.flush()
                         sink.write(member)
