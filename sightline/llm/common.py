@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -83,6 +84,20 @@ def keep_batches_small(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(BATCH, str(rows))
 
 
+def give_back() -> None:
+    """At the start of a Python task: what earlier tasks of the process freed goes back to the system, and large arrays do so as they are freed."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def open_fs(uri: str):
     """(filesystem, path) of a URI, usable in the executors' Python."""
     from pyarrow import fs

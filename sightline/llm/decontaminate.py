@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, shingle_hashes, small_batches, word_hashes
+from .common import give_back, materialize, mix64, shingle_hashes, small_batches, word_hashes
 
 #: Letters that are words of their own, and runs of all others.
 ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
@@ -118,6 +118,7 @@ def seed_table(benchmark: DataFrame, least: int) -> DataFrame:
     """item (a number of its own), item_id, n (words), place, size (words of a seed), seed: of all items with words and an id."""
 
     def run(batches):
+        give_back()
         for batch in batches:
             cols = [[], [], [], [], [], []]
             for item, item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -145,6 +146,7 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, n) - 1).bit_length()))
 
     def run(batches):
+        give_back()
         held = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             at = mix64(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(bits - 1)
@@ -176,6 +178,7 @@ def suspects(docs: DataFrame, seeds: DataFrame, share: float) -> DataFrame:
     held = spark.sparkContext.broadcast(seed_filter(seeds))
 
     def run(batches):
+        give_back()
         mask = np.uint64(len(held.value) * 8 - 1)
         for batch in batches:
             cols = [[], [], []]
@@ -224,6 +227,7 @@ def found_leaks(docs: DataFrame, benchmark: DataFrame, least: int, share: float)
     work = texts.join(pairs.withColumnRenamed("d", "e").withColumnRenamed("tx", "ex"), texts.d.eqNullSafe(F.col("e")) & (texts.tx == F.col("ex"))).join(some.withColumnRenamed("text", "own"), "item").select("d", "tx", "text", "item_id", "own", "times")
 
     def run(batches):
+        give_back()
         last, doc = None, None
         for batch in batches:
             got = []

@@ -60,7 +60,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep_batches_small, materialize, mix64, shingle_hashes, word_hashes
+from .common import discard, give_back, keep_batches_small, materialize, mix64, shingle_hashes, word_hashes
 
 #: A rare token lies in the regions of at most RARE nodes, a frequent one in those of VERY at most.
 RARE, VERY = 6, 256
@@ -119,6 +119,7 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
     least = 100 // (100 - percent) - 1
 
     def run(batches):
+        give_back()
         for batch in batches:
             cols = [[], [], [], [], []]
             for text in batch.column(2):
@@ -202,6 +203,7 @@ class Join:
         rows = full.join(known, "node", "left").select("node", "n", "tokens", "often")
 
         def run(batches):
+            give_back()
             for batch in batches:
                 cols = [[], [], [], [], [], []]
                 for node, n, tokens, often in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -232,6 +234,7 @@ class Join:
         found = found.where("copies = 1").unionByName(again).drop("copies")
 
         def run(batches):
+            give_back()
             for batch in batches:
                 out = ([], [], [])
                 for node, s1, s2, text in zip(*(batch.column(i) for i in range(4)), strict=True):

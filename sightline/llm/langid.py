@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep_batches_small, materialize, mix64, small_batches
+from .common import give_back, keep_batches_small, materialize, mix64, small_batches
 
 DIMS = 1 << 15
 PIECE = 1 << 19
@@ -148,6 +148,7 @@ def _train(docs: DataFrame, per_lang: int, seed: int) -> Model:
     names = sorted(langs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         df, rows = np.zeros(DIMS, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
@@ -166,6 +167,7 @@ def _train(docs: DataFrame, per_lang: int, seed: int) -> Model:
         share = F.when(F.col("lang") == name, F.lit(min(1 << 30, -(-per_lang * (1 << 30) // n)))).otherwise(share)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             rows = [(gram_counts(t), lang, h) for t, lang, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0][0].astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([r[0][1].astype("<f4").tobytes() for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["f", "n", "lang", "h"])
@@ -188,6 +190,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(Model(model.langs, model.idf.astype(np.float32), model.weights.astype(np.float32), model.bias, model.temperature))  # DIMS x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             got = [shared.value.predict(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*(batch.columns if with_text else batch.columns[1:]), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*(["text"] if with_text else []), "kept", "lang_pred", "score"])

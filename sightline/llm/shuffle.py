@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, running_sums, scratch
+from .common import give_back, materialize, running_sums, scratch
 
 
 #: Reducers of one shuffle at most.
@@ -54,6 +54,7 @@ def external_shuffle(docs: DataFrame, seed: int = 2024, bucket_bytes: int = 16 <
     dealt = keyed.withColumn("bucket", home)
 
     def shuffle(batches):
+        give_back()
         held = [b for b in batches if b.num_rows]
         if not held:
             return

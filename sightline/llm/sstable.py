@@ -21,6 +21,7 @@ names a file, so half-written shards are never read. An empty table gives no sha
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import struct
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, open_fs, scratch, small_batches
+from .common import give_back, materialize, mix64, open_fs, scratch, small_batches
 
 MAGIC = b"SSTTOK01"
 FOOTER = struct.Struct("<QQQQQQIIB7x8s")  # index off/len, bloom off/len, docs, tokens, blocks, bloom hashes, id width, magic
@@ -62,7 +63,7 @@ _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _CLASS[0xC3] = _CLASS[0x80:0xC0] = LETTE
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[0x41:0x5B] += 32
 #: Bytes of text that are encoded together.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 class WordEncoder:
@@ -139,6 +140,12 @@ class WordEncoder:
         return [np.asarray(e.ids, np.uint32) for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
 
 
+@functools.lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """The process's encoder for a tokenizer file."""
+    return WordEncoder(path)
+
+
 def chunks(offsets: np.ndarray):
     """(first, end) of runs of texts of CHUNK bytes at most, or of one text."""
     a = 0
@@ -174,7 +181,7 @@ def cut_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) | fresh[1:]
     starts = np.flatnonzero(first)
     used = kind != BLANK
-    lengths = np.cumsum(used)
+    lengths = np.cumsum(used, dtype=np.int32)
     ends = np.append((lengths[starts] - 1)[0:], lengths[-1]).astype(np.int32)
     units = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(low[used]))
     told = units.dictionary_encode()
@@ -335,7 +342,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, docs_per_shar
     out = scratch(docs.sparkSession, "sst")
 
     def write(batches):
-        own, writer = WordEncoder(tokenizer), None
+        give_back()
+        own, writer = encoder(tokenizer), None
         for batch in batches:
             texts = own.encode_all(batch.column(1), end_id)
             for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
@@ -350,7 +358,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, docs_per_shar
     n = rows.count()
     shards = max(1, -(-n // max(docs_per_shard, -(-n // most))))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    with small_batches(docs.sparkSession, 4000):
+    with small_batches(docs.sparkSession):
         done = materialize(rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST), "sst-manifest")
     # a row a shard, of which there are ``most``: one ordered running sum is enough
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -361,6 +369,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     """A row a document, from the files: doc_id, start (ids before it), n_tokens, ids_crc32."""
 
     def read(batches):
+        give_back()
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows: list[tuple] = []

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, open_fs, scratch, small_batches
+from .common import give_back, materialize, open_fs, scratch, small_batches
 
 PACKED = "block long, lo double, hi double, n int, dims int, ids binary, vecs binary"
 FITS = 1 << 19  # rows of four numbers that may be broadcast: 16 MB
@@ -52,6 +52,7 @@ def pack(rows: DataFrame, size: int, parts: int, name: str) -> DataFrame:
     order = [F.col("norm").desc(), F.col("vec_id")]
 
     def run(batches):
+        give_back()
         for batch in batches:
             for k in range(0, batch.num_rows, size):
                 part = batch.slice(k, size)
@@ -139,6 +140,7 @@ def prepared(queries: DataFrame, longest: tuple[np.ndarray, np.ndarray], k: int)
     out, shared = scratch(queries.sparkSession, "topk-files"), queries.sparkSession.sparkContext.broadcast(longest)
 
     def run(batches):
+        give_back()
         ids, v = shared.value
         sink, path, at, held = None, f"{out}/{uuid.uuid4().hex}", 0, 0
         for batch in batches:
@@ -169,6 +171,7 @@ def prepared(queries: DataFrame, longest: tuple[np.ndarray, np.ndarray], k: int)
 
 def _search(k: int):
     def run(batches):
+        give_back()
         kept: OrderedDict = OrderedDict()
         last = None
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, open_fs, scratch
+from .common import give_back, materialize, open_fs, scratch
 
 INDEX = struct.Struct("<QQ?q")  # offset, length, id is null, id
 DATE = "2024-01-01T00:00:00Z"  # a fixed date: reruns give the same bytes
@@ -108,6 +108,7 @@ def write_monolithic(pages: DataFrame) -> DataFrame:
     out = scratch(pages.sparkSession, "warc-mono")
 
     def write(batches):
+        give_back()
         sink = pack = uri = None
         k = 0
         for batch in batches:
@@ -148,6 +149,7 @@ def normalise(written: DataFrame, least: int = 100) -> DataFrame:
     work = files.join(revisits, "file", "left").select("file", "again")
 
     def rewrite(batches):
+        give_back()
         for batch in batches:
             for file, again in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 refers = {r["k"]: r["first"] for r in again or [] if not r["later"]}
@@ -188,6 +190,7 @@ def read_back(manifest: DataFrame) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def read(batches):
+        give_back()
         for batch in batches:
             for uri, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (fs, path), rows = open_fs(uri), []
