@@ -185,10 +185,11 @@ class Join:
             if wide is None:
                 return index
             held = index.where("not tied").groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select(F.col("sig").alias("token"))
-            hot = materialize(held.join(small(often, n_often), "token", "left_anti"), "jaccard-hot")  # sets of few tokens index frequent ones alone too
+            hot = held.join(small(often, n_often), "token", "left_anti")  # sets of few tokens index frequent ones alone too
             n_hot = hot.count()
             if not n_hot:
                 return index
+            hot = materialize(hot, "jaccard-hot")
             under = index.where("not tied").join(small(hot.select(F.col("token").alias("sig")), n_hot), "sig").select("node").distinct()
             full = wide.join(under, "node").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > VERY).select("token")
             fresh = full.unionByName(hot).distinct().join(small(often, n_often), "token", "left_anti")
@@ -270,8 +271,11 @@ class Join:
         """
         rows = rows.withColumn("light", 2 * F.col("r") <= self._most("n"))
         parts = [F.greatest(F.lit(1), F.ceil(F.col(c) / CHUNK)).cast("int").alias(k) for c, k in (("m", "k"), ("x", "kx"))]
-        many = materialize(rows.groupBy("sig").agg(F.count("*").alias("m"), F.count_if("light").alias("x")).where(F.col("m") > CHUNK).select("sig", *parts), "jaccard-many")
-        held = rows.join(small(many, many.count()), "sig", "left").withColumns({"h": F.xxhash64("node"), "k": F.coalesce("k", F.lit(1)), "kx": F.coalesce("kx", F.lit(1))})
+        many = rows.groupBy("sig").agg(F.count("*").alias("m"), F.count_if("light").alias("x")).where(F.col("m") > CHUNK).select("sig", *parts)
+        held, n = rows.withColumns({"k": F.lit(1), "kx": F.lit(1)}), many.count()
+        if n:
+            held = rows.join(small(materialize(many, "jaccard-many"), n), "sig", "left").withColumns({"k": F.coalesce("k", F.lit(1)), "kx": F.coalesce("kx", F.lit(1))})
+        held = held.withColumn("h", F.xxhash64("node"))
         name = lambda c: [F.col(k).alias(f"{c}_{k}") for k in ("sig", "node", "n", "r", "light", *more)]
         x = held.where("light").select(F.pmod("h", F.col("kx")).cast("int").alias("x_x"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x_y"), *name("x"))
         y = held.select(F.explode(F.sequence(F.lit(0), F.col("kx") - 1)).alias("y_x"), F.pmod("h", F.col("k")).cast("int").alias("y_y"), *name("y"))
