@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import jsonx, requests, text
-from ..operators import cleanup, relations, retrieve
+from ..operators import cleanup, relations, retrieve, search
 from ..sources import scenes
-from ..streaming import sessions
+from ..streaming import dialogue, sessions
 
 GROUPS = [("bolt", "rod"), ("ring", "gear", "gizmo")]
 TYPES = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
@@ -460,3 +460,31 @@ def particles(spark, sf):
 def question_texts(spark, sf):
     t = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("event_type")).alias("kinds"))
     return t.select("user_id", requests.question(F.lit("Which kind?"), F.col("kinds"), F.col("n")).alias("asked"))
+
+
+def collections(spark, sf):
+    """Each customer's orders as a collection of pictures in three rooms."""
+    o = objs(spark, sf)
+    return o.select(F.col("place").cast("string").alias("collection"), "scene", F.col("scene").cast("int").alias("scene_ord"), F.concat(F.lit("room"), F.col("scene") % 3).alias("place"), F.lit(None).cast("string").alias("caption"), "ord", "type", "color", "material", "size", "conf", "box")
+
+
+def related(rows):
+    return search.with_relations(rows, relations.edges(rows))
+
+
+@query(f"WITH {OBJS}, v AS (SELECT place, scene % 3 AS room, scene, count(*) AS n FROM objs WHERE type IN ('ring', 'gear', 'gizmo') GROUP BY ALL), g AS (SELECT place, room, max(n) AS m FROM v GROUP BY ALL) SELECT CAST(place AS VARCHAR) AS rid, CAST(sum(m) AS BIGINT) AS n FROM g GROUP BY place")
+def candidate_counts(spark, sf):
+    """Everybody asks for all gears: entities of a room are as many as its fullest picture has."""
+    rows, none = related(collections(spark, sf)), F.lit(None).cast("string")
+    ask = rows.select("collection").distinct().select(F.col("collection").alias("rid"), "collection", F.lit("gear").alias("target"), none.alias("color"), none.alias("predicate"), none.alias("anchor"), none.alias("location"), F.array().cast(search.WANTED).alias("wanted"), F.lit(0).alias("attributes"), F.lit(None).cast("int").alias("top"))
+    return search.find_candidates(ask, rows, {t: [t] for t in TYPES}, GROUPS).groupBy("rid").agg(F.count("*").alias("n"))
+
+
+@query()
+def room_dialogues(spark, sf):
+    """Everybody looks for a gear, in the same four turns: the machine's replies."""
+    rows, own = related(collections(spark, sf)), {t: [t] for t in TYPES}
+    said = F.posexplode(F.array(*map(F.lit, ["where is my gear", "it is red", "in room1 I think", "the first one"]))).alias("at", "text")
+    turns = rows.select("collection").distinct().select(F.col("collection").alias("conv"), "collection", said).select("conv", (F.col("at") + 1).alias("turn"), "collection", "text")
+    heard = requests.understood(turns, "text", {f"room{i}": [] for i in range(3)}, own, None)
+    return dialogue.replay(heard, rows, own, GROUPS).select("conv", "turn", "kind", "asked_key", "confidence", "n")
