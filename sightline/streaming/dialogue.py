@@ -36,7 +36,7 @@ ASKS = {
 NO_ITEM = 'I\'m not sure what object you\'re looking for. Could you name the item? For example: "my black bottle".'
 UNSURE = " The match is medium-confidence, so please check the image."
 
-REPLY = "kind string, text string, asked_key string, options array<string>, confidence string, ids array<string>, n int, place string, type string, color string, predicate string, anchor string, target string"
+REPLY = "kind string, text string, asked_key string, options array<string>, confidence string, ids array<string>, n int, place string, type string, color string, predicate string, anchor string, target string, colors array<string>"
 HEARD = f"conv string, turn int, collection string, state string, done boolean, {REPLY}, searches array<struct<{search.REQUEST.replace(' array<', ':array<').replace(' string', ':string').replace(' int', ':int')}>>"
 FOUND = ("n", "score", "band", "place", "scene", "ord", "type", "color", "material", "size", "seen", "near", "predicate", "anchor")
 
@@ -163,7 +163,12 @@ def wanted(s: dict, but: str | None = None) -> list[dict]:
 
 def reply(kind: str, text: str, found: list[dict] = (), **more) -> dict:
     first = found[0] if found else {}
-    return {"kind": kind, "text": text, "asked_key": None, "options": [], "confidence": None, "ids": [ident(c) for c in found], "n": len(found), "target": None} | {k: first.get(k) for k in ("place", "type", "color", "predicate", "anchor")} | more
+    return {"kind": kind, "text": text, "asked_key": None, "options": [], "confidence": None, "ids": [ident(c) for c in found], "n": len(found), "target": None} | {k: first.get(k) for k in ("place", "type", "color", "predicate", "anchor")} | {"colors": colors_of(first)} | more
+
+
+def colors_of(c: dict) -> list[str]:
+    """All colours that any view of an entity shows."""
+    return c.get("colors") or [e["v"] for e in c.get("seen") or [] if e["k"] == "color"]
 
 
 def ident(c: dict) -> str:
@@ -257,7 +262,7 @@ def best_question(found: list[dict], asked: list[str]) -> tuple[str | None, list
 
 
 def brief(s: dict, c: dict) -> dict:
-    return {"id": ident(c)} | {k: c[k] for k in ("place", "type", "color", "predicate", "anchor")}
+    return {"id": ident(c), "colors": colors_of(c)} | {k: c[k] for k in ("place", "type", "color", "predicate", "anchor")}
 
 
 def decide(s: dict, found: dict[str, list[dict]]) -> tuple[dict, dict]:
