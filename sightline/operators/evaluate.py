@@ -133,9 +133,9 @@ def scorecard(results: DataFrame, by: list[str] = ()) -> DataFrame:
     n = lambda c, name: F.count_if(own & c).alias(name)
     kind = lambda k: F.col("difficulty") == k
     return results.groupBy(*by).agg(
-        n(F.lit(True), "cases"), n(F.col("ok"), "right"), n(F.col("missing"), "missing"), F.count_if("known_gap").alias("gaps"), F.count_if(F.col("known_gap") & F.col("ok")).alias("gaps_closed"),
+        n(F.lit(True), "cases"), n(F.col("ok"), "correct"), n(F.col("missing"), "missing"), F.count_if("known_gap").alias("gaps"), F.count_if(F.col("known_gap") & F.col("ok")).alias("gaps_closed"),
         n(kind("ambiguous"), "ambiguous"), n(kind("ambiguous") & (F.col("asked") > 0), "clarified"), n(F.col("false_answer"), "false_answers"), n(F.col("parse_ok"), "parsed"),
         n(F.col("confidence_ok"), "confident"), n(F.col("transparent_ok"), "transparent"), n(F.col("comparison_ok"), "compared"),
-        n(kind("spatial"), "spatial"), n(kind("spatial") & F.col("ok"), "spatial_right"), n(kind("small-object"), "small"), n(kind("small-object") & F.col("ok"), "small_right"),
+        n(kind("spatial"), "spatial"), n(kind("spatial") & F.col("ok"), "spatial_correct"), n(kind("small-object"), "small"), n(kind("small-object") & F.col("ok"), "small_correct"),
         F.round(F.coalesce(F.avg(F.when(own & (F.col("asked") > 0), F.col("asked"))), F.lit(0.0)), 6).alias("avg_asked"),
     )

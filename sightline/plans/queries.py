@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import jsonx, requests, text
-from ..operators import cleanup, relations, retrieve, search
+from ..operators import cleanup, evaluate, relations, retrieve, search
 from ..sources import scenes
 from ..streaming import dialogue, sessions
 
@@ -264,9 +264,19 @@ def unexplained(spark, sf):
     return o.join(o.where("ord = 1").select("place", "type"), ["place", "type"], "left_anti").groupBy("type", "color").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, count(*) AS n, round(avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END), 6) AS share, round(avg(CASE WHEN value > 0 THEN user_id END), 6) AS avg_if FROM events GROUP BY event_type")
+RESULTS = """results AS (SELECT event_type, CASE user_id % 4 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'spatial' WHEN 2 THEN 'small-object' ELSE 'easy' END AS difficulty, user_id % 7 = 0 AS known_gap,
+  value < 1 AS missing, value > 10 AS ok, CAST(event_id % 4 AS INT) AS asked, value > 5 AS parse_ok, user_id % 4 = 0 AND event_id % 4 = 0 AND value > 2 AS false_answer, user_id % 3 > 0 AS confidence_ok, event_id % 3 > 0 AS transparent_ok, event_id % 5 > 0 AS comparison_ok FROM events)"""
+OWN = [("cases", "true"), ("correct", "ok"), ("missing", "missing"), ("ambiguous", "difficulty = 'ambiguous'"), ("clarified", "difficulty = 'ambiguous' AND asked > 0"), ("false_answers", "false_answer"), ("parsed", "parse_ok"), ("confident", "confidence_ok"), ("transparent", "transparent_ok"), ("compared", "comparison_ok"), ("spatial", "difficulty = 'spatial'"), ("spatial_correct", "difficulty = 'spatial' AND ok"), ("small", "difficulty = 'small-object'"), ("small_correct", "difficulty = 'small-object' AND ok")]
+
+
+@query(f"WITH {RESULTS} SELECT event_type, {', '.join(f'count(*) FILTER (WHERE NOT known_gap AND ({c})) AS {k}' for k, c in OWN)}, count(*) FILTER (WHERE known_gap) AS gaps, count(*) FILTER (WHERE known_gap AND ok) AS gaps_closed, round(coalesce(avg(asked) FILTER (WHERE NOT known_gap AND asked > 0), 0), 6) AS avg_asked FROM results GROUP BY event_type")
 def scorecard(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("value") > 10, 1.0).otherwise(0.0)), 6).alias("share"), F.round(F.avg(F.when(F.col("value") > 0, F.col("user_id"))), 6).alias("avg_if"))
+    """Events as results of cases, a scorecard of each kind of event."""
+    user, event, value = F.col("user_id"), F.col("event_id"), F.col("value")
+    difficulty = F.when(user % 4 == 0, "ambiguous").when(user % 4 == 1, "spatial").when(user % 4 == 2, "small-object").otherwise("easy")
+    flags = {"known_gap": user % 7 == 0, "missing": value < 1, "ok": value > 10, "parse_ok": value > 5, "false_answer": (user % 4 == 0) & (event % 4 == 0) & (value > 2), "confidence_ok": user % 3 > 0, "transparent_ok": event % 3 > 0, "comparison_ok": event % 5 > 0}
+    rows = table(spark, sf, "events").select("event_type", difficulty.alias("difficulty"), (event % 4).cast("int").alias("asked"), *[c.alias(k) for k, c in flags.items()])
+    return evaluate.scorecard(rows, ["event_type"])
 
 
 @query("SELECT conv_id, turn, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS padded FROM conversations")
@@ -488,3 +498,27 @@ def room_dialogues(spark, sf):
     turns = rows.select("collection").distinct().select(F.col("collection").alias("conv"), "collection", said).select("conv", (F.col("at") + 1).alias("turn"), "collection", "text")
     heard = requests.understood(turns, "text", {f"room{i}": [] for i in range(3)}, own, None)
     return dialogue.replay(heard, rows, own, GROUPS).select("conv", "turn", "kind", "asked_key", "confidence", "n")
+
+
+def described_cases(rows):
+    """Everybody looks for the first thing of their first picture: a case each; every third names no colour, every other no room."""
+    first = rows.groupBy("collection").agg(F.min(F.struct("scene", "ord", "place", "type", "color")).alias("f"))
+    who = F.col("collection").cast("long")
+    expect = F.struct(F.when(who % 2 == 0, F.col("f.place")).alias("location"), F.col("f.type").alias("type"), F.when(who % 3 > 0, F.col("f.color")).alias("color"))
+    none = F.lit(None)
+    return first.select(F.col("collection").alias("id"), "collection", F.concat(F.lit("where is my "), F.col("f.type")).alias("query"), F.lit("ambiguous").alias("difficulty"), expect.alias("expect"), none.cast("array<string>").alias("answers"), F.lit(False).alias("known_gap"))
+
+
+@query(f"""WITH {OBJS}, rows AS (SELECT *, {GRP} AS grp, scene % 3 AS room FROM objs), first AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY place ORDER BY scene, ord) = 1)
+SELECT CAST(f.place AS VARCHAR) AS id, count(*) AS n, CAST(min(r.scene) AS BIGINT) AS scene FROM first f JOIN rows r ON r.place = f.place AND r.grp = f.grp AND (f.place % 2 = 1 OR r.room = f.room) AND (f.place % 3 = 0 OR r.color = f.color) GROUP BY f.place""")
+def described_targets(spark, sf):
+    rows = collections(spark, sf)
+    return evaluate.targets(described_cases(rows), rows, {t: [t] for t in TYPES}, GROUPS, None).groupBy("id").agg(F.count("*").alias("n"), F.min("scene").cast("long").alias("scene"))
+
+
+@query()
+def case_replay(spark, sf):
+    """Everybody's case is played to its end; what is asked and found."""
+    rows = related(collections(spark, sf))
+    played = evaluate.play(described_cases(rows), rows, {f"room{i}": [] for i in range(3)}, {t: [t] for t in TYPES}, GROUPS, None)
+    return played.select("id", "ok", "missing", "asked", "kind", "found", "false_answer", "parse_ok", "confidence_ok", "transparent_ok", "comparison_ok")

@@ -46,9 +46,9 @@ def test_cases(spark, objs, cases):  # noqa: F811
     scored = [r for r in got.values() if not r["known_gap"]]
     asked = [r["asked"] for r in scored if r["asked"]]
     assert card["cases"] == len(scored) == len(CASES) - 1 and card["gaps"] == 1 and card["gaps_closed"] == 0
-    assert card["right"] == sum(r["ok"] for r in scored) and card["missing"] == 1 and card["false_answers"] == 1
+    assert card["correct"] == sum(r["ok"] for r in scored) and card["missing"] == 1 and card["false_answers"] == 1
     assert card["clarified"] == sum(r["asked"] > 0 for r in scored if r["difficulty"] == "ambiguous") == card["ambiguous"] - 1
-    assert (card["spatial"], card["spatial_right"], card["small"], card["small_right"]) == (1, 1, 1, 1)
+    assert (card["spatial"], card["spatial_correct"], card["small"], card["small_correct"]) == (1, 1, 1, 1)
     assert abs(card["avg_asked"] - sum(asked) / len(asked)) < 1e-6
 
 
