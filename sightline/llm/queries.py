@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hardneg, jaccard, langid, linededup, mixing, pii, shuffle, sstable, topk, warc
+from . import decontaminate, hardneg, jaccard, langid, linededup, mixing, pii, shuffle, sstable, topk, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,13 +69,20 @@ def op11_summa_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(_table(spark, sf_dir, "embeddings"), label)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(_table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_sstable, op2_jaccard_join, op2_jaccard_links, op3_language_id, op4_external_shuffle, op5_source_mixing, op6_pii_bootstrap, op7_warc_normaliser, op8_norm_bucket_topk, op9_line_dedup, op10_string_tiling, op11_summa_negatives)
+    f.__name__: f for f in (op1_token_sstable, op2_jaccard_join, op2_jaccard_links, op3_language_id, op4_external_shuffle, op5_source_mixing, op6_pii_bootstrap, op7_warc_normaliser, op8_norm_bucket_topk, op9_line_dedup, op10_string_tiling, op11_summa_negatives, op12_prefix_trie)
 }
 
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Unsigned CRC-32 of an ASCII string: eight steps a byte, with the reflected polynomial.
+CRC32_SQL = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii({0}[i]) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"
+
 #: DuckDB SQL for the rows of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": f"""
@@ -117,4 +124,20 @@ ORACLES: dict[str, str] = {
         negatives AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
             FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
         SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3""",
+    "op12_prefix_trie": f"""
+        WITH t AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, '') AS role, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS th, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM conversations WHERE conv_id IS NOT NULL),
+        o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, th) AS pos FROM t),
+        ids AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS name FROM o),
+        c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, {CRC32_SQL.format("name")} % 9 AS h FROM ids),
+        r AS (SELECT c.conv_id, pos, 0 AS own, th, size FROM c JOIN o ON o.conv_id = c.base AND pos <= h UNION ALL SELECT c.conv_id, pos, 1, th, size FROM c JOIN o ON o.conv_id = c.conv_id AND pos > h),
+        p AS MATERIALIZED (SELECT conv_id, row_number() OVER w AS depth, string_agg(th, '') OVER w AS path, size FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)),
+        members AS MATERIALIZED (SELECT conv_id, depth, path, size FROM p UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+        stops AS (SELECT conv_id, max(depth) AS depth FROM members GROUP BY conv_id),
+        nodes AS MATERIALIZED (SELECT path, min(depth) AS depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size, CASE WHEN min(depth) > 0 THEN left(path, 32 * (min(depth) - 1)) END AS up,
+            sha256(coalesce(string_agg(CAST(s.conv_id AS VARCHAR), ',' ORDER BY s.conv_id), '')) AS ends_sha256 FROM members m LEFT JOIN stops s USING (conv_id, depth) GROUP BY path),
+        kids AS MATERIALIZED (SELECT up AS path, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+        below AS (SELECT left(n.path, 32 * a.k) AS path, count(*) FILTER (k.path IS NULL) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+            FROM nodes n LEFT JOIN kids k ON k.path = n.path, LATERAL (SELECT unnest(range(0, n.depth + 1)) AS k) a GROUP BY 1)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(k.n_children, 0) AS BIGINT) AS n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN kids k ON k.path = n.path LEFT JOIN nodes u ON u.path = n.up""",
 }

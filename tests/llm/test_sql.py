@@ -5,7 +5,7 @@ import pytest
 from sightline.llm import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = {"op2_jaccard_join": "documents", "op7_warc_normaliser": "pages", "op8_norm_bucket_topk": "embeddings", "op9_line_dedup": "documents", "op11_summa_negatives": "embeddings"}
+TABLES = {"op2_jaccard_join": "documents", "op7_warc_normaliser": "pages", "op8_norm_bucket_topk": "embeddings", "op9_line_dedup": "documents", "op11_summa_negatives": "embeddings", "op12_prefix_trie": "conversations"}
 
 
 def agree(spark, name, sf):
