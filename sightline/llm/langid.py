@@ -96,9 +96,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
     """Per-coordinate proximal FTRL; rows are (features, values, class). Weights and bias."""
-    z, n = np.zeros((DIMS + 1, classes)), np.zeros((DIMS + 1, classes))
+    z, n = np.zeros((dims + 1, classes)), np.zeros((dims + 1, classes))
 
     def weights(at):
         zz, penalty = z[at], np.append(np.full(len(at) - 1, l1), 0.0)[:, None]
@@ -107,7 +107,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epoch
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
             found, values, y = rows[k]
-            at, x = np.append(found, DIMS), np.append(values, 1.0)
+            at, x = np.append(found, dims), np.append(values, 1.0)
             w = weights(at)
             p = softmax(x @ w)
             p[y] -= 1
@@ -115,8 +115,8 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epoch
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - step * w
             n[at] += g * g
-    out = np.concatenate([weights(np.append(np.arange(a, min(a + 4096, DIMS)), DIMS))[:-1] for a in range(0, DIMS, 4096)])
-    return out, weights(np.array([DIMS]))[0]
+    out = np.concatenate([weights(np.append(np.arange(a, min(a + 4096, dims)), dims))[:-1] for a in range(0, dims, 4096)])
+    return out, weights(np.array([dims]))[0]
 
 
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:

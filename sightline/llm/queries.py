@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hardneg, jaccard, langid, linededup, mixing, pii, shuffle, sstable, topk, trie, warc
+from . import decontaminate, hardneg, jaccard, langid, linededup, mixing, pii, shuffle, sstable, topk, toxicity, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +73,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(_table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
 
 
+def op13_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_sstable, op2_jaccard_join, op2_jaccard_links, op3_language_id, op4_external_shuffle, op5_source_mixing, op6_pii_bootstrap, op7_warc_normaliser, op8_norm_bucket_topk, op9_line_dedup, op10_string_tiling, op11_summa_negatives, op12_prefix_trie)
+    f.__name__: f for f in (op1_token_sstable, op2_jaccard_join, op2_jaccard_links, op3_language_id, op4_external_shuffle, op5_source_mixing, op6_pii_bootstrap, op7_warc_normaliser, op8_norm_bucket_topk, op9_line_dedup, op10_string_tiling, op11_summa_negatives, op12_prefix_trie, op13_noisy_channel_toxicity)
 }
 
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
