@@ -148,12 +148,16 @@ class Join:
         self.spark = docs.sparkSession
         keep_batches_small(self.spark)
         full = materialize(described(docs, width, percent), "jaccard-docs")
-        first = full.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
-        self.nodes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-nodes")
+        one = F.struct("doc_id", "tx")
+        first = full.where("n > 0").groupBy("s1", "s2").agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), one)), F.min(one)).alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
+        self.nodes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "one.*", *[c for c in first.columns if c != "one"]), "jaccard-nodes")
         self.all = materialize(full.select("doc_id", "tx", "n", "s1", "s2"), "jaccard-slim")
         discard(full)
         self.multi = self._shared(self._indexed())
-        self.classes = self._classes()
+
+    @functools.cached_property
+    def classes(self) -> DataFrame:
+        return self._classes()
 
     # ------------------------------------------------------------ prefixes
 
@@ -227,10 +231,12 @@ class Join:
 
     def _sets(self, nodes: DataFrame) -> DataFrame:
         """node, n, tokens (sorted by unsigned value) of some nodes, from their texts."""
-        nodes = materialize(nodes.join(self.nodes, "node").select("node", "doc_id", "s1", "s2", "copies"), "jaccard-some")
+        nodes = materialize(nodes.join(self.nodes, "node").select("node", "doc_id", "tx", "s1", "s2", "copies"), "jaccard-some")
         some, width = nodes.count(), self.width
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        found = texts.join(small(nodes, some), texts.doc_id.eqNullSafe(nodes.doc_id)).select("node", "s1", "s2", "text", "copies")
+        text = F.col("text").cast("string")
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tx"), text.alias("text"))
+        # by text as well: null and repeated ids are no key
+        found = texts.join(small(nodes, some), texts.doc_id.eqNullSafe(nodes.doc_id) & (texts.tx == nodes.tx)).select("node", "s1", "s2", "text", "copies")
         again = found.where("copies > 1").dropDuplicates(["node", "text"])  # only these can be rows alike in id and text
         found = found.where("copies = 1").unionByName(again).drop("copies")
 

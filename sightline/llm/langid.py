@@ -5,7 +5,7 @@
 * document frequencies: counted over *all* rows that may be learned from;
 * training: follow-the-regularised-leader (proximal, per coordinate) with L1 and L2
   penalties, on about ``per_lang`` rows a language (a documented bound; the rows are
-  picked by a seeded hash of doc_id, so alike at every size and on every run);
+  picked by a seeded hash of doc_id and text, so alike at every size and on every run);
 * calibration: one temperature, fitted on a fifth of that sample held back from training.
 
 Rows may be learned from when lang isn't null, doc_id isn't null and crc32(doc_id as
@@ -143,7 +143,7 @@ def train(docs: DataFrame, per_lang: int = 1500, seed: int = 17) -> Model:
 
 def _train(docs: DataFrame, per_lang: int, seed: int) -> Model:
     learn = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2))
-    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
+    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30))
     langs = {r[0]: r[1] for r in learn.groupBy("lang").count().collect()}
     names = sorted(langs)
 

@@ -57,7 +57,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, repeats: int = 3, seed: int = 11, bucket_rows: int = 2_000):
         spark = docs.sparkSession
-        light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
+        light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
         self.light = light = materialize(light.withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
         # a row a source, not a document
         held = sorted(light.groupBy("source").agg(F.sum("size"), F.count("*")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
@@ -126,13 +126,13 @@ class Mix:
 def mixed_documents(docs: DataFrame, repeats: int = 3, seed: int = 11) -> DataFrame:
     """The columns of docs, a row as often as the mix begins to take the document (0 to ``repeats`` times), whole.
 
-    Copies come back to the texts by id, size and source; rows alike in all three are
+    Copies come back to the texts by id, text hash, size and source; rows alike in all are
     as many as the most taken of them.
     """
     columns, mix = docs.columns, Mix(docs, repeats, seed)
     copies = mix.pieces().select("uid", "epoch").distinct().groupBy("uid").agg(F.count("*").alias("copies"))
-    most = mix.light.join(copies, "uid").groupBy("doc_id", "size", "source").agg(F.max("copies").alias("copies"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).withColumn("size", word_count(F.col("row.text").cast("string")))
-    match = F.col("row.doc_id").cast("long").eqNullSafe(most.doc_id) & (rows["size"] == most["size"]) & F.col("row.source").cast("string").eqNullSafe(most.source)
+    most = mix.light.join(copies, "uid").groupBy("doc_id", "h", "size", "source").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).withColumn("size", word_count(F.col("row.text").cast("string"))).withColumn("h", F.xxhash64(F.lit(seed), "row.doc_id", "row.text"))
+    match = F.col("row.doc_id").cast("long").eqNullSafe(most.doc_id) & (rows["h"] == most["h"]) & (rows["size"] == most["size"]) & F.col("row.source").cast("string").eqNullSafe(most.source)
     out = rows.join(most, match).withColumn("copy", F.explode(F.expr("sequence(1, cast(copies as int))")))
     return out.select(*[F.col(f"row.`{c}`") for c in columns])

@@ -87,20 +87,27 @@ LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 #: Unsigned CRC-32 of an ASCII string: eight steps a byte, with the reflected polynomial.
 CRC32_SQL = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii({0}[i]) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"
 
-#: DuckDB SQL for the rows of the queries that SQL can express.
-ORACLES: dict[str, str] = {
-    "op2_jaccard_join": f"""
-        WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+#: Word sets of documents, the distinct ones (nodes) and their links.
+LINKED_SQL = f"""worded AS (SELECT doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
             ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM worded),
         nodes AS MATERIALIZED (SELECT min(doc_id) AS node, count(*) AS copies, len(s) AS n, s FROM sets WHERE len(s) > 0 GROUP BY s),
         tokens AS MATERIALIZED (SELECT node, n, unnest(s) AS t FROM nodes),
         links AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.node <> b.node AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
-            GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+            GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*)))"""
+
+#: DuckDB SQL for the rows of the queries that SQL can express.
+ORACLES: dict[str, str] = {
+    "op2_jaccard_join": f"""
+        WITH RECURSIVE {LINKED_SQL},
         reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
         roots AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a)
         SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id, coalesce(n.copies, 1) AS copies
         FROM sets d LEFT JOIN nodes n ON n.s = d.s LEFT JOIN roots r ON r.node = n.node""",
+    "op2_jaccard_links": f"""
+        WITH {LINKED_SQL},
+        near AS (SELECT l.a AS node, sum(n.copies) AS near FROM links l JOIN nodes n ON n.node = l.b GROUP BY l.a)
+        SELECT d.doc_id, CAST(coalesce(r.near, 0) + coalesce(n.copies, 1) - 1 AS BIGINT) AS links FROM sets d LEFT JOIN nodes n ON n.s = d.s LEFT JOIN near r ON r.node = n.node""",
     "op7_warc_normaliser": """
         WITH held AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM held)

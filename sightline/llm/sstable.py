@@ -17,6 +17,7 @@ little-endian, two bytes each while the vocabulary fits, else four.
 Nulls and empty texts give the end token alone. A lost task is simply run again: it
 writes under a new name and only the manifest row of the attempt that Spark accepted
 names a file, so half-written shards are never read. An empty table gives no shards.
+Very long texts are encoded one at a time; columns beside doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -62,6 +63,9 @@ _CLASS[0x30:0x3A] = DIGIT
 _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _CLASS[0xC3] = _CLASS[0x80:0xC0] = LETTER  # 0xC3 leads U+00C0 to U+00FF
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[0x41:0x5B] += 32
+#: The normalizer and the splits for which units can be cut on byte arrays.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 #: Bytes of text that are encoded together.
 CHUNK = 4 << 20
 
@@ -74,7 +78,8 @@ class WordEncoder:
     made distinct on whole byte arrays, and the library gets the distinct ones in one call;
     each unit's ids end with its only token that ends a word. Words with anything but
     ASCII and the letters U+00C0 to U+00FF go to the library as they are. Nothing is kept
-    from chunk to chunk, so memory is bounded by CHUNK and the longest text.
+    from chunk to chunk, so memory is bounded by CHUNK and the longest text. A tokenizer
+    file with another normalizer, other splits or no word ends gets whole texts instead.
     """
 
     def __init__(self, path: str):
@@ -84,6 +89,8 @@ class WordEncoder:
         self.lib = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             plain = json.load(f)
+        splits = (plain["pre_tokenizer"] or {}).get("pretokenizers") or [None]
+        self.cuts = plain["normalizer"] == NORMALIZER and splits[0] == SPLITS and plain["model"].get("end_of_word_suffix") == "</w>" and plain["post_processor"] is None
         # the same model for units that are normal already
         plain |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}}
         self.units = Tokenizer.from_str(json.dumps(plain))
@@ -105,6 +112,10 @@ class WordEncoder:
     def _chunk(self, texts: pa.StringArray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, and where each text's begin."""
         n = len(texts)
+        if not self.cuts:
+            parts = self._each([t or "" for t in texts.to_pylist()])
+            parts = parts if end_id is None else [np.append(p, np.uint32(end_id)) for p in parts]
+            return np.concatenate([np.empty(0, np.uint32), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[: n + 1]
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: offsets[-1]]
         codes, starts, names, odd = cut_units(raw, offsets)
@@ -334,7 +345,7 @@ class Shard:
         return found
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, docs_per_shard: int = 8192, vocab: int = 49_408, most: int = 1 << 15) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, docs_per_shard: int = 8192, most: int = 1 << 15) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards; the manifest, a row a shard in key order, with the tokens before it in ``start``.
 
     There are ``most`` shards at most: beyond docs_per_shard * most documents shards grow.
@@ -348,7 +359,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, docs_per_shar
             texts = own.encode_all(batch.column(1), end_id)
             for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
                 if writer is None:
-                    writer = ShardWriter(f"{out}/{uuid.uuid4().hex}.sst", vocab)
+                    writer = ShardWriter(f"{out}/{uuid.uuid4().hex}.sst", max(own.lib.get_vocab_size(), end_id + 1))
                 writer.add(key_of(doc_id), ids)
         if writer is not None:
             row = {"shard": TaskContext.get().partitionId()} | writer.close()

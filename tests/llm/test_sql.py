@@ -5,7 +5,7 @@ import pytest
 from sightline.llm import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = {"op2_jaccard_join": "documents", "op7_warc_normaliser": "pages", "op8_norm_bucket_topk": "embeddings", "op9_line_dedup": "documents", "op11_summa_negatives": "embeddings", "op12_prefix_trie": "conversations"}
+TABLES = {"op2_jaccard_join": "documents", "op2_jaccard_links": "documents", "op7_warc_normaliser": "pages", "op8_norm_bucket_topk": "embeddings", "op9_line_dedup": "documents", "op11_summa_negatives": "embeddings", "op12_prefix_trie": "conversations"}
 
 
 def agree(spark, name, sf):
@@ -29,7 +29,7 @@ def test_awkward_documents(spark, tmp_path):
     texts = [None, "", " \n\t", "One line that Repeats\nb", "b\n one line that repeats \x0b", "b\n\nÉcole ÉCOLE und so\nb", "ÉCOLE école und so", "a b", "a b", "a b c", "A B C a b c"]
     texts += [" ".join(f"w{i}" for i in range(k, k + 80)) for k in (0, 2, 4, 40)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    for name in ("op2_jaccard_join", "op9_line_dedup"):
+    for name in ("op2_jaccard_join", "op2_jaccard_links", "op9_line_dedup"):
         agree(spark, name, tmp_path)
 
 
