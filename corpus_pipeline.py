@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
 result as Parquet and hands what it reads back to the next. All but the last return the
 columns of documents, whatever these are.
+
+Null and empty texts, and texts without a letter, leave in the first stage. Null and
+repeated doc_ids are documents like any other, and are told apart by their texts. Rows
+alike in all columns are near copies of each other: one stays, as of any group, that with
+the smallest doc_id (ties: any). An empty table stays empty through all stages, and
+gives no shards. Very long texts pass whole.
 """
 
 from __future__ import annotations
@@ -14,17 +20,14 @@ from sightline.llm import decontaminate, jaccard, langid, mixing, sstable
 from sightline.llm.common import materialize
 from sightline.llm.queries import tokenizer_path
 
-#: Below this calibrated probability the best language is taken for a guess.
-LEAST_SCORE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no letter in them, or none that is likely."""
+    """Documents without a letter go, and nothing else: where no language can be learned, all others stay."""
     columns = docs.columns
     model = langid.train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
     rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row"))
     told = langid.predict(rows, model, "text", "row")
-    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    kept = told.where(F.col("lang_pred") != "und") if model.langs else told.where(F.col("text").rlike(r"\p{L}"))
     return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns])
 
 
