@@ -103,6 +103,8 @@ def find_candidates(requests: DataFrame, objs: DataFrame, synonyms: dict[str, li
 
 # ---------------------------------------------------------------- a second look
 
+SURE = 0.6  # fixed value: a rejection below it isn't believed
+
 
 def needs_look(score: Column, box: Column, w: Column, h: Column, least: float = 0.70, small: float = 0.018) -> Column:
     """Whether a candidate is worth a second look: a low score, or a small part of a picture of known size."""
@@ -119,7 +121,7 @@ def crop(box: Column, w: Column, h: Column, margin: float = 0.35) -> Column:
     return F.when((x2 > x1) & (y2 > y1), F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")))
 
 
-def kept_by_verdict(cands: DataFrame, by: list[str], sure: float = 0.6) -> DataFrame:
+def kept_by_verdict(cands: DataFrame, by: list[str], sure: float = SURE) -> DataFrame:
     """Candidates (looked boolean, match boolean, confidence double) without those surely rejected; all of them where every one would go.
 
     Those not looked at come first, then the others, each in order of ``n``. A null

@@ -45,7 +45,7 @@ def opened(said: dict) -> dict:
     """A new conversation's state."""
     return {
         "target": said["target_type"], "attributes": {"color": said["color"]} if said["color"] else {}, "predicate": said["predicate"], "anchor": said["anchor_type"], "location": said["location"],
-        "learned": {}, "asked": [], "key": None, "options": [], "picked": None, "refused": False, "offered": False, "turns": 0, "shown": [], "rejected": [], "confirmed": False, "all": bool(said["all"]),
+        "learned": {}, "asked": [], "key": None, "options": [], "picked": None, "refused": False, "offered": False, "turns": 0, "shown": [], "rejected": [], "confirmed": False, "all": bool(said["all"]), "looked": {},
     }
 
 
@@ -331,56 +331,115 @@ def _hear(r: dict) -> dict:
 def _tell(r: dict) -> dict:
     if r["done"]:
         return r
-    s, told = decide(json.loads(r["state"]), {f["which"]: f["found"] for f in r["found"] or []})
+    s, found = json.loads(r["state"]), {f["which"]: f["found"] for f in r["found"] or []}
+    for seen in r["looks"] or []:
+        s["looked"][seen["id"]] = seen["gone"]
+    main = "near" if s["all"] else "0"
+    # a look never takes everything away
+    if left := [c for c in found.get(main, []) if not s["looked"].get(ident(c))]:
+        found = {which: [c for c in own if not s["looked"].get(ident(c))] if which in (main, "0") else own for which, own in found.items()}
+    s, told = decide(s, found)
     return r | told | {"state": json.dumps(s)}
 
 
-def round_of(states: DataFrame, turns: DataFrame, objs: DataFrame, synonyms=None, groups=search.LOOK_ALIKE) -> DataFrame:
-    """One turn of every conversation (conv, turn, collection, said): its reply and new state."""
+LOOKED = "conv string, id string, gone boolean"
+
+
+def looks_of(heard: DataFrame, found: DataFrame, objs: DataFrame, look) -> DataFrame:
+    """LOOKED: verdicts on the candidates that are worth a second look and had none in their conversation yet.
+
+    ``look`` takes conv, id, collection, scene, ord, description and crop (null where the
+    frame isn't known) and adds match and confidence; it gets each object once a
+    conversation, and runs once.
+    """
+    asked = heard.where(~F.col("done")).select("conv", "collection", F.col("state"), F.explode("searches").alias("q"))
+    seen = F.from_json(F.get_json_object("state", "$.looked"), "map<string,boolean>")
+    main = F.when(F.get_json_object("state", "$.all") == "true", "near").otherwise("0")
+    ask = asked.withColumn("seen", seen).where(F.substring_index("q.rid", "|", -1) == main).select("conv", "collection", "seen", F.col("q.rid").alias("rid"), F.concat_ws(" ", "q.color", "q.target").alias("description"))
+    at = found.select("rid", "n", "scene", "ord", "score").join(ask, "rid")
+    frame = [F.col(c) if c in objs.columns else F.lit(None).cast("int").alias(c) for c in ("w", "h")]
+    own = objs.select("collection", F.col("scene").alias("scene"), "ord", "box", *frame)
+    cands = at.join(own, ["collection", "scene", "ord"]).withColumn("id", F.concat(F.col("scene").cast("string"), F.lit("_o"), (F.col("ord") - 1).cast("string")))
+    new = cands.where(search.needs_look(F.col("score"), F.col("box"), F.col("w"), F.col("h")) & ~F.coalesce(F.map_contains_key("seen", F.col("id")), F.lit(False)))
+    asked_of = new.select("conv", "id", "collection", "scene", "ord", "description", search.crop(F.col("box"), F.col("w"), F.col("h")).alias("crop")).dropDuplicates(["conv", "id"])
+    gone = F.coalesce((F.col("match") == F.lit(False)) & (F.coalesce("confidence", F.lit(0.0)) >= search.SURE), F.lit(False))
+    return cut(look(asked_of).select("conv", "id", gone.alias("gone")), "looks")
+
+
+def round_of(states: DataFrame, turns: DataFrame, objs: DataFrame, synonyms=None, groups=search.LOOK_ALIKE, look=None) -> DataFrame:
+    """One turn of every conversation (conv, turn, collection, said): its reply and new state; with ``look``, doubtful candidates are looked at again first (``looks_of``)."""
     heard = _rows(turns.select("conv", "turn", "collection", "said").join(states.select("conv", "state"), "conv", "left"), HEARD, _hear)
     heard = cut(heard, "heard")  # Python's part runs once
     found = search.find_candidates(heard.select(F.explode("searches").alias("q")).select("q.*"), objs, synonyms, groups)
     item = F.struct(*[F.col(c).cast("string").alias(c) if c == "scene" else F.col(c) for c in FOUND])
     sets = found.groupBy("rid").agg(F.array_sort(F.collect_list(item)).alias("found"))  # a reply's own entities
     each = sets.select(F.substring_index("rid", "|", 1).alias("conv"), F.struct(F.substring_index("rid", "|", -1).alias("which"), F.col("found")).alias("f")).groupBy("conv").agg(F.collect_list("f").alias("found"))
+    if look is None:
+        each = each.withColumn("looks", F.lit(None).cast("array<struct<id:string,gone:boolean>>"))
+    else:
+        seen = looks_of(heard, found, objs, look).groupBy("conv").agg(F.collect_list(F.struct("id", "gone")).alias("looks"))
+        each = each.join(seen, "conv", "left")
     out = f"conv string, turn int, state string, done boolean, {REPLY}"
     return _rows(heard.drop("searches", "collection").join(each, "conv", "left"), out, _tell)
 
 
-def replay(turns: DataFrame, objs: DataFrame, synonyms=None, groups=search.LOOK_ALIKE) -> DataFrame:
+def replay(turns: DataFrame, objs: DataFrame, synonyms=None, groups=search.LOOK_ALIKE, look=None) -> DataFrame:
     """conv, turn and reply of every turn (conv, turn from 1 without gaps, collection, said)."""
     turns = cut(turns.select("conv", "turn", "collection", "said"), "turns")
     states, done = turns.sparkSession.createDataFrame([], "conv string, state string"), None
     for k in range(1, (turns.agg(F.max("turn")).first()[0] or 0) + 1):
-        now = cut(round_of(states, turns.where(F.col("turn") == k), objs, synonyms, groups), f"round-{k}")
-        states = now if k == 1 else now.select("conv", "state").unionByName(states.select("conv", "state").join(now.select("conv"), "conv", "left_anti"))
+        now = cut(round_of(states, turns.where(F.col("turn") == k), objs, synonyms, groups, look), f"round-{k}")
+        states = cut(now.select("conv", "state").unionByName(states.select("conv", "state").join(now.select("conv"), "conv", "left_anti")), "states")  # no plan grows with the turns
         done = now if done is None else done.unionByName(now)
     if done is None:
         return turns.sparkSession.createDataFrame([], f"conv string, turn int, {REPLY}")
     return done.drop("state", "done")
 
 
-def stream(turns: DataFrame, objs: DataFrame, out: str, synonyms=None, groups=search.LOOK_ALIKE):
-    """A writer that answers a stream of turns, a micro-batch a time; states and replies lie below ``out``.
+COMPACT = 64  # batches whose states are read one by one
+STATES = "conv string, state string, batch long"
+
+
+def states_of(spark, out: str, number: int) -> DataFrame:
+    """STATES as they were before batch ``number``: the last full table, and what each batch since then has written."""
+    base = number // COMPACT * COMPACT
+    parts = [f"{out}/states/{k}" for k in range(base, number)] + ([f"{out}/bases/{base}"] if base else [])
+    return spark.read.schema(STATES).parquet(*parts) if parts else spark.createDataFrame([], STATES)
 
-    Turns of one conversation in one batch are taken in order. A batch that is run again
-    reads the states before it and writes the same replies in their place.
+
+def newest(states: DataFrame) -> DataFrame:
+    return states.groupBy("conv").agg(F.max_by("state", "batch").alias("state"), F.max("batch").alias("batch"))
+
+
+def answerer(objs: DataFrame, out: str, synonyms=None, groups=search.LOOK_ALIKE, look=None):
+    """A function of a micro-batch and its number that writes the states of the conversations in it, and their replies.
+
+    A batch writes no state but these. Every COMPACT batches the states written since the
+    last full table become a new one. A batch that is run again reads the states before it
+    and writes the same in their place.
     """
 
     def answer(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        states = spark.createDataFrame([], "conv string, state string") if number == 0 else spark.read.parquet(f"{out}/states/{number - 1}")
+        if number and number % COMPACT == 0:
+            newest(states_of(spark, out, number - 1).unionByName(spark.read.schema(STATES).parquet(f"{out}/states/{number - 1}"))).write.mode("overwrite").parquet(f"{out}/bases/{number}")
         batch = cut(batch.select("conv", "turn", "collection", "said", F.row_number().over(Window.partitionBy("conv").orderBy("turn")).alias("k")), "batch")
+        states = newest(states_of(spark, out, number).join(batch.select("conv").distinct(), "conv", "left_semi")).select("conv", "state")
         done = None
         for k in range(1, (batch.agg(F.max("k")).first()[0] or 0) + 1):
-            now = cut(round_of(states, batch.where(F.col("k") == k), objs, synonyms, groups), "stream-round")
+            now = cut(round_of(states, batch.where(F.col("k") == k), objs, synonyms, groups, look), "stream-round")
             states = cut(now.select("conv", "state").unionByName(states.join(now.select("conv"), "conv", "left_anti").select("conv", "state")), "stream-states")
             done = now if done is None else done.unionByName(now)
-        states.write.mode("overwrite").parquet(f"{out}/states/{number}")
+        states.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/states/{number}")
         if done is not None:
             done.drop("state", "done").write.mode("overwrite").parquet(f"{out}/replies/batch={number}")
 
-    return turns.writeStream.foreachBatch(answer).option("checkpointLocation", f"{out}/checkpoint")
+    return answer
+
+
+def stream(turns: DataFrame, objs: DataFrame, out: str, synonyms=None, groups=search.LOOK_ALIKE, look=None):
+    """A writer that answers a stream of turns, a micro-batch a time; states and replies lie below ``out``. Turns of one conversation in one batch are taken in order."""
+    return turns.writeStream.foreachBatch(answerer(objs, out, synonyms, groups, look)).option("checkpointLocation", f"{out}/checkpoint")
 
 
 def localized(lang):
