@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.once import once
 
 
 def pairs(objs: DataFrame) -> DataFrame:
@@ -21,13 +22,19 @@ def neighbours(objs: DataFrame, k: int = g.NEIGHBOURS) -> DataFrame:
     return pairs(objs).withColumn("dist", g.distance(F.col("a_box"), F.col("b_box"))).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
+@once
+def _said(w, h) -> Column:
+    return F.posexplode(g.relations(F.col("a_box"), F.col("b_box"), w, h)).alias("p", "predicate")
+
+
 def edges(objs: DataFrame, frame=(1000, 800), k: int = g.NEIGHBOURS) -> DataFrame:
     """scene, a, predicate, b, types and rel_ord: the stored relations."""
     near = neighbours(objs, k)
     if isinstance(frame[0], Column):  # each scene has its own
         sizes = objs.groupBy("scene").agg(F.max(frame[0]).alias("w"), F.max(frame[1]).alias("h"))
         near, frame = near.join(sizes, "scene"), (F.col("w"), F.col("h"))
-    found = near.select("scene", "a", "b", "a_type", "b_type", "rank", F.posexplode(g.relations(F.col("a_box"), F.col("b_box"), *frame)).alias("p", "predicate"))
+    said = F.posexplode(g.relations(F.col("a_box"), F.col("b_box"), *frame)).alias("p", "predicate") if isinstance(frame[0], Column) else _said(*frame)
+    found = near.select("scene", "a", "b", "a_type", "b_type", "rank", said)
     return found.withColumn("rel_ord", F.row_number().over(Window.partitionBy("scene").orderBy("a", "rank", "p")))
 
 

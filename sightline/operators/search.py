@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.once import once
 from ..functions.requests import OBJECTS
 from ..functions.text import LOOK_ALIKE
 from . import retrieve
@@ -31,6 +32,7 @@ def reach(synonyms: dict[str, list[str]] | None = None, groups=LOOK_ALIKE) -> di
     return {w: [t for t in types if serves(t, w)] for w in types}
 
 
+@once
 def _map(table: dict[str, list[str]]) -> Column:
     return F.create_map(*[x for w, ts in table.items() for x in (F.lit(w), F.array(*map(F.lit, ts)))])
 
@@ -65,6 +67,7 @@ def ranked_scenes(requests: DataFrame, objs: DataFrame, table: dict[str, list[st
     return told.where((F.col("best") <= 0) | ((F.col("score") > 0) & (F.col("top").isNull() | (F.col("rank") <= F.col("top"))))).select("rid", "collection", "scene", "rank", "score")
 
 
+@once
 def satisfied(table: dict[str, list[str]]) -> Column:
     """Whether an entity meets all that is wanted: any view's evidence serves, a rejection needs all views to agree, what was never seen doesn't serve."""
     seen = lambda key: F.array_distinct(F.transform(F.filter("seen", lambda x: x["k"] == key), lambda x: x["v"]))
@@ -79,6 +82,13 @@ def satisfied(table: dict[str, list[str]]) -> Column:
     return F.forall(F.coalesce("wanted", F.array().cast(WANTED)), meets)
 
 
+@once
+def _places() -> tuple[Column, Column]:
+    """The type of the neighbour to ask about, and the relation by which a place is told."""
+    own, kind = F.col("rels"), F.col("type")
+    return anchor_of(own, kind, SAFE)["anchor"], F.coalesce(anchor_of(own, kind, SAFE + PICTURED, F.col("anchor")), anchor_of(own, kind, SAFE + PICTURED))
+
+
 def find_candidates(requests: DataFrame, objs: DataFrame, synonyms: dict[str, list[str]] | None = None, groups=LOOK_ALIKE) -> DataFrame:
     """Entities that serve each request (REQUEST), best first: n from 1, score, band, place, scene, ord, type, color, material, size, views, seen, rels, near (type of the neighbour to ask about), predicate and anchor (where it is told to be).
 
@@ -95,8 +105,7 @@ def find_candidates(requests: DataFrame, objs: DataFrame, synonyms: dict[str, li
     kept = merged.join(requests.select("rid", "target", "predicate", "anchor", "wanted", "attributes"), "rid").where(satisfied(table))
     score = retrieve.candidate_score(F.col("votes"), F.size(F.array_distinct("views")), F.col("predicate").isNotNull() & F.col("anchor").isNotNull(), F.col("attributes"), F.col("type").eqNullSafe(F.col("target")))
     order = Window.partitionBy("rid").orderBy(F.col("score").desc(), "g0", "g1", "entity")
-    near = anchor_of(F.col("rels"), F.col("type"), SAFE)["anchor"]
-    told = F.coalesce(anchor_of(F.col("rels"), F.col("type"), SAFE + PICTURED, F.col("anchor")), anchor_of(F.col("rels"), F.col("type"), SAFE + PICTURED))
+    near, told = _places()
     out = kept.withColumn("score", score).withColumn("n", F.row_number().over(order))
     return out.select("rid", "n", "score", retrieve.band(F.col("score")).alias("band"), "place", "scene", "ord", "type", "color", "material", "size", "views", "seen", "rels", near.alias("near"), told["predicate"].alias("predicate"), told["anchor"].alias("anchor"))
 

@@ -348,9 +348,9 @@ LOOKED = "conv string, id string, gone boolean"
 def looks_of(heard: DataFrame, found: DataFrame, objs: DataFrame, look) -> DataFrame:
     """LOOKED: verdicts on the candidates that are worth a second look and had none in their conversation yet.
 
-    ``look`` takes conv, id, collection, scene, ord, description and crop (null where the
-    frame isn't known) and adds match and confidence; it gets each object once a
-    conversation, and runs once.
+    ``look`` takes conv, id, collection, scene, ord, description and crop (within the
+    frame, where ``objs`` has w and h) and adds match and confidence; it gets each object
+    once a conversation, and runs once.
     """
     asked = heard.where(~F.col("done")).select("conv", "collection", F.col("state"), F.explode("searches").alias("q"))
     seen = F.from_json(F.get_json_object("state", "$.looked"), "map<string,boolean>")
@@ -371,6 +371,7 @@ def round_of(states: DataFrame, turns: DataFrame, objs: DataFrame, synonyms=None
     heard = _rows(turns.select("conv", "turn", "collection", "said").join(states.select("conv", "state"), "conv", "left"), HEARD, _hear)
     heard = cut(heard, "heard")  # Python's part runs once
     found = search.find_candidates(heard.select(F.explode("searches").alias("q")).select("q.*"), objs, synonyms, groups)
+    found = found if look is None else cut(found, "found")  # read twice then
     item = F.struct(*[F.col(c).cast("string").alias(c) if c == "scene" else F.col(c) for c in FOUND])
     sets = found.groupBy("rid").agg(F.array_sort(F.collect_list(item)).alias("found"))  # a reply's own entities
     each = sets.select(F.substring_index("rid", "|", 1).alias("conv"), F.struct(F.substring_index("rid", "|", -1).alias("which"), F.col("found")).alias("f")).groupBy("conv").agg(F.collect_list("f").alias("found"))
@@ -385,7 +386,7 @@ def round_of(states: DataFrame, turns: DataFrame, objs: DataFrame, synonyms=None
 
 def replay(turns: DataFrame, objs: DataFrame, synonyms=None, groups=search.LOOK_ALIKE, look=None) -> DataFrame:
     """conv, turn and reply of every turn (conv, turn from 1 without gaps, collection, said)."""
-    turns = cut(turns.select("conv", "turn", "collection", "said"), "turns")
+    turns, objs = cut(turns.select("conv", "turn", "collection", "said"), "turns"), cut(objs, "objects")
     states, done = turns.sparkSession.createDataFrame([], "conv string, state string"), None
     for k in range(1, (turns.agg(F.max("turn")).first()[0] or 0) + 1):
         now = cut(round_of(states, turns.where(F.col("turn") == k), objs, synonyms, groups, look), f"round-{k}")

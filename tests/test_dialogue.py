@@ -179,3 +179,80 @@ def test_second_look(spark):
     got = search.kept_by_verdict(verdicts.withColumn("id", F.col("n")), ["rid"]).orderBy("rid", "n").collect()
     assert [(r.rid, r.id) for r in got] == [(1, 3), (1, 2), (1, 4), (2, 1), (2, 2)]
     assert [r.n for r in search.fresh(verdicts, verdicts.where("n <> 2 or rid = 2"), ["rid", "n"]).collect()] == [2]
+
+
+def doubtful(spark, frame_known=False):
+    """The base index with bottles that are seen at 0.5."""
+    frame, scenes = INDEXES["base"]
+    rows = [("base", s, at, place, caption, i + 1, *o) for at, (s, place, caption, things) in enumerate(scenes) for i, o in enumerate(things)]
+    own = spark.createDataFrame(rows, OBJS).withColumn("conf", F.when(F.col("type") == "bottle", 0.5).otherwise(F.col("conf")))
+    own = own.withColumn("w", F.lit(frame[0])).withColumn("h", F.lit(frame[1])) if frame_known else own
+    return search.with_relations(own, relations.edges(own, frame))
+
+
+class Look:
+    """A model of second looks that remembers what it was asked."""
+
+    def __init__(self, rejects, confidence=0.9):
+        self.rejects, self.confidence, self.calls = rejects, confidence, []
+
+    def __call__(self, cands):
+        self.calls.append(sorted(cands.collect(), key=lambda r: (r.conv, r.id)))
+        return cands.withColumn("match", ~F.expr(self.rejects)).withColumn("confidence", F.lit(self.confidence))
+
+
+def looked(spark, rows, look, objs=None):
+    replies = d.replay(understood(spark, rows), doubtful(spark) if objs is None else objs, look=look).collect()
+    return {(r.conv, r.turn): r for r in replies}
+
+
+def test_look_drops_what_is_surely_rejected(spark):
+    look = Look("scene = 'classroom_01'")
+    got = looked(spark, [("a", 1, "base", "where is my black bottle")], look)
+    assert {r.description for r in look.calls[0]} == {"black bottle"}
+    assert got["a", 1].ids == ["office_01_o1"]
+    unsure = looked(spark, [("a", 1, "base", "where is my black bottle")], Look("scene = 'classroom_01'", 0.59))
+    assert sorted(unsure["a", 1].ids) == ["classroom_01_o0", "office_01_o1"]
+
+
+def test_each_object_is_looked_at_once_a_conversation(spark):
+    look = Look("scene = 'classroom_01'")
+    got = looked(spark, [("a", 1, "base", "where is my bottle"), ("a", 2, "base", "black"), ("b", 1, "base", "where is my black bottle"), ("b", 2, "base", "where is my umbrella"), ("b", 3, "base", "where is my black bottle")], look)
+    asked = [(r.conv, r.id) for call in look.calls for r in call]
+    assert sorted(asked) == [("a", i) for i in ("classroom_01_o0", "office_01_o1", "office_01_o2")] + [("b", i) for i in ("classroom_01_o0",) * 2 + ("office_01_o1",) * 2]  # a new question forgets
+    assert not any(r.conv == "a" for call in look.calls[1:] for r in call)
+    assert got["a", 2].ids == ["office_01_o1"] and got["b", 1].ids == got["b", 3].ids == ["office_01_o1"]
+
+
+def test_looks_never_take_everything(spark):
+    got = looked(spark, [("a", 1, "base", "where is my black bottle"), ("l", 1, "base", "list all the bottles")], Look("true"))
+    assert sorted(got["a", 1].ids) == ["classroom_01_o0", "office_01_o1"] and len(got["l", 1].ids) == 3
+
+
+def test_only_doubtful_things_are_looked_at(spark, objs):
+    look = Look("true")
+    got = looked(spark, [("a", 1, "base", "where is my black bottle"), ("k", 1, "low", "find my keys")], look, objs)
+    assert [(r.conv, r.id, tuple(r.crop)) for call in look.calls for r in call] == [("k", "low_01_o0", (86, 89, 154, 140))]
+    assert got["k", 1].kind == "question" and len(got["a", 1].ids) == 2
+    small = Look("true")
+    looked(spark, [("u", 1, "base", "where is my umbrella"), ("x", 1, "base", "where is my red backpack")], small, doubtful(spark, True))
+    assert [(r.id, r.description, tuple(r.crop)) for call in small.calls for r in call if r.conv == "u"] == []  # 2.7 percent of its picture
+    tiny = Look("false")
+    looked(spark, [("u", 1, "base", "where is my bottle")], tiny, doubtful(spark, True))
+    assert all(tuple(r.crop)[2] > tuple(r.crop)[0] for call in tiny.calls for r in call) and len(tiny.calls[0]) == 3
+
+
+def test_states_are_written_for_those_who_speak(spark, objs, tmp_path, monkeypatch):
+    """Deltas a batch, full tables now and then, and a batch that is run twice."""
+    monkeypatch.setattr(d, "COMPACT", 2)
+    batches = [[("a", 1, "base", "where is my bottle"), ("n", 1, "twins", "find my laptop")], [("a", 2, "base", "black")], [("n", 2, "twins", "2")], [("a", 3, "base", "the office")]]
+    answer = d.answerer(objs, str(tmp_path))
+    for k, rows in enumerate(batches):
+        batch = understood(spark, rows)
+        answer(batch, k)
+        if k in (1, 2):
+            answer(batch, k)  # as after a lost driver
+        assert {r.conv for r in spark.read.parquet(f"{tmp_path}/states/{k}").collect()} == {r[0] for r in rows}
+    got = sorted((r.conv, r.turn, r.kind, tuple(r.ids)) for r in spark.read.parquet(f"{tmp_path}/replies").collect())
+    want = sorted((r.conv, r.turn, r.kind, tuple(r.ids)) for r in d.replay(understood(spark, sum(batches, [])), objs).collect())
+    assert got == want and {r.conv for r in spark.read.parquet(f"{tmp_path}/bases/2").collect()} == {"a", "n"}
