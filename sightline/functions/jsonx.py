@@ -169,3 +169,24 @@ def with_answer(df: DataFrame, raw: str, out: str) -> DataFrame:
 def miscounted(answer: Column) -> Column:
     """Whether the answer claims another number of objects than it lists."""
     return F.coalesce(answer["n_objects"] != F.size(answer["objects"]), F.lit(False))
+
+
+OBJECT_ROW = "ord int, type string, color string, material string, size string, bbox array<double>, confidence double, truncated boolean"
+
+
+class Salvaged:
+    """Table function: a row each object that can be read in a model's text; none where nothing can. Made a UDTF by ``salvaged``."""
+
+    def eval(self, raw: str, outer: bool):
+        got = extract(raw)
+        if outer and not (got and any(isinstance(o, dict) for o in got["objects"])):
+            yield (None,) * 8
+        for at, o in enumerate([o for o in got["objects"] if isinstance(o, dict)] if got else [], 1):
+            o = _object(o)
+            yield at, o["type"], o["color"], o["material"], o["size"], o["bbox"], o["confidence"], got["truncated"]
+
+
+def salvaged(df: DataFrame, raw: str, outer: bool = False) -> DataFrame:
+    """df with a row each object of OBJECT_ROW that the text ``raw`` holds, by lateral join; with ``outer`` also rows without any, their ord null."""
+    rows = F.udtf(Salvaged, returnType=OBJECT_ROW)
+    return df.lateralJoin(rows(F.col(raw).outer(), F.lit(outer)))
