@@ -1,10 +1,28 @@
-"""Expressions that are built once a session."""
+"""Expressions that are built once a session, and long constants as one expression."""
 
 from __future__ import annotations
 
 import functools
 
 from pyspark import SparkContext
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def quoted(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def constant_words(values) -> Column:
+    """An array of strings, as one expression: a literal for each word costs a round trip to the JVM each."""
+    values = list(values)
+    return F.expr(f"array({', '.join(map(quoted, values))})") if values else F.array().cast("array<string>")
+
+
+def constant_map(pairs: dict[str, str]) -> Column:
+    """A map of strings."""
+    return F.expr(f"map({', '.join(f'{quoted(k)}, {quoted(v)}' for k, v in pairs.items())})")
 
 
 def once(build):

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .once import constant_map, constant_words, quoted
 from .text import COLOR_ALIASES, COLORS, named_in_script, padded, simplified
 from .words import COLORS_CJK, GREETINGS_ZH, JOINERS, LANGUAGES, MATERIALS, MISSPELLED, NAMES, OBJECTS, OBJECTS_CJK, RELATIONS_EN, SENTENCES, SIZES
 
@@ -58,7 +59,7 @@ GREETINGS = ["헤이", "해이", "혜이", "헤에이", "헤이요", "하이", "
 CJK = r"[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7A3}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
 
 def _words(values) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    return constant_words(values)
 
 
 def _longest(values) -> list[str]:
@@ -66,7 +67,7 @@ def _longest(values) -> list[str]:
 
 
 def _table(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return constant_map(pairs)
 
 
 def _any(text: Column, parts: list[str]) -> Column:
@@ -112,7 +113,7 @@ def split_at(text: Column, phrase: Column) -> Column:
 def spoken_names(text: Column, lookup: dict[str, str], plural: bool = True) -> Column:
     """struct(found, rest): what the known words in the text stand for, longest word first; each is taken out before shorter ones are looked for."""
     endings = ["", "s"] if plural else [""]
-    terms = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(lookup[w]).alias("v")) for w in _longest(lookup)])
+    terms = F.expr(f"array({', '.join(f'struct({quoted(w)} AS w, {quoted(lookup[w])} AS v)' for w in _longest(lookup))})")
     start = F.struct(padded(text).alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def step(state: Column, term: Column) -> Column:
@@ -181,7 +182,8 @@ def with_colors(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def without_negated(text: Column, types: Column, synonyms: dict[str, list[str]]) -> Column:
     """Of two types or more, those not denied close by, in the order of the text; all where every one is denied."""
-    words = F.create_map(*[x for t, ws in synonyms.items() for x in (F.lit(t), _words([*ws, t]))])
+    arrays = (f"{quoted(t)}, array({', '.join(map(quoted, [*ws, t]))})" for t, ws in synonyms.items())
+    words = F.expr(f"map({', '.join(arrays)})")
     first = lambda t: F.array_min(F.filter(F.transform(F.element_at(words, t), lambda w: F.position(w, text)), lambda at: at > 0))
     placed = F.transform(types, lambda t: F.struct(first(t).alias("at"), t.alias("t")))
 
@@ -294,20 +296,31 @@ def spoken_form(text: Column, limit: int = 200) -> Column:
     return F.when(F.length(first) <= limit, first).otherwise(out)
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def wake_word(text: Column, names: list[str]) -> Column:
     """struct(heard, rest): whether a name is called, in any spacing, or a greeting opens the text; and what follows it."""
     clean = lambda c: F.regexp_replace(c, r"^[ ,.!?~\-·、，。！？]+|\s+$", "")
-    raw = simplified(F.coalesce(text, F.lit("")))
-    own = squashed(raw)
-    name = F.get(F.filter(_words(_longest(["".join(c for c in n.lower() if c.isalnum()) for n in names])), lambda n: F.contains(own, n)), F.lit(0))
-    spaced = F.array_join(F.filter(F.split(name, ""), lambda c: c != ""), r"[^\p{L}\p{N}]*")
-    after = F.regexp_replace(raw, F.concat(F.lit("(?isu)^.*?"), spaced), F.lit(""))
-    bare = F.regexp_replace(raw, "^[\\s\"'“”‘’(（]+", "")
-    opening = F.regexp_extract(bare, r"^\S*", 0)
-    greeted = F.btrim(F.lower(opening), F.lit(",.!?~-·，。！？")).isin(GREETINGS)
-    short = F.substring(bare, 1, 1).isin(*GREETINGS_ZH)
-    rest = F.when(name.isNotNull(), clean(after)).when(short, clean(F.substr(bare, F.lit(2)))).when(greeted, clean(F.substr(bare, F.length(opening) + 1))).otherwise("")
-    return F.struct((name.isNotNull() | short | greeted).alias("heard"), rest.alias("rest"))
+    known = _words(_longest(dict.fromkeys("".join(c for c in n.lower() if c.isalnum()) for n in names)))
+    called = lambda own: F.get(F.filter(known, lambda n: F.contains(own, n)), F.lit(0))
+
+    def named(raw: Column, name: Column) -> Column:
+        spaced = F.array_join(F.filter(F.split(name, ""), lambda c: c != ""), r"[^\p{L}\p{N}]*")
+        return F.struct(F.lit(True).alias("heard"), clean(F.regexp_replace(raw, F.concat(F.lit("(?isu)^.*?"), spaced), F.lit(""))).alias("rest"))
+
+    def greeted(bare: Column) -> Column:
+        opening = F.regexp_extract(bare, r"^\S*", 0)
+        long, short = F.btrim(F.lower(opening), F.lit(",.!?~-·，。！？")).isin(GREETINGS), F.substring(bare, 1, 1).isin(*GREETINGS_ZH)
+        rest = F.when(short, clean(F.substr(bare, F.lit(2)))).when(long, clean(F.substr(bare, F.length(opening) + 1))).otherwise("")
+        return F.struct((short | long).alias("heard"), rest.alias("rest"))
+
+    def heard(raw: Column) -> Column:
+        return _let(_let(squashed(raw), called), lambda name: F.when(name.isNotNull(), named(raw, name)).otherwise(_let(F.regexp_replace(raw, "^[\\s\"'“”‘’(（]+", ""), greeted)))
+
+    return _let(simplified(F.coalesce(text, F.lit(""))), heard)
 
 
 def with_request(df: DataFrame, rest: str, out: str, synonyms: dict[str, list[str]] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import constant_map, constant_words, quoted
 from .words import OBJECTS, TRADITIONAL
 
 # fixed values: the controlled vocabulary
@@ -35,8 +36,7 @@ def language(text: Column) -> Column:
 def mapped(value: Column, table: dict[str, str]) -> Column:
     """The table's value, else the trimmed, lower-case value itself."""
     clean = F.lower(F.trim(value))
-    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.coalesce(F.element_at(pairs, clean), clean)
+    return F.coalesce(F.element_at(constant_map(table), clean), clean)
 
 
 def terms_in(text: Column, terms: list[str]) -> Column:
@@ -49,7 +49,7 @@ def terms_in(text: Column, terms: list[str]) -> Column:
         hit = F.contains(state["rest"], word)
         return F.struct(F.when(hit, F.replace(state["rest"], word, F.lit("  "))).otherwise(state["rest"]).alias("rest"), F.when(hit, F.array_append(state["found"], term)).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(F.array(*map(F.lit, order)), start, step, lambda s: s["found"])
+    return F.aggregate(constant_words(order), start, step, lambda s: s["found"])
 
 
 def simplified(text: Column) -> Column:
@@ -61,12 +61,11 @@ def named_in_script(text: Column, lookup: dict[str, str]) -> Column:
     """What the words of a script without blanks stand for, left to right, the longest at each place."""
     longest = "|".join(map(re.escape, sorted(lookup, key=len, reverse=True)))
     found = F.regexp_extract_all(text, F.lit(f"({longest})"), F.lit(1))
-    values = F.create_map(*[F.lit(x) for kv in lookup.items() for x in kv])
-    return F.array_distinct(F.transform(found, lambda w: F.element_at(values, w)))
+    return F.array_distinct(F.transform(found, lambda w: F.element_at(constant_map(lookup), w)))
 
 
 def contained(value: Column, lookup: dict[str, str]) -> Column:
     """The lookup's value for the trimmed, lower-case text itself, else for its longest word that the text contains, else the text."""
     clean = F.lower(F.trim(value))
-    inside = F.get(F.filter(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(v).alias("v")) for w, v in sorted(lookup.items(), key=lambda kv: -len(kv[0]))]), lambda t: F.contains(clean, t["w"])), F.lit(0))["v"]
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in lookup.items() for x in kv]), clean), inside, clean)
+    inside = F.get(F.filter(F.expr(f"array({', '.join(f'struct({quoted(w)} AS w, {quoted(v)} AS v)' for w, v in sorted(lookup.items(), key=lambda kv: -len(kv[0])))})"), lambda t: F.contains(clean, t["w"])), F.lit(0))["v"]
+    return F.coalesce(F.element_at(constant_map(lookup), clean), inside, clean)

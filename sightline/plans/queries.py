@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import jsonx, requests, text
-from ..operators import cleanup, evaluate, relations, retrieve, search
+from ..operators import cleanup, dictionary, evaluate, relations, retrieve, search
 from ..sources import scenes
 from ..sources.scratch import cut
-from ..streaming import dialogue, sessions
+from ..streaming import dialogue, sessions, voice
 
 GROUPS = [("bolt", "rod"), ("ring", "gear", "gizmo")]
 TYPES = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
@@ -209,19 +209,29 @@ def texture_candidates(spark, sf):
     return cleanup.textures(objs(spark, sf), ["place", "type"], spread=0.5, hull=9.0).select("place", "type", "n")
 
 
-@query()
+ITEM = "STRUCT(ord BIGINT, type VARCHAR, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, conf DOUBLE)"
+PACKED = "struct_pack(ord := ord, type := type, x1 := x1, y1 := y1, x2 := x2, y2 := y2, conf := conf)"
+
+
+def iou_sql(a, b):
+    both = f"(greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1)))"
+    area = lambda x: f"(({x}.x2 - {x}.x1) * ({x}.y2 - {x}.y1))"
+    return f"({both} / ({area(a)} + {area(b)} - {both}))"
+
+
+@query(f"WITH {OBJS}, g AS (SELECT place, type, count(*) AS n, list((y1 + y2) / 2 ORDER BY (y1 + y2) / 2) AS ys, greatest(1, 0.6::DOUBLE * list(y2 - y1 ORDER BY y2 - y1)[count(*) // 2 + 1]) AS room FROM objs GROUP BY place, type HAVING count(*) >= 6) SELECT place, type, n, CAST(len(list_reduce(ys, lambda k, y: CASE WHEN len(k) > 0 AND y - k[-1] <= room THEN k ELSE list_append(k, y) END, CAST([] AS DOUBLE[]))) AS INT) AS bands FROM g")
 def grid_bands(spark, sf):
     o, keys = objs(spark, sf), ["place", "type"]
     return cleanup.gathered(cleanup.textures(o, keys, spread=9.0, hull=9.0), o, keys).select(*keys, "n", cleanup.bands(F.col("ys"), F.col("hs")).alias("bands"))
 
 
-@query()
+@query(f"WITH {OBJS}, held AS (SELECT scene, list({PACKED} ORDER BY (x2 - x1) * (y2 - y1) DESC, ord) AS items FROM objs GROUP BY scene), kept AS (SELECT scene, unnest(list_reduce(items, lambda k, x: CASE WHEN len(list_filter(k, lambda y: y.type = x.type AND {iou_sql('y', 'x')} >= 0.05)) > 0 THEN k ELSE list_append(k, x) END, CAST([] AS {ITEM}[]))) AS o FROM held) SELECT scene, o.ord AS ord, o.type AS type FROM kept")
 def nms_dedup(spark, sf):
     o = objs(spark, sf).withColumn("rel_size", g.area(F.col("box")) / 800000.0)
     return cleanup.merge_passes(o, 0.05).select("scene", "ord", "type")
 
 
-@query()
+@query(f"WITH {OBJS}, held AS (SELECT scene, list({PACKED} ORDER BY ord) AS items FROM objs GROUP BY scene), kept AS (SELECT scene, unnest(list_reduce(items, lambda k, x: CASE WHEN len(list_filter(k, lambda y: {iou_sql('y', 'x')} >= 0.05)) = 0 THEN list_append(k, x) ELSE list_transform(k, lambda y, i: CASE WHEN i = list_position(list_transform(k, lambda z: {iou_sql('z', 'x')} >= 0.05), true) AND x.conf > y.conf THEN struct_pack(ord := y.ord, type := x.type, x1 := x.x1, y1 := x.y1, x2 := x.x2, y2 := x.y2, conf := x.conf) ELSE y END) END, CAST([] AS {ITEM}[]))) AS o FROM held) SELECT scene, o.ord AS ord, o.type AS type, round(o.conf, 6) AS conf FROM kept")
 def greedy_dedup(spark, sf):
     return cleanup.deduplicate(objs(spark, sf).select("scene", "ord", "type", "box", "conf"), 0.05).select("scene", "ord", "type", F.round("conf", 6).alias("conf"))
 
@@ -523,3 +533,78 @@ def case_replay(spark, sf):
     rows = related(collections(spark, sf))
     played = evaluate.play(described_cases(rows), rows, {f"room{i}": [] for i in range(3)}, {t: [t] for t in TYPES}, GROUPS, None)
     return played.select("id", "ok", "missing", "asked", "kind", "found", "false_answer", "parse_ok", "confidence_ok", "transparent_ok", "comparison_ok")
+
+
+LOUD = "level > greatest(0.004::DOUBLE, coalesce(room2, 0) * 4)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, value / 2000 AS level, event_type = 'signup' AS talking FROM events),
+r AS (SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS seq, CAST(NULL AS DOUBLE) AS room, 0::DOUBLE AS seconds, 0::DOUBLE AS quiet, 0::DOUBLE AS peak, false AS heard, CAST(NULL AS BIGINT) AS f, CAST(0 AS BIGINT) AS k, false AS good, CAST(NULL AS BIGINT) AS of, CAST(0 AS BIGINT) AS ok, 0::DOUBLE AS spoken, 0::DOUBLE AS top FROM e
+UNION ALL SELECT user_id, seq2, room2, CASE WHEN ended THEN 0 ELSE seconds2 END, CASE WHEN ended THEN 0 ELSE quiet2 END, CASE WHEN ended THEN 0 ELSE peak2 END, heard2 AND NOT ended, CASE WHEN ended THEN NULL ELSE f2 END, CASE WHEN ended THEN 0 ELSE k2 END,
+  ended AND seconds2 - quiet2 >= 0.4::DOUBLE AND peak2 >= greatest(0.004::DOUBLE, room2 * 5), f2, k2, seconds2 - quiet2, peak2
+FROM (SELECT *, heard2 AND (quiet2 >= 1.2::DOUBLE OR seconds2 >= 15) AS ended FROM (SELECT *, NOT talking AND (heard OR {LOUD}) AS heard2, CASE WHEN talking THEN 0 WHEN {LOUD} THEN 0 WHEN heard THEN quiet + 0.4::DOUBLE ELSE quiet END AS quiet2, CASE WHEN talking THEN NULL WHEN heard THEN f WHEN {LOUD} THEN seq2 END AS f2, CASE WHEN talking THEN 0 WHEN heard OR {LOUD} THEN k + 1 ELSE k END AS k2
+  FROM (SELECT r.*, e.seq AS seq2, e.level, e.talking, CASE WHEN e.talking THEN room WHEN room IS NULL THEN least(e.level, 0.004::DOUBLE) WHEN e.level < room THEN 0.7::DOUBLE * room + 0.3::DOUBLE * e.level ELSE 0.97::DOUBLE * room + 0.03::DOUBLE * e.level END AS room2, CASE WHEN e.talking THEN 0 ELSE seconds + 0.4::DOUBLE END AS seconds2, CASE WHEN e.talking THEN 0 ELSE greatest(peak, e.level) END AS peak2 FROM r JOIN e ON e.user_id = r.user_id AND e.seq = r.seq + 1))))
+SELECT CAST(user_id AS VARCHAR) AS device, of AS first, seq AS last, ok AS n, round(spoken, 6) AS spoken, round(top, 9) AS peak, round(room, 9) AS room FROM r WHERE good""")
+def phrase_fold(spark, sf):
+    """Every user's events as chunks of sound, their values as levels; a sign-up is the machine's own voice."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    chunks = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("device"), place.alias("seq"), F.lit(0.4).alias("seconds"), (F.col("value") / 2000).alias("level"), (F.col("event_type") == "signup").alias("talking"))
+    return voice.phrases_of(chunks).select("device", "first", "last", "n", F.round("spoken", 6).alias("spoken"), F.round("peak", 9).alias("peak"), F.round("room", 9).alias("room"))
+
+
+SPELLED = "CASE (conv_id + turn) % 5 WHEN 0 THEN '헤이 로파, ' WHEN 1 THEN 'Hey, Lopa! ' WHEN 2 THEN '嘿洛趴' ELSE '' END || coalesce(text, '')"
+GREETED = ", ".join(f"'{w}'" for w in requests.GREETINGS)
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, turn * 20 + (conv_id + turn * 7) % 30 * 4 AS sec, {SPELLED} AS said FROM conversations), h AS (SELECT *, (conv_id + turn) % 5 < 3 OR regexp_matches(regexp_replace(lower(said), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 'lopa|lofa|ropa|heyrofa|heylowpa|heyloppa|heyloafa')
+  OR trim(lower(regexp_extract(regexp_replace(said, '^[\\s"''(]+', ''), '^\\S*')), ',.!?~-') IN ({GREETED}) AS heard FROM t),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY sec, turn) AS run FROM (SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY conv_id ORDER BY sec, turn) < 45 THEN 0 ELSE 1 END AS fresh FROM h))
+SELECT conv_id, turn, heard, heard OR coalesce(max(heard::INT) OVER (PARTITION BY conv_id, run ORDER BY sec, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS acted FROM s""")
+def wake_calls(spark, sf):
+    """Every turn as something said: three of five call a name in one of its spellings; who is heard, and what is acted upon."""
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("device"), F.col("turn").alias("seq"), F.expr("CAST(turn * 20 + (conv_id + turn * 7) % 30 * 4 AS DOUBLE)").alias("at"), F.expr(SPELLED).alias("text"))
+    told = voice.gate_of(voice.called(t, "text", synonyms={"bag": ["bag"]}))
+    return told.select(F.col("device").alias("conv_id"), F.col("seq").alias("turn"), "heard", (F.col("verdict") != "ignore").alias("acted"))
+
+
+PIECE = """'{"type": "' || type || '", "color": "' || color || '", "bbox": [' || ord || ', 5, ' || (ord + scene % 90) || ', 9], "confidence": 0.5}'"""
+HEAD = """'{"n_objects": ' || n || ', "objects": ['"""
+
+
+@query(f"""WITH {OBJS}, p AS (SELECT *, {PIECE} AS piece, count(*) OVER (PARTITION BY scene) AS n FROM objs), l AS (SELECT *, length({HEAD}) + sum(length(piece) + 2) OVER (PARTITION BY scene ORDER BY ord) - 2 AS ends, length({HEAD}) + sum(length(piece) + 2) OVER (PARTITION BY scene) - 2 + length('], "caption": "a hall"}}') AS whole FROM p), c AS (SELECT *, (scene * 7919) % (whole + 1) AS cut FROM l)
+SELECT scene, CAST(ord AS INT) AS ord, type, color, CAST(ord + scene % 90 AS DOUBLE) AS x2, cut < whole AS truncated FROM c WHERE ends <= cut""")
+def salvaged_objects(spark, sf):
+    """Every order's lines as a model's answer, torn somewhere; a row each object that is whole."""
+    rows = objs(spark, sf).withColumn("piece", F.expr(PIECE))
+    held = rows.groupBy("scene").agg(F.array_sort(F.collect_list(F.struct("ord", "piece"))).alias("ps"), F.count("*").alias("n"))  # one order's lines
+    text = F.concat(F.expr(HEAD), F.array_join(F.transform("ps", lambda p: p["piece"]), ", "), F.lit('], "caption": "a hall"}'))
+    torn = held.withColumn("t", text).select("scene", F.expr("left(t, CAST((scene * 7919) % (length(t) + 1) AS INT))").alias("raw"))
+    return jsonx.salvaged(torn, "raw").select("scene", "ord", "type", "color", F.col("bbox")[2].alias("x2"), "truncated")
+
+
+@query(f"""WITH {OBJS}, l AS (SELECT *, conf < 0.70 OR (x2 - x1) * (y2 - y1) / 800000 < 0.018 AS looked FROM objs), v AS (SELECT *, looked AND color = 'red' AND size <> 'small' AS gone FROM l), k AS (SELECT *, count(*) FILTER (NOT gone) OVER (PARTITION BY scene) AS stay FROM v)
+SELECT scene, ord, looked, row_number() OVER (PARTITION BY scene ORDER BY CASE WHEN stay = 0 THEN false ELSE looked END, ord) AS n, CAST(greatest(0, floor(x1 - 0.35::DOUBLE * (x2 - x1))) AS INT) AS left_, CAST(least(800, floor(y2 + 0.35::DOUBLE * (y2 - y1))) AS INT) AS bottom FROM k WHERE NOT gone OR stay = 0""")
+def second_looks(spark, sf):
+    """Each picture's doubtful things get a second look that surely rejects what is red and not small."""
+    o = objs(spark, sf)
+    looked = search.needs_look(F.col("conf"), F.col("box"), F.lit(1000), F.lit(800))
+    told = o.withColumn("looked", looked).withColumn("match", F.col("color") != "red").withColumn("confidence", F.when(F.col("size") == "small", 0.5).otherwise(0.9)).withColumn("n", F.col("ord"))
+    cut_ = search.crop(F.col("box"), F.lit(1000), F.lit(800))
+    return search.kept_by_verdict(told, ["scene"]).select("scene", "ord", "looked", "n", cut_["x1"].alias("left_"), cut_["y2"].alias("bottom"))
+
+
+@query(f"WITH {OBJS} SELECT scene, array_to_string(list_transform(list_sort(list_distinct(list(lpad(CAST(90 - length(type) AS VARCHAR), 2, '0') || type))), lambda x: x[3:]), ' ') AS told FROM objs GROUP BY scene")
+def dictionary_terms(spark, sf):
+    """Every order's lines as a sentence; the dictionary is all types that any part has."""
+    texts = objs(spark, sf).groupBy("scene").agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("ord", "type"))), lambda x: F.concat(x["type"], F.lit("s")))).alias("text"))
+    known = table(spark, sf, "part").select(F.split("p_name", " ")[1].alias("term")).distinct()
+    terms = known.select("term", F.col("term").alias("value"), F.col("term").alias("rank"))
+    return dictionary.found(texts, terms, ["scene"]).select("scene", F.array_join("values", " ").alias("told"))
+
+
+@query("WITH p AS (SELECT DISTINCT p_partkey % 50 AS k, replace(p_name, ' ', '') AS w FROM part), m AS (SELECT left(w, k % length(w)) || substr(w, k % length(w) + 2) AS word, w AS term FROM p WHERE length(w) >= 6) SELECT DISTINCT word, CASE WHEN word IN (SELECT w FROM p) THEN word ELSE term END AS term FROM m")
+def fuzzy_words(spark, sf):
+    """Every part's name with a letter lost, looked for among all names."""
+    p = table(spark, sf, "part").select((F.col("p_partkey") % 50).alias("k"), F.replace("p_name", F.lit(" "), F.lit("")).alias("w"))
+    lost = p.where(F.length("w") >= 6).select(F.expr("concat(left(w, CAST(k % length(w) AS INT)), substr(w, CAST(k % length(w) AS INT) + 2))").alias("word"))
+    return dictionary.nearly(lost, p.select(F.col("w").alias("term"))).select("word", "term")
