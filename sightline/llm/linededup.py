@@ -3,8 +3,9 @@
 Keys of lines (ends stripped of white space, A-Z lower-cased; ``least`` code points or
 more) become 128-bit hashes. Each goes to the partition of its range of hashes, sorted
 there by document and position, and one pass over a partition names each key's first
-document; its lines elsewhere are dropped. A key with more than ``hot`` lines leaves
-that path: its first document is a pre-aggregated minimum, so no task holds its lines.
+document; its lines elsewhere are dropped. A key with more than ``hot`` lines, and at
+least a FITS-th of all, leaves that path (cells of hashes, whose number grows with the
+lines, are counted first, then keys in crowded cells): its first document is a pre-aggregated minimum, so no task holds its lines.
 Drops are gathered, a document at a time, as 64-bit words of a keep bitmap (bit i of
 word w: line 64 w + i stays), of which only words with a cleared bit are kept.
 
@@ -47,21 +48,17 @@ def keep_bitmaps(docs: DataFrame, least: int = 10, rows_each: int = 250_000, hot
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("tx"), F.posexplode(text_lines(F.col("text"))).alias("pos", "line"))
     keyed = rows.withColumn("k", line_key(F.col("line"))).where(F.length("k") >= least)
     lines = materialize(keyed.select(F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), "d", "tx", "pos"), "lines")
-    counts = lines.groupBy(F.pmod("h1", F.lit(COARSE)).alias("c")).agg(F.count("*").alias("n"))
-    total, suspects = 0, []
-    for c, n in counts.collect():  # COARSE rows at most
-        total += n
-        if n > hot:
-            suspects.append(c)
+    total = lines.count()
+    hot = max(hot, total // FITS)  # so fewer than FITS cells or keys have more lines
+    cell = F.pmod("h1", F.lit(1 << max(COARSE, 8 * total // hot).bit_length())).alias("c")  # an eighth of hot in a cell, if lines are spread evenly
+    suspects = materialize(lines.groupBy(cell).agg(F.count("*").alias("n")).where(F.col("n") > hot).select("c"), "hot-cells")
     dropped, cold = [], lines
-    if suspects:
-        few = lines.where(F.pmod("h1", F.lit(COARSE)).isin(suspects))
+    if not suspects.isEmpty():
+        few = lines.select("h1", "h2", "d", cell).join(F.broadcast(suspects), "c", "left_semi")
         heavy = materialize(few.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("d").alias("first")).where(F.col("n") > hot).drop("n"), "hot-lines")
-        n = heavy.count()  # below total / hot
-        heavy = F.broadcast(heavy) if n <= FITS else heavy
-        if n:
-            cold = lines.join(heavy.select("h1", "h2"), ["h1", "h2"], "left_anti")
-            dropped.append(lines.join(heavy, ["h1", "h2"]).where("d <> first").select("d", "tx", "pos"))
+        if not heavy.isEmpty():
+            cold = lines.join(F.broadcast(heavy.select("h1", "h2")), ["h1", "h2"], "left_anti")
+            dropped.append(lines.join(F.broadcast(heavy), ["h1", "h2"]).where("d <> first").select("d", "tx", "pos"))
     parts = max(1, min(MOST_PARTS, -(-total // rows_each)))
     part = F.least(F.lit(parts - 1), F.floor((F.col("h1").cast("double") / float(1 << 64) + 0.5) * parts)).cast("int")
     ranged = cold.withColumn("part", part).repartitionById(parts, "part")

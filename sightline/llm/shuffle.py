@@ -10,15 +10,20 @@ Nulls hash like any value; a null text has no bytes. Equal rows may land anywher
 each row has a slot of its own. A bucket that is far over its size - only many equal
 (identifier, text) rows can make one - is dealt over more buckets by position in the
 input. Beyond FAN buckets the rows are dealt in two turns: into FAN groups of buckets,
-each written, then group by group into buckets, so no shuffle has more than FAN reducers.
+each written, then each group into its buckets, AT_ONCE groups side by side, so no shuffle
+has more than FAN reducers.
 An empty table gives no rows; a very long text is one row; all columns are carried in a
 struct, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import functools
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +33,7 @@ from .common import give_back, materialize, running_sums, scratch
 
 #: Reducers of one shuffle at most.
 FAN = 1 << 13
+AT_ONCE = 16  # groups of buckets that are shuffled side by side
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -42,12 +48,14 @@ def external_shuffle(docs: DataFrame, seed: int = 2024, bucket_bytes: int = 16 <
     """Shuffled rows, written: ``row`` (all columns of docs), ``bucket``, ``place`` (from 0 in its bucket)."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size = docs.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in docs.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    weight = functools.reduce(lambda a, b: a + b, texts, F.lit(0).cast("long"))
+    size = docs.agg(F.sum(weight + 64)).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
     own = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(text))
-    keyed = docs.select(whole.alias("row"), own.alias("h"), F.octet_length(text).alias("b"), F.monotonically_increasing_id().alias("at"))
+    keyed = docs.select(whole.alias("row"), own.alias("h"), F.monotonically_increasing_id().alias("at"))
     home = F.pmod("h", F.lit(buckets)).cast("int")
-    heavy = [r[0] for r in docs.select(own.alias("h"), F.octet_length(text).alias("b")).groupBy("h").agg((F.sum("b") + 64 * F.count("*")).alias("b"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("b") > 2 * bucket_bytes)).collect()]
+    heavy = [r[0] for r in docs.select(own.alias("h"), weight.alias("b")).groupBy("h").agg((F.sum("b") + 64 * F.count("*")).alias("b"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("b") > 2 * bucket_bytes)).collect()]
     # a row of heavy stands for over two buckets of equal rows, so there are fewer than half as many as buckets
     if heavy:
         home = F.when(F.col("h").isin(heavy), F.pmod(F.xxhash64(F.lit(seed), "at"), F.lit(buckets)).cast("int")).otherwise(home)
@@ -76,10 +84,14 @@ def external_shuffle(docs: DataFrame, seed: int = 2024, bucket_bytes: int = 16 <
     groups = -(-buckets // each)
     dealt.withColumn("g", F.expr(f"bucket div {each}").cast("int")).repartitionById(groups, "g").write.partitionBy("g").parquet(path)
     held, done = spark.read.schema(T.StructType([*dealt.schema, T.StructField("g", T.IntegerType())])).parquet(path), scratch(spark, "shuffled")
-    for g in range(groups):  # a job a group of buckets, not a row
+
+    def group(g: int) -> str:
         part = held.where(F.col("g") == g).drop("g").withColumn("own", F.col("bucket") - g * each).repartitionById(each, "own").drop("own")
-        part.mapInArrow(shuffle, kind).write.mode("append").parquet(done)
-    return spark.read.schema(kind).parquet(done)
+        part.mapInArrow(shuffle, kind).write.parquet(f"{done}/{g}")
+        return f"{done}/{g}"
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:  # a job a group of buckets, not a row; some side by side, so none waits for another's last task
+        return spark.read.schema(kind).parquet(*pool.map(inheritable_thread_target(spark)(group), range(groups)))
 
 
 def shard(docs: DataFrame, shards: int = 24, seed: int = 2024, bucket_bytes: int = 16 << 20) -> DataFrame:
