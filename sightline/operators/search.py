@@ -110,6 +110,14 @@ def find_candidates(requests: DataFrame, objs: DataFrame, synonyms: dict[str, li
     return out.select("rid", "n", "score", retrieve.band(F.col("score")).alias("band"), "place", "scene", "ord", "type", "color", "material", "size", "views", "seen", "rels", near.alias("near"), told["predicate"].alias("predicate"), told["anchor"].alias("anchor"))
 
 
+def as_seen(cands: DataFrame, by: list[str], shown: int = 6) -> DataFrame:
+    """The first ``shown`` candidates (n, scene, x1) of a request with ``place``, their number as they stand in the picture: from left to right where all are of one, else by n."""
+    own = Window.partitionBy(*by)
+    first = cands.where(F.col("n") <= shown)
+    one = F.size(F.collect_set("scene").over(own)) == 1
+    return first.withColumn("_one", one).withColumn("place", F.row_number().over(own.orderBy(F.when(F.col("_one"), F.col("x1")), "n"))).drop("_one")
+
+
 # ---------------------------------------------------------------- a second look
 
 SURE = 0.6  # fixed value: a rejection below it isn't believed

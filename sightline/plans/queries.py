@@ -329,27 +329,28 @@ def phrase_sessions(spark, sf):
     return sessions.phrases(rows, "6 hours").select(F.col("device").alias("user_id"), "n", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"))
 
 
-@query("WITH e AS (SELECT user_id, event_id, ts, event_type = 'signup' AS woke, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e) SELECT event_id, CASE WHEN woke THEN 'woke' WHEN coalesce(max(woke::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'speak' ELSE 'ignore' END AS verdict FROM s")
+@query("WITH e AS (SELECT user_id, event_id, ts, event_type = 'signup' AS woke, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e) SELECT event_id, CASE WHEN woke THEN 'woke' WHEN coalesce(max(woke::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'speak' ELSE 'ignore' END AS verdict FROM s")
 def wake_gate(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("device"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "signup").alias("woke"))
     return sessions.wake_gate(e, 12 * 3600).select("event_id", "verdict")
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id, list(struct_pack(turn := turn, said := role = 'user', words := len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) ORDER BY turn) AS ts FROM conversations GROUP BY conv_id),
+f AS (SELECT conv_id, list_reduce(ts, lambda a, x: CASE WHEN NOT x.said THEN struct_pack(asked := a.asked, done := list_append(a.done, struct_pack(turn := x.turn, kind := 'note', asked := a.asked))) WHEN x.words >= 8 THEN struct_pack(asked := 0, done := list_append(a.done, struct_pack(turn := x.turn, kind := 'answer', asked := 0)))
+  WHEN a.asked >= 3 THEN struct_pack(asked := 0, done := list_append(a.done, struct_pack(turn := x.turn, kind := 'giveup', asked := 0))) ELSE struct_pack(asked := a.asked + 1, done := list_append(a.done, struct_pack(turn := x.turn, kind := 'question', asked := a.asked + 1))) END, struct_pack(asked := 0, done := CAST([] AS STRUCT(turn BIGINT, kind VARCHAR, asked INT)[]))) AS r FROM t)
+SELECT conv_id, unnest(r.done).turn AS turn, unnest(r.done).kind AS kind, unnest(r.done).asked AS asked FROM f""")
 def dialogue_replay(spark, sf):
-    return sessions.replay(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), count_turns, "conv_id long, turn long, kind string, asked int")
+    """A small machine over every conversation: a user's turn is answered once it has eight words, else asked about, three times at most."""
+    said = table(spark, sf, "conversations").select("conv_id", F.struct("turn", (F.col("role") == "user").alias("said"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words")).alias("t"))
+    held = said.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))  # one conversation's turns
+    empty = F.struct(F.lit(0).alias("asked"), F.array().cast("array<struct<turn:bigint,kind:string,asked:int>>").alias("done"))
 
+    def step(a, x):
+        kind = F.when(~x["said"], "note").when(x["words"] >= 8, "answer").when(a["asked"] >= 3, "giveup").otherwise("question")
+        asked = F.when(~x["said"], a["asked"]).when((x["words"] >= 8) | (a["asked"] >= 3), 0).otherwise(a["asked"] + 1)
+        return F.struct(asked.alias("asked"), F.array_append(a["done"], F.struct(x["turn"].alias("turn"), kind.alias("kind"), asked.alias("asked"))).alias("done"))
 
-def count_turns(state, r):
-    """A small machine: a user's turn is answered once it has eight words, else asked about, three times at most."""
-    asked = (state or {}).get("asked", 0)
-    if r["role"] != "user":
-        kind = "note"
-    elif len((r["text"] or "").split()) >= 8:
-        kind, asked = "answer", 0
-    else:
-        kind, asked = ("giveup", 0) if asked >= 3 else ("question", asked + 1)
-    return {"asked": asked}, {"conv_id": r["conv_id"], "turn": r["turn"], "kind": kind, "asked": asked}
+    return held.select("conv_id", F.explode(F.aggregate("ts", empty, step)["done"]).alias("d")).select("conv_id", "d.*")
 
 
 @query("SELECT o_orderkey AS scene_id, o_custkey AS location FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0")
@@ -608,3 +609,19 @@ def fuzzy_words(spark, sf):
     p = table(spark, sf, "part").select((F.col("p_partkey") % 50).alias("k"), F.replace("p_name", F.lit(" "), F.lit("")).alias("w"))
     lost = p.where(F.length("w") >= 6).select(F.expr("concat(left(w, CAST(k % length(w) AS INT)), substr(w, CAST(k % length(w) AS INT) + 2))").alias("word"))
     return dictionary.nearly(lost, p.select(F.col("w").alias("term"))).select("word", "term")
+
+
+@query(f"WITH {OBJS}, c AS (SELECT place AS rid, scene, ord, x1, row_number() OVER (PARTITION BY place ORDER BY conf DESC, scene, ord) AS n FROM objs), f AS (SELECT *, count(DISTINCT scene) OVER (PARTITION BY rid) AS k FROM c WHERE n <= 6) SELECT rid, scene, ord, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN k = 1 THEN x1 END, n) AS place FROM f")
+def as_seen(spark, sf):
+    """Every customer's surest six things, numbered as they stand in the picture where it is one."""
+    n = F.row_number().over(Window.partitionBy("rid").orderBy(F.col("conf").desc(), "scene", "ord"))
+    c = objs(spark, sf).select(F.col("place").alias("rid"), "scene", "ord", "conf", F.col("box.x1").alias("x1")).withColumn("n", n)
+    return search.as_seen(c, ["rid"]).select("rid", "scene", "ord", "place")
+
+
+@query(f"WITH {OBJS} SELECT scene, ord, type FROM objs WHERE scene IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0) AND ord = 1 + scene % 3")
+def object_lookup(spark, sf):
+    """An object of every seventh customer's pictures, by two keys."""
+    o = objs(spark, sf).withColumn("scene_id", F.col("scene").cast("string")).withColumn("id", F.col("ord").cast("string"))
+    some = table(spark, sf, "orders").where("o_custkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("scene_id"), (1 + F.col("o_orderkey") % 3).cast("string").alias("id"))
+    return scenes.object_of(scenes.looked_up(o, some), some).select("scene", "ord", "type")

@@ -18,7 +18,7 @@ from ..operators import indexing
 from .scenes import IMAGES
 from .scratch import cut
 
-LOG = "commit long, scenes long, objects long, failures long"
+LOG = "commit long, created_at string, scenes long, objects long, failures long"
 SCENES = "scene_id string, location string, path string, width int, height int, caption string"
 OBJECTS = "scene_id string, ord int, type string, color string, material string, size string, conf double, box struct<x1:double,y1:double,x2:double,y2:double>"
 RELATIONS = "scene_id string, rel_ord int, a int, predicate string, b int"
@@ -95,7 +95,15 @@ def commit(pictures: DataFrame, out: str, number: int, make, prompt: str, mode:
     for name, df in tables.items():
         df.withColumn("commit", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/commits/{number}/{name}")
     count = lambda name: F.lit(spark.read.parquet(f"{out}/commits/{number}/{name}").count()).cast("long").alias(name)
-    spark.range(1).select(F.lit(number).cast("long").alias("commit"), *[count(n) for n in ("scenes", "objects", "failures")]).coalesce(1).write.mode("overwrite").parquet(f"{out}/log/{number}")
+    spark.range(1).select(F.lit(number).cast("long").alias("commit"), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("created_at"), *[count(n) for n in ("scenes", "objects", "failures")]).coalesce(1).write.mode("overwrite").parquet(f"{out}/log/{number}")
+
+
+def coverage(spark: SparkSession, out: str) -> DataFrame:
+    """One row: photos, locations (in order), candidates (objects) and failures of the index as it stands."""
+    whole, objs, failed = (table(spark, out, n) for n in ("scenes", "objects", "failures"))
+    one = lambda df, *c: F.broadcast(df.agg(*c))
+    told = one(whole, F.count("*").alias("photos"), F.array_sort(F.collect_set("location")).alias("locations")).join(one(objs, F.count("*").alias("candidates")))  # a name a location
+    return told.join(one(failed, F.count("*").alias("failures")))
 
 
 def nested(spark: SparkSession, out: str) -> DataFrame:

@@ -50,9 +50,28 @@ def ingest(known: DataFrame, new: DataFrame) -> DataFrame:
     return known.unionByName(new.join(known.select("scene_id"), "scene_id", "left_anti"), allowMissingColumns=True)
 
 
-def unindexed(files: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Pictures (path) without a scene; image_path is the end of its path."""
-    return files.join(scenes.select("scene_id"), "scene_id", "left_anti").where(F.col("path").rlike(r"(?i)\.(jpg|jpeg|png)$"))
+def looked_up(scenes: DataFrame, keys: DataFrame) -> DataFrame:
+    """Scenes by their ids (scene_id): one join for any number of lookups; unknown ids are missing."""
+    return scenes.join(keys.select("scene_id").distinct(), "scene_id", "left_semi")
+
+
+def object_of(objs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Objects (as ``objects`` gives them) by scene and id (scene_id, id)."""
+    return objs.join(keys.select("scene_id", "id").distinct(), ["scene_id", "id"], "left_semi")
+
+
+def relative(path, root: str):
+    """A path below ``root`` as it is from there, another as it is; always with slashes, schemes left out."""
+    plain = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^[A-Za-z][A-Za-z0-9+.-]+:/+", "/")
+    base = root.rstrip("/") + "/"
+    return F.when(F.startswith(plain, F.lit(base)), F.substr(plain, F.lit(len(base) + 1))).otherwise(plain)
+
+
+def prepared(pictures: DataFrame, side: int) -> DataFrame:
+    """Adds scene_id, seen_w and seen_h (the size that a model gets, within ``side``) to pictures (location, path, width, height)."""
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    w, h = resized(F.col("width"), F.col("height"), side)
+    return pictures.withColumn("scene_id", scene_id(F.col("location"), stem)).withColumn("seen_w", w).withColumn("seen_h", h)
 
 
 def resized(width, height, side: int):

@@ -1,10 +1,7 @@
-"""Phrases by gaps, wake gates with a sliding time to live, and conversations as state."""
+"""Phrases by gaps and wake gates with a sliding time to live, by windows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,71 +12,17 @@ def phrases(chunks: DataFrame, gap: str = "1.2 seconds", late: str | None = None
     return rows.groupBy("device", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("device", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def collect(levels: list[tuple[float, float, float]], quiet: float = 1.2, least: float = 0.4, longest: float = 15.0, floor: float = 0.004) -> list[tuple[float, float]]:
-    """Phrases (start, end) in (time, duration, level) chunks above an adapting threshold: the room's level falls fast and rises slowly."""
-    room, out, start, still, peak, end = floor / 4, [], None, 0.0, 0.0, 0.0
-    for at, took, level in levels:
-        loud = level > max(floor, 4 * room)
-        if start is None and not loud:
-            room += (0.3 if level < room else 0.03) * (level - room)
-            continue
-        if start is None:
-            start, still, peak = at, 0.0, 0.0
-        peak, still, end = max(peak, level), 0.0 if loud else still + took, at + took
-        if still >= quiet or end - start >= longest:
-            if end - start - still >= least and peak >= 5 * room:
-                out.append((start, end))
-            start = None
-    return out
-
-
 def wake_gate(events: DataFrame, ttl: float = 45.0) -> DataFrame:
     """device, ts, woke -> verdict: 'woke', 'speak' while awake, else 'ignore'. Each accepted event keeps it awake for ttl seconds.
 
-    An event is awake when a wake word came before it and no gap since then exceeds ttl:
-    runs of gaps within ttl, each speaking from its first wake word on.
+    An event is awake when a wake word came before it and no gap since then reaches ttl:
+    runs of gaps below ttl, each speaking from its first wake word on.
     """
     t = F.col("ts").cast("double")
     w = Window.partitionBy("device").orderBy("ts", "event_id")
     # gaps count between accepted events, which are all events after a wake word within the run
-    fresh = F.when(F.coalesce(t - F.lag(t).over(w), F.lit(1e18)) > ttl, 1).otherwise(0)
+    fresh = F.when(F.coalesce(t - F.lag(t).over(w), F.lit(1e18)) >= ttl, 1).otherwise(0)
     runs = events.withColumn("run", F.sum(fresh).over(w))
     inside = Window.partitionBy("device", "run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     awake = F.coalesce(F.max(F.col("woke").cast("int")).over(inside), F.lit(0)) == 1
     return runs.withColumn("verdict", F.when(F.col("woke"), "woke").when(awake, "speak").otherwise("ignore")).drop("run")
-
-
-def replay(turns: DataFrame, step, out: str, by: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Run a conversation's state machine over its turns: step(state, row) -> (state, reply dict)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = None, []
-        for r in pdf.sort_values(order).to_dict("records"):
-            state, reply = step(state, r)
-            rows.append(reply)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
-
-    return turns.groupBy(by).applyInPandas(run, out)
-
-
-def stream(turns: DataFrame, step, out: str, by: str = "conv_id", ttl_ms: int = 45_000) -> DataFrame:
-    """The same over a stream, the state (a JSON string) kept per key until it's idle for ttl_ms."""
-    import json
-
-    names = [c.split()[0] for c in out.split(", ")]
-
-    def run(key, batches: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = json.loads(state.get[0]) if state.exists else None
-        rows = []
-        for pdf in batches:
-            for r in pdf.sort_values("turn").to_dict("records"):
-                now, reply = step(now, r)
-                rows.append(reply)
-        state.update((json.dumps(now),))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(rows, columns=names)
-
-    return turns.groupBy(by).applyInPandasWithState(run, out, "state string", "append", "ProcessingTimeTimeout")

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.functions import audio, jsonx
+from sightline.functions import audio, geometry, jsonx
+from sightline.operators import search
 from sightline.sources import index, scenes, sound
 
 PICTURES = "scene_id string, location string, path string, width int, height int"
@@ -110,6 +111,27 @@ def test_pictures_on_disk(spark, tmp_path):
     assert [tuple(r) for r in sizes] == [(1280, 960), (100, 50), (1280, 1)]
 
 
+def test_lookups_and_paths(spark, tmp_path):
+    rows = scenes.relative(F.col("p"), "/home/a/project")
+    got = spark.createDataFrame([("/home/a/project/data/x.jpg",), ("file:///home/a/project/data/y.jpg",), ("/elsewhere/z.jpg",), ("/home/a/project2/z.jpg",)], "p string").select(rows).collect()
+    assert [r[0] for r in got] == ["data/x.jpg", "data/y.jpg", "/elsewhere/z.jpg", "/home/a/project2/z.jpg"]
+    df = spark.createDataFrame([("hall", "/d/hall/hall_1.jpg", 4000, 3000), ("hall", "/d/hall/door.png", 100, 50)], "location string, path string, width int, height int")
+    assert [(r.scene_id, r.seen_w, r.seen_h) for r in scenes.prepared(df, 1000).collect()] == [("hall_1", 1000, 750), ("hall_door", 100, 50)]
+    keys = spark.createDataFrame([("a", "o1"), ("b", "o9"), ("a", "o1")], "scene_id string, id string")
+    objs = spark.createDataFrame([("a", "o1", 1), ("a", "o2", 2), ("b", "o1", 3)], "scene_id string, id string, v int")
+    assert [r.v for r in scenes.object_of(objs, keys).collect()] == [1] and scenes.looked_up(objs, keys).count() == 3
+    assert set(geometry.BINARY) | {"near"} == set(search.SAFE) | set(search.PICTURED) and not set(search.SAFE) & set(search.PICTURED)
+
+
+def test_coverage(spark, tmp_path):
+    assert index.coverage(spark, str(tmp_path)).first() == (0, [], 0, 0)
+    index.resume(pictures(spark, 9), str(tmp_path), make, "", "abs_resized")
+    (c,) = index.coverage(spark, str(tmp_path)).collect()
+    assert (c.photos, c.locations, c.failures) == (7, ["hall0", "hall1", "hall2"], 2) and c.candidates == index.table(spark, str(tmp_path), "objects").count()
+    (row,) = index.log(spark, str(tmp_path)).collect()
+    assert row.created_at.endswith("+00:00") and (row.scenes, row.failures) == (7, 2)
+
+
 def test_truth_and_cases(spark, tmp_path):
     (tmp_path / "truth.json").write_text(json.dumps({"locations": {"office": {"objects": [{"type": "bottle", "color": "black", "views": ["front"]}, {"type": "mug", "scope": "out"}]}}}))
     rows = scenes.truth(spark, str(tmp_path / "truth.json")).orderBy("ord").collect()
