@@ -317,7 +317,7 @@ def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query()
+@query("SELECT event_id, CAST(1 AS INT) AS n, true AS truncated, CAST(2 AS INT) AS n_objects FROM events")
 def answer_salvage(spark, sf):
     raw = F.concat(F.lit('Sure: ```json {"n_objects": 2, "objects": [{"type": "gear", "bbox": [1, 2, 3, '), F.col("event_id").cast("string"), F.lit(']}, {"type": "ro'))
     return jsonx.with_answer(table(spark, sf, "events").select("event_id", raw.alias("raw")), "raw", "a").select("event_id", F.size("a.objects").alias("n"), "a.truncated", "a.n_objects")
