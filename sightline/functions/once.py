@@ -20,9 +20,10 @@ def constant_words(values) -> Column:
     return F.expr(f"array({', '.join(map(quoted, values))})") if values else F.array().cast("array<string>")
 
 
-def constant_map(pairs: dict[str, str]) -> Column:
-    """A map of strings."""
-    return F.expr(f"map({', '.join(f'{quoted(k)}, {quoted(v)}' for k, v in pairs.items())})")
+def constant_map(pairs: dict) -> Column:
+    """A map from strings to strings or whole numbers."""
+    value = lambda v: quoted(v) if isinstance(v, str) else str(v)
+    return F.expr(f"map({', '.join(f'{quoted(k)}, {value(v)}' for k, v in pairs.items())})")
 
 
 def once(build):

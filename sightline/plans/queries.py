@@ -385,7 +385,7 @@ HEARD, MEETS = ["the tea room", "meeting-room", "7층 탕비실", "Lobby"], ["7f
 
 def chosen(values, key):
     """The value at a number's place, going round."""
-    return F.get(F.array(*map(F.lit, values)), (F.col(key) % len(values)).cast("int"))
+    return F.get(F.array(*map(F.lit, values)), ((F.col(key) if isinstance(key, str) else key) % len(values)).cast("int"))
 
 
 def chosen_sql(values, key):
@@ -418,26 +418,31 @@ def list_mode(spark, sf):
 POINTED, POINTS = ["the second one", "2", "number 3", "오른쪽 거", "the last", "nothing"], [1, 1, 2, -1, -1, None]
 
 
-@query(f"SELECT event_id, CASE WHEN i >= 0 AND i < n THEN i END AS place FROM (SELECT event_id, n, CASE WHEN p < 0 THEN n + p ELSE p END AS i FROM (SELECT event_id, event_id % 5 AS n, CAST({chosen_sql(POINTS, 'event_id')} AS BIGINT) AS p FROM events))")
+@query(f"SELECT event_id, CASE WHEN i >= 0 AND i < n THEN i END AS place FROM (SELECT event_id, n, CASE WHEN p < 0 THEN n + p ELSE p END AS i FROM (SELECT event_id, event_id % 40 AS n, CASE event_id % 3 WHEN 0 THEN CAST({chosen_sql(POINTS, 'event_id // 3')} AS BIGINT) ELSE CAST(floor(value) AS BIGINT) - 1 END AS p FROM events) WHERE p IS NULL OR p >= 0 OR event_id % 3 = 0)")
 def answer_position(spark, sf):
-    return table(spark, sf, "events").select("event_id", requests.position(chosen(POINTED, "event_id"), F.col("event_id") % 5).alias("place"))
+    """A place in a list: in words, or the number that an event's value tells."""
+    number = F.floor("value").cast("string")
+    e = table(spark, sf, "events").where("event_id % 3 = 0 OR floor(value) >= 1")
+    said = F.when(F.col("event_id") % 3 == 0, chosen(POINTED, F.expr("event_id div 3"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("number "), number)).otherwise(number)
+    return e.select("event_id", requests.position(said, F.col("event_id") % 40).alias("place"))
 
 
 PICKED, PICKS = ["2", "the third one", "None of them", "4 please", "hm"], [1, 2, -1, 3, None]
 
 
-@query(f"SELECT event_id, CASE WHEN p < n THEN p END AS pick FROM (SELECT event_id, event_id % 7 AS n, CAST({chosen_sql(PICKS, 'event_id')} AS BIGINT) AS p FROM events)")
+@query(f"SELECT event_id, CASE WHEN p < n AND (p >= 0 OR event_id % 2 = 0) THEN p END AS pick FROM (SELECT event_id, event_id % 70 AS n, CASE event_id % 2 WHEN 0 THEN CAST({chosen_sql(PICKS, 'event_id // 2')} AS BIGINT) ELSE CAST(floor(value) AS BIGINT) - 1 END AS p FROM events)")
 def shortlist_pick(spark, sf):
-    return table(spark, sf, "events").select("event_id", requests.shortlist_pick(chosen(PICKED, "event_id"), F.col("event_id") % 7).alias("pick"))
+    """A pick from a shortlist: in words, or by the number that an event's value tells."""
+    said = F.when(F.col("event_id") % 2 == 0, chosen(PICKED, F.expr("event_id div 2"))).otherwise(F.concat(F.lit("I think "), F.floor("value").cast("string"), F.lit(" please")))
+    return table(spark, sf, "events").select("event_id", requests.shortlist_pick(said, F.col("event_id") % 70).alias("pick"))
 
 
-ANSWERED, OPTIONS = ["금속이야", "플라스틱 것", "검은", "모르겠어"], ["metal", "plastic", "black", None]
-
-
-@query(f"SELECT event_id, {chosen_sql(OPTIONS, 'event_id')} AS option FROM events")
+@query(f"WITH {OBJS}, o AS (SELECT scene, list(DISTINCT color) AS options, first(color ORDER BY ord) AS own FROM objs GROUP BY scene) SELECT scene, list_sort(list_transform(list_filter(options, lambda x: contains('itisthe' || own || 'one', x)), lambda x: lpad(CAST(99 - length(x) AS VARCHAR), 2, '0') || x))[1][3:] AS option FROM o")
 def answer_option(spark, sf):
-    offered = F.array(*[F.struct(F.lit(o).alias("option"), F.lit(n).alias("name")) for o, n in (("metal", "금속"), ("plastic", "플라스틱"), ("black", "검은색"))])
-    return table(spark, sf, "events").select("event_id", requests.option_answered(chosen(ANSWERED, "event_id"), offered).alias("option"))
+    """Offered all colours of an order's lines, its owner names that of the first."""
+    held = objs(spark, sf).groupBy("scene").agg(F.array_sort(F.collect_set("color")).alias("colors"), F.min_by("color", "ord").alias("own"))  # one order's
+    offered = F.transform("colors", lambda c: F.struct(c.alias("option"), F.initcap(c).alias("name")))
+    return held.select("scene", requests.option_answered(F.concat(F.lit("It is the "), F.col("own"), F.lit(" one!")), offered).alias("option"))
 
 
 LINE = "SELECT conv_id, turn, trim(split_part(trim(text), chr(10), 1)) AS line, substring(trim(split_part(trim(text), chr(10), 1)), 1, 200) AS cut FROM conversations"
@@ -470,12 +475,13 @@ def candidate_texts(spark, sf):
     return objs(spark, sf).select("scene", "ord", requests.summary(F.col("color"), F.lower("material"), F.col("size"), F.col("type")).alias("told"))
 
 
-SPOKEN, ENDED = ["마우스", "책", "laptop", "pen", "703", "컵!"], ["가", "이", "가", "이", "이", "이"]
-
-
-@query(f"SELECT event_id, {chosen_sql(ENDED, 'event_id')} AS particle FROM events")
+@query("SELECT p_partkey, CASE WHEN (p_partkey * 37) % 28 <> 0 THEN '이' ELSE '가' END AS hangul, CASE WHEN regexp_matches(right(p_name, 1), '[0136780lmnr]') THEN '이' ELSE '가' END AS latin, CASE WHEN regexp_matches(right(CAST(p_partkey AS VARCHAR), 1), '[013678]') THEN '이' ELSE '가' END AS number FROM part")
 def particles(spark, sf):
-    return table(spark, sf, "events").select("event_id", requests.particle(chosen(SPOKEN, "event_id"), "이", "가").alias("particle"))
+    """The particle behind each part's name, its number, and a Hangul syllable of its own."""
+    code = 0xAC00 + (F.col("p_partkey") * 37) % 11172
+    syllable = F.decode(F.unhex(F.hex(code)), "UTF-16BE")
+    own = lambda word: requests.particle(word, "이", "가")
+    return table(spark, sf, "part").select("p_partkey", own(syllable).alias("hangul"), own(F.concat("p_name", F.lit("!"))).alias("latin"), own(F.col("p_partkey").cast("string")).alias("number"))
 
 
 @query("WITH t AS (SELECT user_id, count(*) AS n, list_sort(list(DISTINCT event_type)) AS kinds FROM events GROUP BY user_id) SELECT user_id, 'I found ' || n || ' possible matches. ' || CASE WHEN len(kinds) = 1 THEN 'Was it the one with ' || kinds[1] || '?' ELSE 'Which kind? (' || array_to_string(kinds, ' or ') || ')' END AS asked FROM t")
