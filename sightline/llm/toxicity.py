@@ -39,19 +39,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, keep_batches_small, materialize, mix64, small_batches
+from .common import give_back, keep_batches_small, materialize, small_batches
 from .langid import fit_ftrl
 
 GRAMS = 1 << 20
 DIMS = 1 << 20
-SHORTEST, LONGEST = 3, 12
+SHORTEST, LONGEST = 3, 8
 PIECE = 1 << 20
+SLICE = 1 << 16  # characters hashed together: arrays that stay near the processor
 BLANK = 32
+APART_TEXTS = "\n\0\n"  # between texts that are read together: no span crosses it
 #: What characters may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "£": "l"}
 #: Costs of the channel, in nats.
 LETTER, ONCE, DROP, DROP_DIGIT, END, APART = 1.0, 1.0, 1.5, 5.0, 3.0, 0.5
 _MASK = (1 << 64) - 1
+_STEP, _LAST = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _BEHIND_WORD = re.compile(r"\S{2,}\s")
 
 
@@ -91,31 +94,34 @@ def pieces(text: str) -> Iterator[str]:
 # ---------------------------------------------------------------- language model
 
 
+def step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return (h + codes) * np.uint64(_STEP)
+
+
+def cells_of(h: np.ndarray, kind: int) -> np.ndarray:
+    return (((h ^ (h >> np.uint64(29))) + np.uint64(kind)) * np.uint64(_LAST) >> np.uint64(44)).astype(np.int64)
+
+
 def _grams(codes: np.ndarray, classes: np.ndarray) -> list[np.ndarray]:
-    """Cells of the 1-, 2-, 3- and 4-grams that end at each character; blanks are one, and stand at both ends."""
+    """Cells of the grams of 1 to 4 characters; blanks are one, and stand at both ends."""
     c = np.concatenate([[BLANK], np.where(classes == 1, codes, BLANK), [BLANK]]).astype(np.uint64)
     kept = np.ones(len(c), bool)
     kept[1:] = (c[1:] != BLANK) | (c[:-1] != BLANK)
     c = c[kept]
-    out, h = [], np.zeros(len(c), np.uint64)
-    for order in range(4):
-        # the hash of the order - 1 characters before, and this one
-        h = mix64(c + np.uint64(order + 1)) if order == 0 else mix64(h[:-1] * np.uint64(0x110001) + c[order:])
-        out.append((h >> np.uint64(44)).astype(np.int64))
-    return out
-
-
-def _mix(x: int) -> int:
-    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
-    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _MASK
-    return x ^ (x >> 31)
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for at in range(0, len(c), SLICE):
+        part, h = c[at : at + SLICE + 3], np.zeros(min(SLICE, len(c) - at), np.uint64)
+        for order in range(4):
+            h = step(h[: len(part) - order], part[order : order + len(h)])
+            out[order].append(cells_of(h, order))
+    return [np.concatenate(x) for x in out]
 
 
 def cell(gram: str) -> int:
-    h = _mix(ord(gram[0]) + 1)
-    for c in gram[1:]:
-        h = _mix((h * 0x110001 + ord(c)) & _MASK)
-    return h >> 44
+    h = 0
+    for c in gram:
+        h = (h + ord(c)) * _STEP & _MASK
+    return ((h ^ (h >> 29)) + len(gram) - 1) * _LAST % (1 << 64) >> 44
 
 
 @dataclass
@@ -146,10 +152,8 @@ class Characters:
 
     def rare_twice(self, before: np.ndarray, twice: np.ndarray) -> np.ndarray:
         """Whether (before, c, c) is hardly ever seen though (before, c) is."""
-        h = mix64(before.astype(np.uint64) + np.uint64(1))
-        two = mix64(h * np.uint64(0x110001) + twice)
-        three = mix64(two * np.uint64(0x110001) + twice)
-        return self.counts[(three >> np.uint64(44)).astype(np.int64)] < 0.002 * self.counts[(two >> np.uint64(44)).astype(np.int64)]
+        two = step(step(np.zeros(len(before), np.uint64), before.astype(np.uint64)), twice)
+        return self.counts[cells_of(step(two, twice), 2)] < 0.002 * self.counts[cells_of(two, 1)]
 
 
 def characters(docs: DataFrame) -> Characters:
@@ -306,38 +310,67 @@ def restore(text: str | None, lm: Characters, memo: dict | None = None) -> str:
 # ---------------------------------------------------------------- features and model
 
 
-def word_features(codes: np.ndarray, letter: np.ndarray) -> np.ndarray:
-    """Cells of the words and of their beginnings, with repeats."""
+def word_features(codes: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the words and of their beginnings, with repeats, and where their words start."""
     edge = np.diff(np.concatenate([[0], letter.astype(np.int8), [0]]))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
-        return np.empty(0, np.int64)
-    size, h, out = end - start, np.full(len(start), 7, np.uint64), []
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    size = end - start
+    order = np.argsort(-size, kind="stable")  # the words that go on are the first ones
+    start, size = start[order], size[order]
+    h, out, at = np.full(len(start), 7, np.uint64), [], []
     for k in range(LONGEST):
-        some = np.flatnonzero(size > k)
-        h[some] = mix64(h[some] * np.uint64(0x110001) + codes[start[some] + k])
+        n = int(np.searchsorted(-size, -k))  # longer than k
+        h[:n] = step(h[:n], codes[start[:n] + k])
         if k + 1 >= SHORTEST:
-            out.append(h[some] >> np.uint64(44))
-    out.append(mix64(h ^ (size.astype(np.uint64) << np.uint64(40))) >> np.uint64(44))
-    return np.concatenate(out).astype(np.int64)
-
-
-def features(text: str | None, lm: Characters, memo: dict, kept: np.ndarray | None = None) -> np.ndarray:
-    """Distinct cells of a whole text as it is read; only those ``kept``, if given."""
+            out.append(cells_of(h[:n], k))
+            at.append(start[:n])
+    out.append(cells_of(h ^ (size.astype(np.uint64) << np.uint64(40)), 99))
+    return np.concatenate(out), np.concatenate([*at, start])
+
+
+def together(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Numbers and lower-cased pieces of texts, about PIECE characters a time."""
+    docs, held, size = [], [], 0
+    for k, text in enumerate(texts):
+        for piece in pieces((text or "").lower()):
+            docs.append(k)
+            held.append(piece)
+            size += len(piece)
+            if size >= PIECE:
+                yield docs, held
+                docs, held, size = [], [], 0
+    if held:
+        yield docs, held
+
+
+def features(texts: list[str | None], lm: Characters, memo: dict, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of texts, cells): the distinct cells of whole texts as they are read; only those ``kept``, if given."""
     found = [np.empty(0, np.int64)]
-    for piece in pieces((text or "").lower()):
-        codes, classes = codes_of(piece)
-        letter, read = classes == 1, []
-        for a, b, got in restored_spans(piece, codes, classes, lm, memo):
+    for docs, held in together(texts):
+        of = np.array(docs, np.int64)
+        joined = APART_TEXTS.join(held)
+        codes, classes = codes_of(joined)
+        starts = np.cumsum([0, *(len(x) + len(APART_TEXTS) for x in held[:-1])])
+        letter, read, whose = classes == 1, [], []
+        for a, b, got in restored_spans(joined, codes, classes, lm, memo):
             letter[a:b] = False
             read.append(got)
-        parts = [word_features(codes, letter)]
+            whose.append(a)
+        parts = [(codes, letter, starts, of)]
         if read:
             codes, classes = codes_of(" ".join(read))
-            parts.append(word_features(codes, classes == 1))
-        cells = np.concatenate(parts)
-        found.append(np.unique(cells if kept is None else cells[kept[cells]]))
-    return np.unique(np.concatenate(found))
+            owner = of[np.searchsorted(starts, whose, side="right") - 1]
+            parts.append((codes, classes == 1, np.cumsum([0, *(len(x) + 1 for x in read[:-1])]), owner))
+        for codes, letter, begins, owner in parts:
+            cells, at = word_features(codes, letter)
+            if kept is not None:
+                some = kept[cells]
+                cells, at = cells[some], at[some]
+            found.append(owner[np.searchsorted(begins, at, side="right") - 1] * DIMS + cells)
+    pairs = np.unique(np.concatenate(found))
+    return pairs // DIMS, pairs % DIMS
 
 
 @dataclass
@@ -345,12 +378,16 @@ class Model:
     lm: Characters
     weights: np.ndarray | None  # a number a cell, 0 where nothing was learned
     bias: float
+    kept: np.ndarray | None = None
 
-    def score(self, text: str | None, memo: dict) -> float:
+    def scores(self, texts: list[str | None], memo: dict) -> np.ndarray:
         if self.weights is None:
-            return 0.0
-        z = self.bias + float(self.weights[features(text, self.lm, memo, self.weights != 0)].sum())
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+            return np.zeros(len(texts))
+        if self.kept is None:
+            self.kept = self.weights != 0
+        docs, cells = features(texts, self.lm, memo, self.kept)
+        z = self.bias + np.bincount(docs, self.weights[cells].astype(np.float64), minlength=len(texts))
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def fold(doc_id: Column) -> Column:
@@ -380,12 +417,12 @@ def _train(docs: DataFrame, labels: DataFrame, per_class: int, seed: int, least_
         counts, memo = np.zeros((2, DIMS), np.int32), {}
         names = ["f", "clean", "toxic", "h", "cells"]
         for batch in batches:
-            picked = []
-            for text, toxic, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                cells = features(text, shared.value, memo)
-                counts[toxic, cells] += 1
-                if h < share[toxic]:
-                    picked.append((toxic, h, cells.astype("<i4").tobytes()))
+            toxics, hs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            docs, cells = features(batch.column(0).to_pylist(), shared.value, memo)
+            for toxic in (0, 1):
+                counts[toxic] += np.bincount(cells[np.array(toxics)[docs] == toxic], minlength=DIMS).astype(np.int32)
+            cuts = np.searchsorted(docs, np.arange(len(toxics) + 1))
+            picked = [(toxic, h, cells[cuts[k] : cuts[k + 1]].astype("<i4").tobytes()) for k, (toxic, h) in enumerate(zip(toxics, hs, strict=True)) if h < share[toxic]]
             if picked:
                 none = pa.nulls(len(picked), pa.int32())
                 toxic, h, cells = zip(*picked, strict=True)
@@ -429,7 +466,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         give_back()
         memo: dict = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.score(t.as_py(), memo) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1).to_pylist(), memo), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 

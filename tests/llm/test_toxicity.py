@@ -62,10 +62,24 @@ def test_scalar_and_vector_cells_agree():
 
 def test_pieces_change_nothing(lm, monkeypatch):
     text = " ".join(["the 1d10t and a b c d e x", "i d i o t of", "w"] * 40)
-    whole = toxicity.features(text, lm, {}), toxicity.restore(text, lm)
+    cells = lambda: toxicity.features([None, text, "x"], lm, {})
+    whole = cells(), toxicity.restore(text, lm)
     monkeypatch.setattr(toxicity, "PIECE", 50)
     assert len(list(toxicity.pieces(text))) > 5 and "".join(toxicity.pieces(text)) == text
-    assert np.array_equal(whole[0], toxicity.features(text, lm, {})) and toxicity.restore(text, lm) == whole[1]
+    assert all(map(np.array_equal, whole[0], cells())) and toxicity.restore(text, lm) == whole[1]
+
+
+def test_texts_read_together_are_read_alone(lm):
+    texts = ["a b", "c d e the", None, "1d10t", "i d", "i o t", "", "on\0with", "the m0r0n\n", "$"]
+    docs, cells = toxicity.features(texts, lm, {})
+    for k, text in enumerate(texts):
+        assert np.array_equal(cells[docs == k], toxicity.features([text], lm, {})[1])
+
+
+def test_slices_change_nothing(monkeypatch):
+    whole = model_of(TEXTS[:9]).counts
+    monkeypatch.setattr(toxicity, "SLICE", 5)
+    assert np.array_equal(whole, model_of(TEXTS[:9]).counts)
 
 
 def corpus(spark):
