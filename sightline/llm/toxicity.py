@@ -405,7 +405,8 @@ def _train(docs: DataFrame, labels: DataFrame, per_class: int, seed: int, least_
     lm = characters(docs)
     told = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("long").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull()).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     told = told.where(fold(F.col("_id")) != 0)
-    learn = docs.select("doc_id", "text").join(told, F.col("doc_id") == F.col("_id")).select("text", "toxic", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)).alias("h"))
+    # dealt by id at every size; the table of labels is the side that is held
+    learn = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 0).join(told.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("text", "toxic", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)).alias("h"))
     sizes = {r[0]: r[1] for r in learn.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model(lm, None, 0.0)
