@@ -84,7 +84,8 @@ def blocks(rows: DataFrame, size: int, chunk: int, parts: int, name: str) -> Dat
 def pack_tile(tile: np.ndarray) -> tuple[str, bytes]:
     if tile.dtype == object:
         return "big", b"".join(int(x).to_bytes(BIG, "little", signed=True) for x in tile.ravel())
-    planes = np.ascontiguousarray(tile.reshape(-1, 1).view(np.uint8).T)
+    near_zero = (tile << 1) ^ (tile >> 63)  # the sign is the lowest bit, so small scores leave the high bytes empty
+    planes = np.ascontiguousarray(near_zero.reshape(-1, 1).view(np.uint8).T)
     return "int64", pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
 
 
@@ -92,7 +93,8 @@ def read_tile(kind: str, raw: bytes, shape: tuple[int, int]) -> np.ndarray:
     if kind == "big":
         return np.array([int.from_bytes(raw[k : k + BIG], "little", signed=True) for k in range(0, len(raw), BIG)], object).reshape(shape)
     planes = np.frombuffer(pa.Codec("zstd").decompress(raw, 8 * shape[0] * shape[1], asbytes=True), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").reshape(shape)
+    near_zero = np.ascontiguousarray(planes.T).view("<u8").reshape(shape)
+    return (near_zero >> np.uint64(1)).view("<i8") ^ -(near_zero & np.uint64(1)).view("<i8")
 
 
 def product(q: np.ndarray, v: np.ndarray, top: float) -> np.ndarray:

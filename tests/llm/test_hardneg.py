@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sightline.llm import hardneg, queries
@@ -57,6 +58,12 @@ def test_scores_beyond_64_bits(spark):
     assert found(hardneg.mine(spark.createDataFrame(rows, SCHEMA), chunk=1)) == brute(rows)
 
 
+def test_tiles_round_trip():
+    r = np.random.default_rng(1)
+    for tile in (r.integers(-(2**62), 2**62, (7, 9)), r.integers(-99, 99, (3, 1)), np.array([[0, -1, 1, 2**62 - 1, -(2**62)]])):
+        assert np.array_equal(hardneg.read_tile(*hardneg.pack_tile(tile.astype("<i8")), tile.shape), tile)
+
+
 def test_repeated_rows(spark):
     base = rows_of(60)
     got = found(hardneg.mine(spark.createDataFrame(base + [base[50]], SCHEMA)))
