@@ -62,6 +62,11 @@ def _words(values) -> Column:
     return constant_words(values)
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _longest(values) -> list[str]:
     return sorted(values, key=len, reverse=True)
 
@@ -98,8 +103,8 @@ def without_filler(text: Column) -> Column:
 
 def relation_phrase(text: Column) -> Column:
     """The longest relation phrase in the text as whole words, else null."""
-    own = padded(text)
-    return F.get(F.filter(_words(_longest(PHRASES)), lambda p: F.contains(own, F.concat(F.lit(" "), p, F.lit(" ")))), F.lit(0))
+    phrases = _words(f" {p} " for p in _longest(PHRASES))
+    return F.btrim(_let(padded(text), lambda own: F.get(F.filter(phrases, lambda p: F.contains(own, p)), F.lit(0))))
 
 
 def split_at(text: Column, phrase: Column) -> Column:
@@ -111,10 +116,15 @@ def split_at(text: Column, phrase: Column) -> Column:
 
 
 def spoken_names(text: Column, lookup: dict[str, str], plural: bool = True) -> Column:
-    """struct(found, rest): what the known words in the text stand for, longest word first; each is taken out before shorter ones are looked for."""
+    """struct(found, rest): what the known words in the text stand for, longest word first; each is taken out before shorter ones are looked for.
+
+    Taking words out makes no new words, so only terms whose first word begins one of the
+    text's are looked for.
+    """
     endings = ["", "s"] if plural else [""]
-    terms = F.expr(f"array({', '.join(f'struct({quoted(w)} AS w, {quoted(lookup[w])} AS v)' for w in _longest(lookup))})")
-    start = F.struct(padded(text).alias("rest"), F.array().cast("array<string>").alias("found"))
+    head = lambda w: " " + w.strip(" ").split(" ")[0]
+    terms = F.expr(f"array({', '.join(f'struct({quoted(w)} AS w, {quoted(lookup[w])} AS v, {quoted(head(w))} AS h)' for w in _longest(lookup))})")
+    start = lambda own: F.struct(own.alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def step(state: Column, term: Column) -> Column:
         forms = [F.concat(F.lit(" "), term["w"], F.lit(e + " ")) for e in endings]
@@ -125,7 +135,7 @@ def spoken_names(text: Column, lookup: dict[str, str], plural: bool = True) -> C
         found = F.when(hit, F.array_distinct(F.array_append(state["found"], term["v"]))).otherwise(state["found"])
         return F.struct(rest.alias("rest"), found.alias("found"))
 
-    return F.aggregate(terms, start, step)
+    return _let(padded(text), lambda own: F.aggregate(F.filter(terms, lambda t: F.contains(own, t["h"])), start(own), step))
 
 
 def nearly(lookup: dict[str, str]):
@@ -217,12 +227,25 @@ def place_in(text: Column, places: dict[str, list[str]]) -> Column:
     forms.sort(key=lambda p: -len(p[0]))
     if not forms:
         return F.lit(None).cast("string")
-    own = squashed(simplified(text))
-    return F.get(F.filter(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(n).alias("n")) for f, n in forms]), lambda p: F.contains(own, p["f"])), F.lit(0))["n"]
+    listed = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(n).alias("n")) for f, n in forms])
+    return _let(squashed(simplified(text)), lambda own: F.get(F.filter(listed, lambda p: F.contains(own, p["f"])), F.lit(0))["n"])
+
+
+def _once_a_text(df: DataFrame, text: str, make) -> DataFrame:
+    """df with the columns that ``make`` adds to a table of its different texts: what is said is understood once, however many say it. A stream's rows are taken one by one."""
+    if df.isStreaming:
+        return make(df.withColumn("_said", F.coalesce(text, F.lit("")))).drop("_said")
+    told = make(df.select(F.coalesce(text, F.lit("")).alias("_said")).distinct()).withColumnRenamed("_said", "_key")
+    return df.join(told, F.coalesce(df[text], F.lit("")) == F.col("_key")).drop("_key")
 
 
 def parse(df: DataFrame, text: str = "text", places: dict[str, list[str]] | None = None, synonyms: dict[str, list[str]] | None = None, cjk: dict[str, list[str]] | None = OBJECTS_CJK) -> DataFrame:
     """Adds target_type, color, predicate, anchor_type and location of the request in ``text`` (null: all null)."""
+    return _once_a_text(df, text, lambda texts: _parsed(texts, "_said", places, synonyms, cjk))
+
+
+def _parsed(df: DataFrame, text: str, places: dict[str, list[str]] | None, synonyms: dict[str, list[str]] | None, cjk: dict[str, list[str]] | None) -> DataFrame:
+    """``parse`` of every row."""
     synonyms, at = synonyms or OBJECTS, lambda c, i: F.get(F.col(c), F.lit(i))
     spellings = {t: [*synonyms.get(t, []), *(cjk or {}).get(t, [])] for t in dict.fromkeys([*synonyms, *(cjk or {})])}
     df = df.withColumn("_n", normal(F.col(text))).withColumn("_p", relation_phrase(F.col("_n"))).withColumn("_cut", split_at(F.col("_n"), F.col("_p")))
@@ -296,11 +319,6 @@ def spoken_form(text: Column, limit: int = 200) -> Column:
     return F.when(F.length(first) <= limit, first).otherwise(out)
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is worked out once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def wake_word(text: Column, names: list[str]) -> Column:
     """struct(heard, rest): whether a name is called, in any spacing, or a greeting opens the text; and what follows it."""
     clean = lambda c: F.regexp_replace(c, r"^[ ,.!?~\-·、，。！？]+|\s+$", "")
@@ -422,17 +440,22 @@ NO = ["n", "nope", "아니", "없"]
 
 def understood(df: DataFrame, text: str = "text", places: dict[str, list[str]] | None = None, synonyms: dict[str, list[str]] | None = None, cjk: dict[str, list[str]] | None = OBJECTS_CJK) -> DataFrame:
     """Adds ``said``: a struct of everything a conversation may want to know of a turn."""
+    return _once_a_text(df, text, lambda texts: _understood(texts, "_said", places, synonyms, cjk))
+
+
+def _understood(df: DataFrame, text: str, places: dict[str, list[str]] | None, synonyms: dict[str, list[str]] | None, cjk: dict[str, list[str]] | None) -> DataFrame:
+    """``understood`` of every row."""
     kept = df.columns
-    df = parse(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))), "_text", places, synonyms, cjk)
-    df = with_colors(with_types(df, "_text", "_types", synonyms or OBJECTS, cjk), "_text", "_colors")
-    low = F.lower(F.trim("_text"))
+    df = _parsed(df, text, places, synonyms, cjk)
+    df = with_colors(with_types(df, text, "_types", synonyms or OBJECTS, cjk), text, "_colors")
+    low = F.lower(F.trim(text))
     words = F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0))
     one_of = lambda options: F.get(F.filter(_words(options), lambda w: F.array_contains(words, w)), F.lit(0))
     begins = lambda options: F.exists(_words(options), lambda w: F.startswith(low, w))
-    phrase = relation_phrase(F.col("_text"))
+    phrase = relation_phrase(F.col(text))
     said = F.struct(
         low.alias("low"), "target_type", "color", "predicate", "anchor_type", "location", F.col("_types").alias("types"), F.col("_colors").alias("colors"), phrase.alias("phrase"), F.element_at(_table(PHRASES), phrase).alias("relation"),
-        one_of(SIZES).alias("size"), one_of([m for m in MATERIALS if m != "unknown"]).alias("material"), begins(OPENERS).alias("opens"), wants_all(F.col("_text")).alias("all"), low.isin(*UNKNOWING).alias("unknowing"),
+        one_of(SIZES).alias("size"), one_of([m for m in MATERIALS if m != "unknown"]).alias("material"), begins(OPENERS).alias("opens"), wants_all(F.col(text)).alias("all"), low.isin(*UNKNOWING).alias("unknowing"),
         begins(YES_SINGLE).alias("yes"), begins(YES_SURE).alias("sure"), begins(NO).alias("no"), begins(NONE_OF).alias("none"), F.regexp_extract(low, r"\d+", 0).try_cast("long").alias("number"), low.rlike(r"\d").alias("digits"),
     )
     return df.select(*kept, said.alias("said"))

@@ -59,3 +59,11 @@ def test_replies(spark):
     df = spark.createDataFrame([("마우스", "left_of"), ("펜", "on"), ("", None)], "a string, p string")
     got = [tuple(x) for x in df.select(r.particle(F.col("a"), "이", "가"), r.place_text(F.lit("office"), F.col("p"), F.lit("book"))).collect()]
     assert got == [("가", "in the office, left of the book in this photo"), ("이", "in the office, on top of the book"), ("가", "in the office")]
+
+
+def test_a_text_is_parsed_once(spark):
+    """However many rows say it, a text is understood once; a row stays a row, null texts too."""
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else f"find my {'red' if i % 2 else 'blue'} mug") for i in range(20)], "id int, text string")
+    out = r.parse(df, "text", PLACES)
+    assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((x.id, x.text, x.target_type, x.color) for x in out.collect()) == [(i, None, None, None) if i % 5 == 0 else (i, f"find my {'red' if i % 2 else 'blue'} mug", "mug", "red" if i % 2 else "blue") for i in range(20)]
