@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.functions import geometry as g
 from sightline.functions import jsonx
 from sightline.operators import cleanup, indexing
 
@@ -113,3 +114,13 @@ def test_build_keeps_what_is_not_selected(spark):
     assert (ids(stay), ids(todo)) == (["a_1", "b_1"], ["a_2"])
     stay, todo = indexing.build(known, pictures, force=True)
     assert (ids(stay), ids(todo)) == (["b_1"], ["a_1", "a_2", "c_1"])
+
+
+def test_spread_right_on_the_limit(spark):
+    """Widths whose spread is exactly half of their mean, in an order in which running means miss it by a rounding."""
+    widths = [118, 82, 62, 108, 62, 50, 22, 24]
+    rows = spark.createDataFrame([(1, float(w)) for w in widths], "k int, w double").coalesce(1)
+    rows = rows.select("k", g.box(F.lit(0), F.lit(0), F.col("w"), F.lit(10)).alias("box"))
+    assert rows.groupBy("k").agg((F.stddev_pop("box.x2") / F.avg("box.x2")).alias("cv")).first().cv > 0.5
+    got = cleanup.textures(rows, ["k"], spread=0.5, hull=9.0).collect()
+    assert [(r.k, r.n, r.cv_w, r.cv_h) for r in got] == [(1, 8, 0.5, 0.0)]
