@@ -23,8 +23,20 @@ def neighbours(objs: DataFrame, k: int = g.NEIGHBOURS) -> DataFrame:
 
 
 @once
-def _said(w, h) -> Column:
-    return F.posexplode(g.relations(F.col("a_box"), F.col("b_box"), w, h)).alias("p", "predicate")
+def _flags(w, h) -> list[Column]:
+    """A column a relation, in the order in which they are told; computed in one projection, so each measure once."""
+    a, b = F.col("a_box"), F.col("b_box")
+    holds = {p: F.coalesce(g.predicate(p, a, b), F.lit(False)) for p in g.BINARY}
+    holds["near"] = F.coalesce(g.near(a, b, w, h), F.lit(False))
+    return [c.alias(f"_{p}") for p, c in holds.items()]
+
+
+@once
+def _told() -> Column:
+    """A row a relation: its place in the order, its name, whether it holds; ``near`` only where nothing closer does."""
+    closer = F.col("_on") | F.col("_inside") | F.col("_beside")
+    holds = [*(F.col(f"_{p}") for p in g.BINARY), F.col("_near") & ~closer]
+    return F.stack(F.lit(len(holds)), *[x for i, c in enumerate(holds) for x in (F.lit(i), F.lit((*g.BINARY, "near")[i]), c)]).alias("p", "predicate", "holds")
 
 
 def edges(objs: DataFrame, frame=(1000, 800), k: int = g.NEIGHBOURS) -> DataFrame:
@@ -32,9 +44,12 @@ def edges(objs: DataFrame, frame=(1000, 800), k: int = g.NEIGHBOURS) -> DataFram
     near = neighbours(objs, k)
     if isinstance(frame[0], Column):  # each scene has its own
         sizes = objs.groupBy("scene").agg(F.max(frame[0]).alias("w"), F.max(frame[1]).alias("h"))
-        near, frame = near.join(sizes, "scene"), (F.col("w"), F.col("h"))
-    said = F.posexplode(g.relations(F.col("a_box"), F.col("b_box"), *frame)).alias("p", "predicate") if isinstance(frame[0], Column) else _said(*frame)
-    found = near.select("scene", "a", "b", "a_type", "b_type", "rank", said)
+        flags = _flags.__wrapped__(F.col("w"), F.col("h"))
+        near = near.join(sizes, "scene")
+    else:
+        flags = _flags(*frame)
+    own = ["scene", "a", "b", "a_type", "b_type", "rank"]
+    found = near.select(*own, *flags).select(*own, _told()).where("holds").drop("holds")
     return found.withColumn("rel_ord", F.row_number().over(Window.partitionBy("scene").orderBy("a", "rank", "p")))
 
 
@@ -47,5 +62,5 @@ def related(objs: DataFrame, edge: DataFrame, wanted: str, anchor: str, negated:
 def best_anchor(edge: DataFrame, order: list[str]) -> DataFrame:
     """Each subject's anchor of another type: first by the relations' order, then by emission."""
     ranked = edge.withColumn("prio", F.array_position(F.array(*map(F.lit, order)), F.col("predicate"))).where("prio > 0 and a_type <> b_type")
-    first = F.row_number().over(Window.partitionBy("scene", "a").orderBy("prio", "rel_ord"))
+    first = F.row_number().over(Window.partitionBy("scene", "a").orderBy("prio", "rank", "p"))  # of one subject, as rel_ord
     return ranked.withColumn("n", first).where("n = 1").select("scene", "a", "predicate", F.col("b_type").alias("anchor"))
