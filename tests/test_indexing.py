@@ -124,3 +124,23 @@ def test_spread_right_on_the_limit(spark):
     assert rows.groupBy("k").agg((F.stddev_pop("box.x2") / F.avg("box.x2")).alias("cv")).first().cv > 0.5
     got = cleanup.textures(rows, ["k"], spread=0.5, hull=9.0).collect()
     assert [(r.k, r.n, r.cv_w, r.cv_h) for r in got] == [(1, 8, 0.5, 0.0)]
+
+
+def test_plain_values_read_as_others(monkeypatch):
+    """Python's scanner and the tolerant reader give the same wherever a text tears; pairs of surrogates are one letter."""
+    texts = [WHOLE, 'Sure: {"a": NaN, "objects": [{"bbox": [1.5, -2, 3e1, 0]}]}', '{"objects": [{"bbox": [01], "type": "a\\\\q\\"b"}, {"bbox": [[[]]]}]}', '{"objects": [' + "[" * 70 + "]" * 70 + ', {"bbox": []}]}']
+    torn = [t[:n] for t in texts for n in range(len(t) + 1)]
+    fast = [jsonx.extract(t) for t in torn]
+    assert jsonx.extract('{"objects": [{"bbox": [], "type": "\\ud83d\\ude00"}')["objects"] == [{"bbox": [], "type": "\U0001f600"}]
+    monkeypatch.setattr(jsonx.Reader, "plain", lambda self, depth: None)
+    assert [jsonx.extract(t) for t in torn] == fast
+
+
+def test_counts_need_no_relations(spark, monkeypatch):
+    from sightline.plans import queries
+
+    def never(*_):
+        raise AssertionError("nobody names a relation")
+
+    monkeypatch.setattr(queries.relations, "edges", never)
+    assert queries.candidate_counts(spark, "/root/testdata/sf0.001").count() > 0
