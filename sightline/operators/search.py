@@ -54,17 +54,22 @@ def anchor_of(rels: Column, kind: Column, order: tuple[str, ...], wanted: Column
     return F.array_min(F.transform(fits, lambda r: F.struct(F.array_position(place, r["predicate"]).alias("prio"), r["rel_ord"].alias("rel_ord"), r["predicate"].alias("predicate"), r["anchor"].alias("anchor"))))
 
 
-def ranked_scenes(requests: DataFrame, objs: DataFrame, table: dict[str, list[str]]) -> DataFrame:
-    """rid, collection, scene, rank: a request's ``top`` best scenes that score at all (null: all of these); all scenes where none does."""
-    scenes = objs.groupBy("collection", "scene").agg(F.min("scene_ord").alias("scene_ord"), F.min("place").alias("place"), F.lower(F.coalesce(F.min("caption"), F.lit(""))).alias("caption"), F.collect_set("type").alias("types"), F.collect_set(F.concat_ws("\n", "type", "color")).alias("looks"))  # what one scene holds
+def scenes_of(objs: DataFrame) -> DataFrame:
+    """A row a scene: collection, scene, scene_ord, place, caption, types and looks (types with their colours). For many rounds over the same objects it is made once."""
+    return objs.groupBy("collection", "scene").agg(F.min("scene_ord").alias("scene_ord"), F.min("place").alias("place"), F.lower(F.coalesce(F.min("caption"), F.lit(""))).alias("caption"), F.collect_set("type").alias("types"), F.collect_set(F.concat_ws("\n", "type", "color")).alias("looks"))  # what one scene holds
+
+
+def ranked_scenes(requests: DataFrame, objs: DataFrame, table: dict[str, list[str]], scenes: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """rid, collection, scene, rank, score and ``carry`` of the request: a request's ``top`` best scenes that score at all (null: all of these); all scenes where none does."""
+    scenes = scenes_of(objs) if scenes is None else scenes
     both = requests.join(scenes, "collection")
     holds = lambda w: F.coalesce(F.exists("types", lambda t: serves(t, F.col(w), table)), F.lit(False))
     points = lambda flag, n: F.when(F.coalesce(flag, F.lit(False)), n).otherwise(0.0)
     score = points(holds("target"), 3.0) + points(holds("anchor"), 2.0) + points(scenes["place"] == F.col("location"), 2.0) + points(F.col("color").isNotNull() & F.array_contains("looks", F.concat_ws("\n", "target", "color")), 1.5)
     score = score + points(F.contains("caption", F.col("target")), 0.5) + points(F.contains("caption", F.col("anchor")), 0.5)
     own = Window.partitionBy("rid")
-    told = both.select("rid", "collection", "scene", "top", score.alias("score"), "scene_ord").withColumn("best", F.max("score").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.col("score").desc(), "scene_ord")))
-    return told.where((F.col("best") <= 0) | ((F.col("score") > 0) & (F.col("top").isNull() | (F.col("rank") <= F.col("top"))))).select("rid", "collection", "scene", "rank", "score")
+    told = both.select("rid", "collection", "scene", "top", score.alias("score"), "scene_ord", *carry).withColumn("best", F.max("score").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.col("score").desc(), "scene_ord")))
+    return told.where((F.col("best") <= 0) | ((F.col("score") > 0) & (F.col("top").isNull() | (F.col("rank") <= F.col("top"))))).select("rid", "collection", "scene", "rank", "score", *carry)
 
 
 @once
@@ -89,20 +94,28 @@ def _places() -> tuple[Column, Column]:
     return anchor_of(own, kind, SAFE)["anchor"], F.coalesce(anchor_of(own, kind, SAFE + PICTURED, F.col("anchor")), anchor_of(own, kind, SAFE + PICTURED))
 
 
-def find_candidates(requests: DataFrame, objs: DataFrame, synonyms: dict[str, list[str]] | None = None, groups=LOOK_ALIKE) -> DataFrame:
+#: What decides which views serve a request; constraints are asked of what these make.
+BASE = ("collection", "target", "color", "predicate", "anchor", "location", "top")
+
+
+def find_candidates(requests: DataFrame, objs: DataFrame, synonyms: dict[str, list[str]] | None = None, groups=LOOK_ALIKE, scenes: DataFrame | None = None) -> DataFrame:
     """Entities that serve each request (REQUEST), best first: n from 1, score, band, place, scene, ord, type, color, material, size, views, seen, rels, near (type of the neighbour to ask about), predicate and anchor (where it is told to be).
 
     Type, place and relation are asked of single views, constraints of merged entities.
+    Requests that differ in constraints alone share their views. ``scenes`` is what
+    ``scenes_of`` made of the objects, if it is at hand.
     """
     table = reach(synonyms, groups)
-    top = ranked_scenes(requests, objs, table)
-    here = top.join(requests.select("rid", "target", "predicate", "anchor", "location"), "rid").join(objs.withColumnRenamed("place", "at"), ["collection", "scene"])
+    requests = requests.withColumn("base", F.md5(F.to_json(F.struct(*BASE)).cast("binary")))
+    bases = requests.select(F.col("base").alias("rid"), *BASE).distinct()
+    top = ranked_scenes(bases, objs, table, scenes, ("target", "predicate", "anchor", "location"))
+    here = top.join(objs.withColumnRenamed("place", "at"), ["collection", "scene"])
     widened = F.element_at(_map({k: list(v) for k, v in g.WIDENED.items()}), F.col("predicate"))
     related = F.exists("rels", lambda r: F.array_contains(widened, r["predicate"]) & serves(r["anchor"], F.col("anchor"), table))
     here = here.where((F.col("location").isNull() | (F.col("at") == F.col("location"))) & (F.col("target").isNull() | serves(F.col("type"), F.col("target"), table)) & (F.col("predicate").isNull() | F.col("anchor").isNull() | F.coalesce(related, F.lit(False))))
     rows = here.select("rid", F.col("at").alias("place"), retrieve.group_of(F.col("type"), groups).alias("grp"), "rank", "scene", "ord", "type", "color", "material", "size", "conf", "box", "rels")
-    merged = retrieve.merge_views(rows, ("rid", "place", "grp"), ("rank", "ord"), ("rels",))
-    kept = merged.join(requests.select("rid", "target", "predicate", "anchor", "wanted", "attributes"), "rid").where(satisfied(table))
+    merged = retrieve.merge_views(rows, ("rid", "place", "grp"), ("rank", "ord"), ("rels",)).withColumnRenamed("rid", "base")
+    kept = merged.join(requests.select("rid", "base", "target", "predicate", "anchor", "wanted", "attributes"), "base").where(satisfied(table))
     score = retrieve.candidate_score(F.col("votes"), F.size(F.array_distinct("views")), F.col("predicate").isNotNull() & F.col("anchor").isNotNull(), F.col("attributes"), F.col("type").eqNullSafe(F.col("target")))
     order = Window.partitionBy("rid").orderBy(F.col("score").desc(), "g0", "g1", "entity")
     near, told = _places()

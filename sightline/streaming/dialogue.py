@@ -38,7 +38,7 @@ UNSURE = " The match is medium-confidence, so please check the image."
 
 REPLY = "kind string, text string, asked_key string, options array<string>, confidence string, ids array<string>, n int, place string, type string, color string, predicate string, anchor string, target string, colors array<string>"
 HEARD = f"conv string, turn int, collection string, state string, done boolean, {REPLY}, searches array<struct<{search.REQUEST.replace(' array<', ':array<').replace(' string', ':string').replace(' int', ':int')}>>"
-FOUND = ("n", "score", "band", "place", "scene", "ord", "type", "color", "material", "size", "seen", "near", "predicate", "anchor")
+FOUND = ("n", "band", "place", "scene", "ord", "type", "color", "material", "size", "colors", "near", "predicate", "anchor")
 
 
 def opened(said: dict) -> dict:
@@ -235,7 +235,7 @@ def compared(found: list[dict]) -> str:
 def called(s: dict, c: dict) -> str:
     """Colour and type, in the owner's word for the colour if any view agrees."""
     own = [w["value"] for w in wanted(s) if w["key"] == "color" and not w["negated"]]
-    color = own[0] if own and any(e["k"] == "color" and e["v"] == own[0] for e in c["seen"]) else c["color"]
+    color = own[0] if own and own[0] in colors_of(c) else c["color"]
     return " ".join(b for b in (color, c["type"]) if b)
 
 
@@ -331,7 +331,9 @@ def _hear(r: dict) -> dict:
 def _tell(r: dict) -> dict:
     if r["done"]:
         return r
-    s, found = json.loads(r["state"]), {f["which"]: f["found"] for f in r["found"] or []}
+    s, found = json.loads(r["state"]), {}
+    for f in json.loads(r["found"] or "[]"):
+        found.setdefault(f["which"], []).append(f["c"])
     for seen in r["looks"] or []:
         s["looked"][seen["id"]] = seen["gone"]
     main = "near" if s["all"] else "0"
@@ -366,15 +368,16 @@ def looks_of(heard: DataFrame, found: DataFrame, objs: DataFrame, look) -> DataF
     return cut(look(asked_of).select("conv", "id", gone.alias("gone")), "looks")
 
 
-def round_of(states: DataFrame, turns: DataFrame, objs: DataFrame, synonyms=None, groups=search.LOOK_ALIKE, look=None) -> DataFrame:
-    """One turn of every conversation (conv, turn, collection, said): its reply and new state; with ``look``, doubtful candidates are looked at again first (``looks_of``)."""
+def round_of(states: DataFrame, turns: DataFrame, objs: DataFrame, synonyms=None, groups=search.LOOK_ALIKE, look=None, scenes: DataFrame | None = None) -> DataFrame:
+    """One turn of every conversation (conv, turn, collection, said): its reply and new state; with ``look``, doubtful candidates are looked at again first (``looks_of``). ``scenes`` as for ``search.find_candidates``."""
     heard = _rows(turns.select("conv", "turn", "collection", "said").join(states.select("conv", "state"), "conv", "left"), HEARD, _hear)
     heard = cut(heard, "heard")  # Python's part runs once
-    found = search.find_candidates(heard.select(F.explode("searches").alias("q")).select("q.*"), objs, synonyms, groups)
+    found = search.find_candidates(heard.select(F.explode("searches").alias("q")).select("q.*"), objs, synonyms, groups, scenes)
     found = found if look is None else cut(found, "found")  # read twice then
-    item = F.struct(*[F.col(c).cast("string").alias(c) if c == "scene" else F.col(c) for c in FOUND])
-    sets = found.groupBy("rid").agg(F.array_sort(F.collect_list(item)).alias("found"))  # a reply's own entities
-    each = sets.select(F.substring_index("rid", "|", 1).alias("conv"), F.struct(F.substring_index("rid", "|", -1).alias("which"), F.col("found")).alias("f")).groupBy("conv").agg(F.collect_list("f").alias("found"))
+    colors = F.transform(F.filter("seen", lambda x: x["k"] == "color"), lambda x: x["v"])
+    told = found.withColumn("scene", F.col("scene").cast("string")).withColumn("colors", colors)
+    item = F.struct(F.substring_index("rid", "|", -1).alias("which"), F.struct(*FOUND).alias("c"))  # in order of n
+    each = told.groupBy(F.substring_index("rid", "|", 1).alias("conv")).agg(F.to_json(F.array_sort(F.collect_list(item)), {"ignoreNullFields": "false"}).alias("found"))  # a reply's own entities
     if look is None:
         each = each.withColumn("looks", F.lit(None).cast("array<struct<id:string,gone:boolean>>"))
     else:
@@ -384,12 +387,18 @@ def round_of(states: DataFrame, turns: DataFrame, objs: DataFrame, synonyms=None
     return _rows(heard.drop("searches", "collection").join(each, "conv", "left"), out, _tell)
 
 
+def no_states(spark) -> DataFrame:
+    """Nobody has spoken yet; planned without Python's workers."""
+    return spark.range(0).select(F.col("id").cast("string").alias("conv"), F.lit(None).cast("string").alias("state"))
+
+
 def replay(turns: DataFrame, objs: DataFrame, synonyms=None, groups=search.LOOK_ALIKE, look=None) -> DataFrame:
     """conv, turn and reply of every turn (conv, turn from 1 without gaps, collection, said)."""
     turns, objs = cut(turns.select("conv", "turn", "collection", "said"), "turns"), cut(objs, "objects")
-    states, done = turns.sparkSession.createDataFrame([], "conv string, state string"), None
+    scenes = cut(search.scenes_of(objs), "scenes")  # for all rounds
+    states, done = no_states(turns.sparkSession), None
     for k in range(1, (turns.agg(F.max("turn")).first()[0] or 0) + 1):
-        now = cut(round_of(states, turns.where(F.col("turn") == k), objs, synonyms, groups, look), f"round-{k}")
+        now = cut(round_of(states, turns.where(F.col("turn") == k), objs, synonyms, groups, look, scenes), f"round-{k}")
         states = cut(now.select("conv", "state").unionByName(states.select("conv", "state").join(now.select("conv"), "conv", "left_anti")), "states")  # no plan grows with the turns
         done = now if done is None else done.unionByName(now)
     if done is None:

@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import relations
+from sightline.operators import relations, retrieve, search
 from sightline.sources import scenes
+from sightline.streaming import dialogue
+
+from .test_dialogue import objs, understood  # noqa: F401  a fixture
 
 SF = "/root/testdata/sf0.001"
 KEPT = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
@@ -49,3 +52,24 @@ def test_relations_are_compiled(spark):
     own = relations.edges(objs.withColumn("w", F.lit(1000)).withColumn("h", F.lit(800)), (F.col("w"), F.col("h")))
     key = ["scene", "a", "rel_ord", "predicate", "b"]
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, own.select(key).collect()))
+
+
+def test_requests_that_differ_in_constraints_share_their_views(spark, objs, monkeypatch):  # noqa: F811
+    """A conversation asks again without each constraint: its views are ranked and folded once, with the same results."""
+    folded, merge = [], retrieve.merge_views
+    monkeypatch.setattr(retrieve, "merge_views", lambda rows, *a: folded.append(rows.count()) or merge(rows, *a))
+    black, near = ("color", "black", False), ("near", "laptop", False)
+    asks = {"a|0": [black, near], "a|1": [black], "a|2": [near], "a|3": [("color", "black", True)]}
+    told = lambda some: sorted(map(str, search.find_candidates(spark.createDataFrame([(k, "base", "bottle", None, None, None, None, asks[k], i % 2, 5) for i, k in enumerate(asks) if k in some], search.REQUEST), objs).collect()))
+    alone = [told([k]) for k in asks]
+    assert told(asks) == sorted(r for rows in alone for r in rows) and len({len(rows) for rows in alone}) > 1
+    assert folded == [folded[0]] * 5
+
+
+def test_rounds_share_their_scenes(spark, objs, monkeypatch):  # noqa: F811
+    """All objects are grouped into scenes once, however many turns there are."""
+    made, make = [], search.scenes_of
+    monkeypatch.setattr(search, "scenes_of", lambda rows: made.append(1) or make(rows))
+    turns = understood(spark, [("c", i, "base", t) for i, t in enumerate(["where is my bottle", "black", "the office"], 1)])
+    assert [r.kind for r in dialogue.replay(turns, objs).orderBy("turn").collect()] == ["question", "question", "answer"]
+    assert len(made) == 1
