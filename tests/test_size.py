@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import relations, retrieve, search
+from sightline.operators import evaluate, relations, retrieve, search
 from sightline.sources import scenes
 from sightline.streaming import dialogue
 
@@ -73,3 +73,14 @@ def test_rounds_share_their_scenes(spark, objs, monkeypatch):  # noqa: F811
     turns = understood(spark, [("c", i, "base", t) for i, t in enumerate(["where is my bottle", "black", "the office"], 1)])
     assert [r.kind for r in dialogue.replay(turns, objs).orderBy("turn").collect()] == ["question", "question", "answer"]
     assert len(made) == 1
+
+
+def test_cases_share_their_scenes(spark, objs, monkeypatch):  # noqa: F811
+    """A case that takes two answers groups the objects into scenes once."""
+    made, make = [], search.scenes_of
+    monkeypatch.setattr(search, "scenes_of", lambda rows: made.append(1) or make(rows))
+    kind = "id string, collection string, query string, difficulty string, expect struct<location:string,type:string,color:string>, answers array<string>, known_gap boolean"
+    case = ("c", "base", "where is my bottle", "ambiguous", ("office", "bottle", "black"), ["black", "the office"], False)
+    [r] = evaluate.play(spark.createDataFrame([case], kind), objs, {"office": [], "classroom": [], "lounge": []}).collect()
+    assert (r.asked, r.kind, r.ok, r.found) == (2, "answer", True, "office_01_o1")
+    assert len(made) == 1
