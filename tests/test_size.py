@@ -1,9 +1,12 @@
 """What keeps a task's work the same, whatever the input's size."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import evaluate, relations, retrieve, search
+from sightline.plans import queries
 from sightline.sources import scenes
 from sightline.streaming import dialogue
 
@@ -34,6 +37,20 @@ def test_tasks_grow_with_the_lines(spark, small_tasks):
     assert scenes.tasks_for(spark.range(2001), 1000) == 3 and scenes.tasks_for(spark.range(0), 1000) == 1
 
 
+def test_a_task_holds_its_share(spark, small_tasks):
+    """The lines themselves are dealt evenly, not just the partitions counted."""
+    held = [r.n for r in scenes.of_orders(spark, SF).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == spark.read.parquet(f"{SF}/lineitem.parquet").count() and max(held) < 1500
+
+
+@pytest.mark.parametrize("name", ["relation_semi", "renumbered", "described_targets", "scene_objects", "merged_counts", "pair_relations", "knn_pairs", "reference_view", "vote_majority"])
+def test_no_shuffle_of_a_query_is_dealt_wider(spark, small_tasks, name):
+    """What follows the scenes is dealt to as many tasks as they are, however few partitions the session has."""
+    tasks = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1000)
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(.*, (\d+)\),", plan(queries.QUERIES[name](spark, SF)))]
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) and dealt and min(dealt) >= tasks
+
+
 def test_order_scenes_are_the_same_however_dealt(spark, monkeypatch):
     told = lambda: sorted(tuple(r) for r in scenes.of_orders(spark, SF).select("scene", "place", "ord", "color", "type", "material", "size", "conf", "box.*").collect())
     whole = told()
