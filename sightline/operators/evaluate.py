@@ -30,11 +30,15 @@ def in_scope(truth: DataFrame) -> DataFrame:
 
 
 def with_canonical(df: DataFrame, column: str, out: str, synonyms=None, cjk=OBJECTS_CJK) -> DataFrame:
-    """Adds ``out``: the vocabulary's first name for a thing in words, else the words; ``{out}_known``: whether it has one. A name is looked up once, however many rows have it."""
+    """Adds ``out``: the vocabulary's first name for a thing in words, else the words; ``{out}_known``: whether it has one. A name is looked up once, however many rows have it.
+
+    Names are written apart, so Spark knows how few they are and sends them to the rows: shuffled by
+    name, rows would meet in as many tasks as there are names.
+    """
     names = df.select(F.col(column).alias("_name")).where("_name is not null").distinct()
     told = requests.with_types(names, "_name", "_types", synonyms or OBJECTS, cjk)
     told = told.select("_name", F.coalesce(F.get("_types", F.lit(0)), "_name").alias(out), (F.size("_types") > 0).alias("_known"))
-    return df.join(told, df[column] == F.col("_name"), "left").withColumn(f"{out}_known", F.coalesce("_known", F.lit(False))).drop("_name", "_known")
+    return df.join(cut(told, "names"), df[column] == F.col("_name"), "left").withColumn(f"{out}_known", F.coalesce("_known", F.lit(False))).drop("_name", "_known")
 
 
 def same_type(a: Column, b: Column, groups=LOOK_ALIKE) -> Column:

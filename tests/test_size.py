@@ -51,6 +51,14 @@ def test_no_shuffle_of_a_query_is_dealt_wider(spark, small_tasks, name):
     assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) and dealt and min(dealt) >= tasks
 
 
+def test_rows_meet_their_names_where_they_are(spark):
+    """Two names must not make two tasks of all rows."""
+    rows = spark.range(2_000_000).select("id", F.when(F.col("id") % 2 == 0, "cup").otherwise("laptop").alias("type"))
+    told = evaluate.with_canonical(rows, "type", "c")
+    assert "BroadcastHashJoin" in plan(told) and "SortMergeJoin" not in plan(told)
+    assert sorted(r["count"] for r in told.groupBy("type", "c").count().collect()) == [1_000_000, 1_000_000]
+
+
 def test_order_scenes_are_the_same_however_dealt(spark, monkeypatch):
     told = lambda: sorted(tuple(r) for r in scenes.of_orders(spark, SF).select("scene", "place", "ord", "color", "type", "material", "size", "conf", "box.*").collect())
     whole = told()
