@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, keep_batches_small, materialize, mix64, small_batches
+from .common import discard, give_back, keep_batches_small, materialize, mix64, small_batches
 
 DIMS = 1 << 15
 PIECE = 1 << 19
@@ -131,6 +131,16 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def packed(found: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, int]:
+    """Features in two bytes each, counts in as few bytes as the largest takes; that number of bytes."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return found.astype("<u2").tobytes(), counts.astype(kind.newbyteorder("<")).tobytes(), kind.itemsize
+
+
+def unpacked(f: bytes, n: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(f, "<u2"), np.frombuffer(n, f"<u{width}").astype(np.float32)
+
+
 def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
@@ -138,7 +148,9 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_lang: int = 1500, seed: int = 17) -> Model:
     """``docs``: doc_id, text, lang. Document frequencies come from all learnable rows, the fit from about per_lang rows a language."""
     with small_batches(docs.sparkSession):
-        return _train(docs, per_lang, seed)
+        model = _train(docs, per_lang, seed)
+    give_back()  # the sample's rows
+    return model
 
 
 def _train(docs: DataFrame, per_lang: int, seed: int) -> Model:
@@ -169,13 +181,19 @@ def _train(docs: DataFrame, per_lang: int, seed: int) -> Model:
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         for batch in batches:
-            rows = [(gram_counts(t), lang, h) for t, lang, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0][0].astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([r[0][1].astype("<f4").tobytes() for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["f", "n", "lang", "h"])
+            rows = [(*packed(*gram_counts(t)), lang, h) for t, lang, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int8(), pa.string(), pa.int64()))], names=["f", "n", "width", "lang", "h"])
 
-    sample = learn.where(spread < share).select("text", "lang", spread.alias("h")).mapInArrow(featurise, "f binary, n binary, lang string, h long").collect()  # packed: about 6 KB a row
+    # about 2 KB a row, a partition at a time: the driver never holds the sample in the JVM
+    sample = materialize(learn.where(spread < share).select("text", "lang", spread.alias("h")).mapInArrow(featurise, "f binary, n binary, width byte, lang string, h long"), "language-sample")
+    told = sorted(sample.toLocalIterator(), key=lambda r: (r.h, r.lang, bytes(r.n), bytes(r.f)))
+    discard(sample)
     model = Model(names, idf.astype(np.float64), np.zeros((DIMS, len(names))), np.zeros(len(names)))
-    unpacked = ((np.frombuffer(r.f, "<i4"), np.frombuffer(r.n, "<f4"), r) for r in sorted(sample, key=lambda r: (r.h, r.lang, bytes(r.n))))
-    rows = [(f, model.vector(f, n).astype(np.float32), names.index(r.lang), r.h) for f, n, r in unpacked]
+    rows = []
+    for r in told:
+        f, n = unpacked(r.f, r.n, r.width)
+        rows.append((f, model.vector(f, n).astype(np.float32), names.index(r.lang), r.h))
+    del told
     fit, held = [r[:3] for r in rows if r[3] % 5], [r for r in rows if r[3] % 5 == 0]
     if fit:
         model.weights, model.bias = fit_ftrl(fit, len(names))
