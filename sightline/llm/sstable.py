@@ -68,6 +68,8 @@ NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Rep
 SPLITS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 #: Bytes of text that are encoded together.
 CHUNK = 4 << 20
+#: Distinct units that the library gets in one call.
+WORDS = 1 << 12
 
 
 class WordEncoder:
@@ -84,16 +86,17 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             plain = json.load(f)
         splits = (plain["pre_tokenizer"] or {}).get("pretokenizers") or [None]
         self.cuts = plain["normalizer"] == NORMALIZER and splits[0] == SPLITS and plain["model"].get("end_of_word_suffix") == "</w>" and plain["post_processor"] is None
-        # the same model for units that are normal already
-        plain |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}}
-        self.units = Tokenizer.from_str(json.dumps(plain))
+        # the same model, held once, for units that are normal already
+        self.units = Tokenizer(self.lib.model)
+        self.units.add_tokens([t for _, t in sorted(self.lib.get_added_tokens_decoder().items())])
+        self.units.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
         self.ends = np.zeros(self.lib.get_vocab_size(), bool)
         for token, i in self.lib.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -133,7 +136,10 @@ class WordEncoder:
         """Ids of distinct units, and where each unit's begin."""
         plain = np.flatnonzero(~odd)
         parts = [np.empty(0, np.uint32)] * len(names) if odd.any() else None
-        ids = np.asarray(self.units.encode_batch_fast([" ".join([names[i] for i in plain.tolist()] if odd.any() else names)], add_special_tokens=False)[0].ids, np.uint32)
+        some = [names[i] for i in plain.tolist()] if odd.any() else names
+        # the library's account of a text takes some hundred bytes a token: WORDS at a time
+        told = (self.units.encode_batch_fast([" ".join(some[a : a + WORDS])], add_special_tokens=False)[0].ids for a in range(0, len(some), WORDS))
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.asarray(x, np.uint32) for x in told)])
         at = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
         if len(at) != len(plain) + 1 or at[-1] != len(ids):  # not a vocabulary with word ends
             parts = self._each(names)

@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql.classic.dataframe import DataFrame
 
-from sightline.llm import langid
+from sightline.llm import langid, sstable
+from sightline.llm.queries import tokenizer_path
 
 
 def test_counts_are_packed_in_few_bytes():
@@ -34,3 +35,25 @@ def test_sample_comes_to_the_driver_by_partitions(spark, docs, monkeypatch):
     model = langid.train(docs.select("doc_id", "text", "lang"))
     assert model.langs == ["en", "fr"] and not whole
     assert sent and all(b == 3 * n for n, b in sent if n < 200)
+
+
+def test_the_encoder_holds_its_model_once():
+    own = sstable.WordEncoder(tokenizer_path())
+    own.lib.model.dropout = 0.25
+    assert own.units.model.dropout == 0.25
+
+
+def test_the_library_gets_distinct_words_in_groups(monkeypatch):
+    own, seen = sstable.WordEncoder(tokenizer_path()), []
+    units = own.units
+
+    class Spy:
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(len(t.split()) for t in texts)
+            return units.encode_batch_fast(texts, **more)
+
+    own.units = Spy()
+    monkeypatch.setattr(sstable, "WORDS", 3)
+    for text in ("one two three four five six seven one two eight", "café don't one two three four 12 five", "", "one two three", "don't"):
+        assert own.encode(text).tolist() == own.lib.encode(text, add_special_tokens=False).ids
+    assert len(seen) == 7 and max(seen) == 3
