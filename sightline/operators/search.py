@@ -14,6 +14,7 @@ from ..functions import geometry as g
 from ..functions.once import once
 from ..functions.requests import OBJECTS
 from ..functions.text import LOOK_ALIKE
+from ..sources.scratch import cut
 from . import retrieve
 
 #: Relations that hold from any side, most telling first, and those of one picture.
@@ -98,29 +99,55 @@ def _places() -> tuple[Column, Column]:
 BASE = ("collection", "target", "color", "predicate", "anchor", "location", "top")
 
 
-def find_candidates(requests: DataFrame, objs: DataFrame, synonyms: dict[str, list[str]] | None = None, groups=LOOK_ALIKE, scenes: DataFrame | None = None) -> DataFrame:
-    """Entities that serve each request (REQUEST), best first: n from 1, score, band, place, scene, ord, type, color, material, size, views, seen, rels, near (type of the neighbour to ask about), predicate and anchor (where it is told to be).
+def entities(bases: DataFrame, objs: DataFrame, table: dict[str, list[str]], groups, scenes: DataFrame | None = None) -> DataFrame:
+    """What the views that serve each base (rid and BASE) make: a row an entity, with what a reply tells of it."""
+    own = ("target", "predicate", "anchor")
+    top = ranked_scenes(bases, objs, table, scenes, (*own, "location"))
+    here = top.join(objs.withColumnRenamed("place", "at"), ["collection", "scene"])
+    widened = F.element_at(_map({k: list(v) for k, v in g.WIDENED.items()}), F.col("predicate"))
+    related = F.exists("rels", lambda r: F.array_contains(widened, r["predicate"]) & serves(r["anchor"], F.col("anchor"), table))
+    here = here.where((F.col("location").isNull() | (F.col("at") == F.col("location"))) & (F.col("target").isNull() | serves(F.col("type"), F.col("target"), table)) & (F.col("predicate").isNull() | F.col("anchor").isNull() | F.coalesce(related, F.lit(False))))
+    rows = here.select("rid", *own, F.col("at").alias("place"), retrieve.group_of(F.col("type"), groups).alias("grp"), "rank", "scene", "ord", "type", "color", "material", "size", "conf", "box", "rels")
+    merged = retrieve.merge_views(rows, ("rid", *own, "place", "grp"), ("rank", "ord"), ("rels",))
+    near, told = _places()
+    colors = F.transform(F.filter("seen", lambda x: x["k"] == "color"), lambda x: x["v"])
+    related = F.col("predicate").isNotNull() & F.col("anchor").isNotNull()
+    kept = ("place", "entity", "type", "color", "material", "size", "scene", "ord", "g0", "g1", "views", "votes", "seen", "rels")
+    return merged.select(F.col("rid").alias("base"), *kept, F.size(F.array_distinct("views")).alias("n_views"), related.alias("related"), F.col("type").eqNullSafe(F.col("target")).alias("exact"), colors.alias("colors"), near.alias("near"), told["predicate"].alias("predicate"), told["anchor"].alias("anchor"))
+
+
+class Entities:
+    """The entities of all bases that were asked for so far, in the shared folder. What is learned in a conversation seldom changes its base, so most rounds fold no views again."""
+
+    def __init__(self):
+        self.bases = self.rows = None
+
+    def of(self, bases: DataFrame, make) -> DataFrame:
+        new = cut(bases if self.bases is None else bases.join(self.bases, "rid", "left_anti"), "bases")
+        if self.rows is None or not new.isEmpty():
+            rows, new = cut(make(new), "entities"), new.select("rid")
+            self.bases, self.rows = (new, rows) if self.rows is None else (self.bases.unionByName(new), self.rows.unionByName(rows))
+        return self.rows
+
+
+def find_candidates(requests: DataFrame, objs: DataFrame, synonyms: dict[str, list[str]] | None = None, groups=LOOK_ALIKE, scenes: DataFrame | None = None, known: Entities | None = None) -> DataFrame:
+    """Entities that serve each request (REQUEST), best first: n from 1, score, band, place, scene, ord, type, color, material, size, views, seen, rels, colors (of any view), near (type of the neighbour to ask about), predicate and anchor (where it is told to be).
 
     Type, place and relation are asked of single views, constraints of merged entities.
     Requests that differ in constraints alone share their views. ``scenes`` is what
-    ``scenes_of`` made of the objects, if it is at hand.
+    ``scenes_of`` made of the objects, if it is at hand; ``known`` holds the entities of
+    earlier requests against the same objects, and takes those of new ones.
     """
     table = reach(synonyms, groups)
     requests = requests.withColumn("base", F.md5(F.to_json(F.struct(*BASE)).cast("binary")))
     bases = requests.select(F.col("base").alias("rid"), *BASE).distinct()
-    top = ranked_scenes(bases, objs, table, scenes, ("target", "predicate", "anchor", "location"))
-    here = top.join(objs.withColumnRenamed("place", "at"), ["collection", "scene"])
-    widened = F.element_at(_map({k: list(v) for k, v in g.WIDENED.items()}), F.col("predicate"))
-    related = F.exists("rels", lambda r: F.array_contains(widened, r["predicate"]) & serves(r["anchor"], F.col("anchor"), table))
-    here = here.where((F.col("location").isNull() | (F.col("at") == F.col("location"))) & (F.col("target").isNull() | serves(F.col("type"), F.col("target"), table)) & (F.col("predicate").isNull() | F.col("anchor").isNull() | F.coalesce(related, F.lit(False))))
-    rows = here.select("rid", F.col("at").alias("place"), retrieve.group_of(F.col("type"), groups).alias("grp"), "rank", "scene", "ord", "type", "color", "material", "size", "conf", "box", "rels")
-    merged = retrieve.merge_views(rows, ("rid", "place", "grp"), ("rank", "ord"), ("rels",)).withColumnRenamed("rid", "base")
-    kept = merged.join(requests.select("rid", "base", "target", "predicate", "anchor", "wanted", "attributes"), "base").where(satisfied(table))
-    score = retrieve.candidate_score(F.col("votes"), F.size(F.array_distinct("views")), F.col("predicate").isNotNull() & F.col("anchor").isNotNull(), F.col("attributes"), F.col("type").eqNullSafe(F.col("target")))
+    make = lambda some: entities(some, objs, table, groups, scenes)
+    merged = make(bases) if known is None else known.of(bases, make)
+    kept = merged.join(requests.select("rid", "base", "wanted", "attributes"), "base").where(satisfied(table))
+    score = retrieve.candidate_score(F.col("votes"), F.col("n_views"), F.col("related"), F.col("attributes"), F.col("exact"))
     order = Window.partitionBy("rid").orderBy(F.col("score").desc(), "g0", "g1", "entity")
-    near, told = _places()
     out = kept.withColumn("score", score).withColumn("n", F.row_number().over(order))
-    return out.select("rid", "n", "score", retrieve.band(F.col("score")).alias("band"), "place", "scene", "ord", "type", "color", "material", "size", "views", "seen", "rels", near.alias("near"), told["predicate"].alias("predicate"), told["anchor"].alias("anchor"))
+    return out.select("rid", "n", "score", retrieve.band(F.col("score")).alias("band"), "place", "scene", "ord", "type", "color", "material", "size", "views", "seen", "rels", "colors", "near", "predicate", "anchor")
 
 
 def as_seen(cands: DataFrame, by: list[str], shown: int = 6) -> DataFrame:

@@ -368,14 +368,13 @@ def looks_of(heard: DataFrame, found: DataFrame, objs: DataFrame, look) -> DataF
     return cut(look(asked_of).select("conv", "id", gone.alias("gone")), "looks")
 
 
-def round_of(states: DataFrame, turns: DataFrame, objs: DataFrame, synonyms=None, groups=search.LOOK_ALIKE, look=None, scenes: DataFrame | None = None) -> DataFrame:
-    """One turn of every conversation (conv, turn, collection, said): its reply and new state; with ``look``, doubtful candidates are looked at again first (``looks_of``). ``scenes`` as for ``search.find_candidates``."""
+def round_of(states: DataFrame, turns: DataFrame, objs: DataFrame, synonyms=None, groups=search.LOOK_ALIKE, look=None, scenes: DataFrame | None = None, known: search.Entities | None = None) -> DataFrame:
+    """One turn of every conversation (conv, turn, collection, said): its reply and new state; with ``look``, doubtful candidates are looked at again first (``looks_of``). ``scenes`` and ``known`` as for ``search.find_candidates``."""
     heard = _rows(turns.select("conv", "turn", "collection", "said").join(states.select("conv", "state"), "conv", "left"), HEARD, _hear)
     heard = cut(heard, "heard")  # Python's part runs once
-    found = search.find_candidates(heard.select(F.explode("searches").alias("q")).select("q.*"), objs, synonyms, groups, scenes)
+    found = search.find_candidates(heard.select(F.explode("searches").alias("q")).select("q.*"), objs, synonyms, groups, scenes, known)
     found = found if look is None else cut(found, "found")  # read twice then
-    colors = F.transform(F.filter("seen", lambda x: x["k"] == "color"), lambda x: x["v"])
-    told = found.withColumn("scene", F.col("scene").cast("string")).withColumn("colors", colors)
+    told = found.withColumn("scene", F.col("scene").cast("string"))
     item = F.struct(F.substring_index("rid", "|", -1).alias("which"), F.struct(*FOUND).alias("c"))  # in order of n
     each = told.groupBy(F.substring_index("rid", "|", 1).alias("conv")).agg(F.to_json(F.array_sort(F.collect_list(item)), {"ignoreNullFields": "false"}).alias("found"))  # a reply's own entities
     if look is None:
@@ -396,9 +395,10 @@ def replay(turns: DataFrame, objs: DataFrame, synonyms=None, groups=search.LOOK_
     """conv, turn and reply of every turn (conv, turn from 1 without gaps, collection, said)."""
     turns, objs = cut(turns.select("conv", "turn", "collection", "said"), "turns"), cut(objs, "objects")
     scenes = cut(search.scenes_of(objs), "scenes")  # for all rounds
+    known = search.Entities()
     states, done = no_states(turns.sparkSession), None
     for k in range(1, (turns.agg(F.max("turn")).first()[0] or 0) + 1):
-        now = cut(round_of(states, turns.where(F.col("turn") == k), objs, synonyms, groups, look, scenes), f"round-{k}")
+        now = cut(round_of(states, turns.where(F.col("turn") == k), objs, synonyms, groups, look, scenes, known), f"round-{k}")
         states = cut(now.select("conv", "state").unionByName(states.select("conv", "state").join(now.select("conv"), "conv", "left_anti")), "states")  # no plan grows with the turns
         done = now if done is None else done.unionByName(now)
     if done is None:

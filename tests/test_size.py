@@ -109,3 +109,19 @@ def test_cases_share_their_scenes(spark, objs, monkeypatch):  # noqa: F811
     [r] = evaluate.play(spark.createDataFrame([case], kind), objs, {"office": [], "classroom": [], "lounge": []}).collect()
     assert (r.asked, r.kind, r.ok, r.found) == (2, "answer", True, "office_01_o1")
     assert len(made) == 1
+
+
+def test_rounds_fold_views_once(spark, objs, monkeypatch):  # noqa: F811
+    """What is learned leaves the views as they are: they are folded in the first turn alone, and again for a turn that changes what they must be."""
+    made, merge = [], retrieve.merge_views
+    monkeypatch.setattr(retrieve, "merge_views", lambda *a: made.append(1) or merge(*a))
+    turns = understood(spark, [("c", i, "base", t) for i, t in enumerate(["where is my bottle", "black", "the office"], 1)])
+    assert [r.kind for r in dialogue.replay(turns, objs).orderBy("turn").collect()] == ["question", "question", "answer"]
+    assert len(made) == 1
+    known, ask = search.Entities(), [("a", "bottle", None), ("b", "bottle", "black"), ("a", "bottle", "black"), ("c", "bottle", None)]
+    rounds = [[(rid, "base", target, None, None, None, None, [("color", color, False)] if color else [], 0, top) for rid, target, color in some] for top, some in ((5, ask[:2]), (5, ask[2:]), (None, ask[3:]))]
+    rounds = [spark.createDataFrame(r, search.REQUEST) for r in rounds]
+    made.clear()
+    told = [sorted(map(str, search.find_candidates(r, objs, known=known).collect())) for r in rounds]
+    assert len(made) == 2 and all(told)
+    assert told == [sorted(map(str, search.find_candidates(r, objs).collect())) for r in rounds]
