@@ -91,6 +91,7 @@ def play(cases: DataFrame, objs: DataFrame, places: dict[str, list[str]] | None
     """
     objs, cases = cut(objs, "case-objects"), cut(cases, "cases")
     scenes = cut(search.scenes_of(objs), "case-scenes")  # for all rounds
+    known = search.Entities()
     hits = cut(targets(cases, objs, synonyms, groups, cjk), "case-targets")
     about = cut(cases.join(owners(hits), "id", "left"), "case-owners")
     hear = lambda rows: requests.understood(rows, "text", places, synonyms, cjk)
@@ -98,7 +99,7 @@ def play(cases: DataFrame, objs: DataFrame, places: dict[str, list[str]] | None
     parsed = turns.select(F.col("conv").alias("id"), F.col("said.target_type").isNotNull().alias("parse_ok"))
     states, ended = dialogue.no_states(turns.sparkSession), None
     for asked in range(MOST + 1):
-        now = cut(dialogue.round_of(states, turns, objs, synonyms, groups, scenes=scenes).withColumnRenamed("conv", "id").withColumn("asked", F.lit(asked)), f"case-round-{asked}")
+        now = cut(dialogue.round_of(states, turns, objs, synonyms, groups, scenes=scenes, known=known).withColumnRenamed("conv", "id").withColumn("asked", F.lit(asked)), f"case-round-{asked}")
         both = now.join(about.select("id", "collection", "answers", "owner", "home", "knows"), "id")
         goes = F.col("kind").isin("question", "choose") & (F.lit(asked) < MOST) & (F.col("owner").isNotNull() | (F.lit(asked) < F.size(F.coalesce("answers", F.array().cast("array<string>")))))
         over = both.where(~goes).select(*now.columns)
